@@ -1,9 +1,9 @@
 """Queries and SQL of all training-data operators."""
 
-from statutegrid.llm import mixing, sharding
+from statutegrid.llm import chat, mixing, sharding, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mixing, sharding):
+for _module in (chat, warc, mixing, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
