@@ -15,7 +15,7 @@ from statutegrid.llm.common import BLANKS, cut, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 SEED = 20_260_101
 
 
