@@ -1,9 +1,9 @@
 """Queries and SQL of all training-data operators."""
 
-from statutegrid.llm import chat, line_crf, line_rules, mixing, sharding, warc
+from statutegrid.llm import chat, line_crf, line_rules, mixing, pivot_index, sharding, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (chat, line_rules, line_crf, warc, mixing, sharding):
+for _module in (chat, line_rules, pivot_index, line_crf, warc, mixing, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
