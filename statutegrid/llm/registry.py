@@ -1,9 +1,9 @@
 """Queries and SQL of all training-data operators."""
 
-from statutegrid.llm import chat, line_crf, line_rules, minhash, mixing, pivot_index, sharding, warc
+from statutegrid.llm import chat, line_crf, line_rules, minhash, mixing, pieces, pivot_index, sharding, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (chat, line_rules, pivot_index, line_crf, minhash, warc, mixing, sharding):
+for _module in (chat, line_rules, pivot_index, pieces, line_crf, minhash, warc, mixing, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
