@@ -4,7 +4,8 @@ Each whole text becomes its set of hashed 5-word shingles, a signature of 128 mi
 class. Band buckets of the same members are one bucket. Inside a bucket, block by block, signatures are compared in
 batches of 32; a pair goes as soon as the posterior probability that its similarity reaches the threshold falls below MISS.
 Survivors are verified on full sets. First each block names a spanning forest of its likeliest pairs; the links among them
-join most of a group, so that the second round, which names every surviving pair between different components, has few.
+join most of a group. The second round goes through every surviving pair between different components, the likeliest first, where the
+block's full sets lie, and passes over pairs that links found there have joined; only links leave a block, never pairs.
 """
 
 from __future__ import annotations
@@ -119,25 +120,40 @@ def surviving(a: np.ndarray, b: np.ndarray, allowed: np.ndarray, limits: tuple[i
     return i, j, equal
 
 
-def forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[int]:
-    """Positions of a maximal spanning forest's edges."""
-    parent = list(range(n))
+class _Union:
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    out = []
+    def join(self, x: int, y: int) -> None:
+        self.parent[x] = y
+
+
+def forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[int]:
+    """Positions of a maximal spanning forest's edges."""
+    union, out = _Union(n), []
     for k in np.argsort(-weight, kind="stable").tolist():
-        x, y = root(int(i[k])), root(int(j[k]))
+        x, y = union.root(int(i[k])), union.root(int(j[k]))
         if x != y:
-            parent[x] = y
+            union.join(x, y)
             out.append(k)
     return out
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of distinct hashes reach the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 _SETS = "doc_id long, n_shingles long, set1 long, set2 long, sig binary, bands array<long>"
 
 
@@ -162,43 +178,53 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _proposals(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], spanning: bool) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks of a bucket: its likeliest pairs (a spanning forest of parts), or with full sets, its links (likewise)."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(cols, ["a", "b"])
+
     for t in grouped(batches, ["bucket", "_i", "_j"]):
         if t.num_rows < 2:
             continue
         ids, part, at = (t.column(c).to_numpy() for c in ("doc_id", "part", "_at"))
         sigs = matrix(t.column("sig"), np.uint16)
-        one = t.column("_i")[0].as_py() == t.column("_j")[0].as_py()
         allowed = np.triu(part[:, None] != part[None, :], 1)
-        if not one:
+        if t.column("_i")[0].as_py() != t.column("_j")[0].as_py():
             allowed &= at[:, None] != at[None, :]
         i, j, equal = surviving(sigs, sigs, allowed, limits)
-        if spanning and len(i):
-            names, at_name = np.unique(part, return_inverse=True)
-            keep = forest(at_name[i], at_name[j], equal, len(names))
+        if not len(i):
+            continue
+        names, place = np.unique(part, return_inverse=True)
+        if "set" not in t.column_names:
+            keep = forest(place[i], place[j], equal, len(names))
+        else:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+            union, keep = _Union(len(names)), []
+            for k in np.argsort(-equal, kind="stable").tolist():
+                x, y = union.root(int(place[i[k]])), union.root(int(place[j[k]]))
+                if x != y and alike(sets[i[k]], sets[j[k]], percent):
+                    union.join(x, y)
+                    keep.append(k)
+        if keep:
             i, j = i[keep], j[keep]
-        if len(i):
             out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
             if sum(len(x[0]) for x in out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
-                out.clear()
+                yield flush()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+        yield flush()
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
-            a, b = part.column("a"), part.column("b")
-            keep = []
-            for x, y in zip(part.column("set_a"), part.column("set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            sets = zip(*([np.frombuffer(v.as_buffer(), np.uint64) for v in part.column(c)] for c in ("set_a", "set_b")), strict=True)
+            mask = pa.array([alike(x, y, percent) for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,30 +259,27 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     members = cut(entries.join(distinct, "bucket"), "minhash-buckets")
     signatures = banded.select("doc_id", "sig")
 
-    def proposed(members: DataFrame, spanning: bool) -> DataFrame:
-        with_sig = members.join(signatures, "doc_id")
-        spread = paired_blocks(with_sig, "bucket", "size", "doc_id")
-        spread = spread.select("bucket", "_i", "_j", "_at", "doc_id", "part", "sig")
-        return spread.mapInArrow(lambda it: _proposals(it, limits, spanning), "a long, b long").distinct()
-
-    full: DataFrame | None = None
+    def blockwise(members: DataFrame) -> DataFrame:
+        spread = paired_blocks(members.join(signatures, "doc_id"), "bucket", "size", "doc_id").drop("size")
+        return spread.mapInArrow(lambda it: _pairs(it, limits, percent), "a long, b long").distinct()
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        ids = cut(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), f"{label}-ids")
+    def full_sets(ids: DataFrame, label: str) -> DataFrame:
+        """Full sets of the documents with these ids (_id), each text read again where it lies."""
+        ids = cut(ids.distinct(), f"{label}-ids")
         few = ids.count() <= BROADCAST_IDS
         texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
-        known = cut(texts.mapInArrow(_full_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), f"{label}-texts")
-        left = known.withColumnsRenamed({"doc_id": "a", "set": "set_a"})
-        right = known.withColumnsRenamed({"doc_id": "b", "set": "set_b"})
-        return cut(pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), label)
+        return cut(texts.mapInArrow(_full_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), f"{label}-texts")
 
-    first_pairs = cut(proposed(members.withColumn("part", F.col("doc_id")), True), "minhash-likely")
-    links = verified(first_pairs, "minhash-links")
+    likely = cut(blockwise(members.withColumn("part", F.col("doc_id"))), "minhash-likely")
+    known = full_sets(likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))), "minhash-likely")
+    left = known.withColumnsRenamed({"doc_id": "a", "set": "set_a"})
+    right = known.withColumnsRenamed({"doc_id": "b", "set": "set_b"})
+    links = cut(likely.join(left, "a").join(right, "b").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "minhash-links")
     parts = cut(components(links, "minhash-parts"), "minhash-part")
     labelled = members.join(parts, F.col("doc_id") == F.col("id"), "left").select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")
-    rest = proposed(labelled.join(mixed, "bucket"), False).join(first_pairs, ["a", "b"], "left_anti")
-    more = verified(cut(rest, "minhash-rest"), "minhash-more")
+    rest = cut(labelled.join(mixed, "bucket"), "minhash-rest")
+    more = cut(blockwise(rest.join(full_sets(rest.select(F.col("doc_id").alias("_id")), "minhash-rest"), "doc_id")), "minhash-more")
     joined = components(links.unionByName(more), "minhash-components")
     by_class = classes.join(joined, F.col("first") == F.col("id"), "left").select(
         F.col("set1").alias("_s1"), F.col("set2").alias("_s2"), F.coalesce("component", "first").alias("_component")
