@@ -1,0 +1,84 @@
+import random
+
+import numpy as np
+import pytest
+
+from statutegrid.llm import common, minhash
+from tests.llm.brute import shingles, smallest_reachable
+
+
+def expected(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    linked = lambda a, b: bool(sets[a]) and bool(sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    low = smallest_reachable(list(sets), linked)
+    return {i: (len(sets[i]), low[i], low[i] == i) for i in sets}
+
+
+def got(spark, rows):
+    df = spark.createDataFrame([(i, t, 5, "s") for i, t in rows], "doc_id long, text string, n_shingles int, set1 string").repartition(3)
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_documents(df).collect()}
+
+
+def test_groups_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, n = [], 0
+    passage = [word() for _ in range(60)]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(5, 120))]
+        for _ in range(rng.randint(1, 6)):
+            copy = [word() if rng.random() < rng.choice([0, 0.01, 0.03, 0.06]) else w for w in base]
+            rows.append((n := n + 1, " ".join(copy)))
+    rows += [((n := n + 1), " ".join(passage + [word() for _ in range(40)])) for _ in range(30)]  # share a passage, are no copies
+    hub = [word() for _ in range(200)]
+    for i in range(120):  # near one hub, mostly not near each other
+        at = rng.randrange(180)
+        rows.append((n := n + 1, " ".join(hub[:at] + [word() for _ in range(18)] + hub[at + 18 :])))
+    rows.append((n := n + 1, " ".join(hub)))
+    rng.shuffle(rows)
+    assert got(spark, rows) == expected(rows)
+
+
+def test_a_group_larger_than_a_block(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[: 50 + rng.randrange(8)] + [f"x{rng.randrange(10**6)}"] + base[58:])) for i in range(700)]
+    assert got(spark, rows) == expected(rows)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_documents(odd_docs).collect()]
+    want = expected([r for r in rows if r[0] is not None])
+    assert len(found) == 10
+    assert {(i, *want[i]) for i in want} == {r for r in found if r[0] is not None}
+    assert [r for r in found if r[0] is None] == [(None, 1, None, True)]
+    assert minhash.near_documents(no_docs).count() == 0
+    kept = minhash.deduplicated(odd_docs)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == {None} | {i for i in want if want[i][2]}
+
+
+def test_pruning_bounds():
+    limits = minhash.least_matches()
+    assert list(limits) == sorted(limits) and limits[-1] < 0.75 * 128
+    rng = np.random.default_rng(0)  # pairs at the threshold survive
+    a = rng.integers(0, 2**16, (2000, 128)).astype(np.uint16)
+    b = np.where(rng.random((2000, 128)) < 0.75, a, rng.integers(0, 2**16, (2000, 128))).astype(np.uint16)
+    i, _, _ = minhash.surviving(a, b, np.eye(2000, dtype=bool), limits)
+    assert len(i) >= 0.995 * 2000
+    low, _, _ = minhash.surviving(a, np.roll(a, 1, 0), np.eye(2000, dtype=bool), limits)
+    assert len(low) == 0
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(7, 7), (300, 301), (301, 300), (None, 3)]
+    rows = common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
+    got_ = {r["id"]: r["component"] for r in rows}
+    assert len(rows) == len(got_)
+    assert got_ == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 50)} | {300: 300, 301: 300}
+    assert common.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
+@pytest.mark.parametrize("text", ["", None, " \t\n"])
+def test_no_words_no_shingles(text):
+    assert len(minhash.shingles(text)) == 0
