@@ -31,9 +31,9 @@ PATTERNS = {
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{16,}[\"']?",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "phone": r"\+\d{1,3}[^\p{L}\p{N}\n]{1,8}\d{2,4}(?:[^\p{L}\p{N}\n]{1,8}\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": r"\+1[^\p{L}\p{N}\n]{1,8}\d{3}[^\p{L}\p{N}\n]{1,8}\d{3}[^\p{L}\p{N}\n]{1,8}\d{4}(?!\d)|\+(?!1\D)\d{1,3}[ .()-]{1,3}\d{2,4}(?:[ .()-]{1,3}\d{2,4}){1,4}(?!\d|\.\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
