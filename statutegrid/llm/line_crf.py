@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.common import table
 
 SAMPLE = 3000
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
                 found = model.document_scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found)], [*names, "score"])
 
-    return docs.mapInArrow(scored, docs.select(*names).schema.add("score", "double"))
+    return map_arrow(docs, scored, docs.select(*names).schema.add("score", "double"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.common import cut, table
 
 #: A line is common on a host if more than this share of the host's documents, and more than this many, hold it.
@@ -107,7 +108,7 @@ def judge(
     ids may repeat (rows go by id and text); no rows, no result; other columns are ignored.
     """
     rows = docs.select("doc_id", F.xxhash64(host).alias("host"), F.xxhash64("text").alias("content"), "text")
-    stats = cut(rows.mapInArrow(_stats, _STATS), "line-stats")
+    stats = cut(map_arrow(rows, _stats, _STATS), "line-stats")
     held = stats.select("host", "content", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     by_line = held.groupBy("host", "line").agg(F.count("*").alias("n"))
     hosts = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.blocks import grouped, matrix, paired_blocks
 from statutegrid.llm.common import components, cut, table
 
@@ -244,7 +245,7 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     """
     limits = least_matches(percent, miss)
     rows = docs.select("doc_id", "text")
-    sets = cut(rows.mapInArrow(_sets, _SETS), "minhash-sets")
+    sets = cut(map_arrow(rows, _sets, _SETS), "minhash-sets")
     named = sets.where("doc_id is not null and n_shingles > 0")
     classes = cut(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("first")), "minhash-classes")
     firsts = classes.withColumnsRenamed({"first": "_first", "set1": "_s1", "set2": "_s2"})
@@ -261,20 +262,20 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
 
     def blockwise(members: DataFrame) -> DataFrame:
         spread = paired_blocks(members.join(signatures, "doc_id"), "bucket", "size", "doc_id").drop("size")
-        return spread.mapInArrow(lambda it: _pairs(it, limits, percent), "a long, b long").distinct()
+        return map_arrow(spread, lambda it: _pairs(it, limits, percent), "a long, b long").distinct()
 
     def full_sets(ids: DataFrame, label: str) -> DataFrame:
         """Full sets of the documents with these ids (_id), each text read again where it lies."""
         ids = cut(ids.distinct(), f"{label}-ids")
         few = ids.count() <= BROADCAST_IDS
         texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
-        return cut(texts.mapInArrow(_full_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), f"{label}-texts")
+        return cut(map_arrow(texts, _full_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), f"{label}-texts")
 
     likely = cut(blockwise(members.withColumn("part", F.col("doc_id"))), "minhash-likely")
     known = full_sets(likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))), "minhash-likely")
     left = known.withColumnsRenamed({"doc_id": "a", "set": "set_a"})
     right = known.withColumnsRenamed({"doc_id": "b", "set": "set_b"})
-    links = cut(likely.join(left, "a").join(right, "b").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "minhash-links")
+    links = cut(map_arrow(likely.join(left, "a").join(right, "b"), lambda it: _verified(it, percent), "a long, b long"), "minhash-links")
     parts = cut(components(links, "minhash-parts"), "minhash-part")
     labelled = members.join(parts, F.col("doc_id") == F.col("id"), "left").select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")

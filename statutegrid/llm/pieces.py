@@ -21,6 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -273,7 +274,7 @@ def encode(docs: DataFrame, pieces: Pieces, drop: tuple[str, ...] = ()) -> DataF
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *columns], [*names, *own])
 
     schema = docs.select(*names).schema.add("pieces", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("n_byte_pieces", "long").add("round_trip", "boolean")
-    return docs.mapInArrow(encoded, schema)
+    return map_arrow(docs, encoded, schema)
 
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -287,7 +288,7 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
                 texts = [None if x is None else pieces.decode(x) for x in part.column("pieces").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return rows.mapInArrow(decoded, rows.select(*names).schema.add("decoded", "string"))
+    return map_arrow(rows, decoded, rows.select(*names).schema.add("decoded", "string"))
 
 
 def op4_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.blocks import block_labels, grouped, matrix, paired_blocks
 from statutegrid.llm.common import components, cut, table
 
@@ -127,7 +128,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
                 [batch.column("vec_id"), pa.array([None if v is None else v.tobytes() for v in found], pa.binary())], ["vec_id", "unit"]
             )
 
-    scaled = cut(rows.mapInArrow(units, "vec_id long, unit binary"), "vector-units")
+    scaled = cut(map_arrow(rows, units, "vec_id long, unit binary"), "vector-units")
     usable = scaled.where("unit is not null and vec_id is not null").distinct()
     classes = cut(usable.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "vector-classes")
     n = classes.count()
@@ -159,7 +160,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
                     ["vec_id", "times", "unit", "dim", "prefix", "pivots"],
                 )
 
-    described = cut(classes.mapInArrow(describe, "vec_id long, times long, unit binary, dim int, prefix binary, pivots array<int>"), "vector-index")
+    described = cut(map_arrow(classes, describe, "vec_id long, times long, unit binary, dim int, prefix binary, pivots array<int>"), "vector-index")
     lists = described.select("vec_id", "times", "unit", "dim", "prefix", F.explode("pivots").alias("pivot"))
     sizes = described.select("dim", F.explode("pivots").alias("pivot")).groupBy("dim", "pivot").agg(F.count("*").alias("size")).where("size > 1")
     posted = lists.join(sizes, ["dim", "pivot"]).withColumn("list", F.xxhash64("dim", "pivot"))
@@ -168,7 +169,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _links(batches, cosine, shared)
 
-    found = cut(spread.mapInArrow(links, "a long, b long, n long"), "vector-links")
+    found = cut(map_arrow(spread, links, "a long, b long, n long"), "vector-links")
     joined = components(found.select("a", "b"), "vector-components")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     by_class = (

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.common import scratch_path, table
 
 CRLF = b"\r\n"
@@ -158,7 +159,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, records: int = RECORDS_PER_ARCHIVE) -> None:
     """WARC files of at most so many records under path; Spark's committer makes lost tasks safe."""
-    rows = plan_revisits(pages, min_bytes).mapInArrow(_members, "member binary")
+    rows = map_arrow(plan_revisits(pages, min_bytes), _members, "member binary")
     rows.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records).text(path)
 
 
@@ -194,7 +195,8 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Pages of all archives under path: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(
+    return map_arrow(
+        files,
         _pages,
         "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long",
     )
