@@ -37,12 +37,12 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return B.blocks_of(regulations(spark, sf).drop("lang"))
+def _blocks(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return B.blocks_of(regulations(spark, sf, whole).drop("lang"))
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return G.events(G.pieces(G.sub_blocks(_blocks(spark, sf))))
+def _events(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return G.events(G.pieces(G.sub_blocks(_blocks(spark, sf, whole))))
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
@@ -157,19 +157,19 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.of("SELECT doc_id, block_no, sub_no, piece_no, emit_no, run::BIGINT AS run, closed, splits FROM list_state"))
 def list_parents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.list_state(_events(spark, sf)).select("doc_id", "block_no", "sub_no", "piece_no", "emit_no", "run", "closed", "splits")
+    rows = G.list_state(_events(spark, sf, True)).select("doc_id", "block_no", "sub_no", "piece_no", "emit_no", "run", "closed", "splits")
     return _long(rows, "block_no", "sub_no", "piece_no", "emit_no", "run")
 
 
 @query(O.of(f"SELECT doc_id, {', '.join(R.COLUMNS)} FROM final", True))
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: documents to the reviewed table of 21 columns."""
-    return run(_blocks(spark, sf))[0]
+    return run(_blocks(spark, sf, True))[0]
 
 
 @query(O.of("SELECT s.doc_id, s.segment_id, s.segment_text, p.segment_text AS parent_text FROM segments s LEFT JOIN segments p ON p.doc_id = s.doc_id AND p.segment_id = s.parent_segment_id"))
 def parent_text(spark: SparkSession, sf: str) -> DataFrame:
-    return G.parent_text(G.segment(_blocks(spark, sf))).select("doc_id", "segment_id", "segment_text", "parent_text")
+    return G.parent_text(G.segment(_blocks(spark, sf, True))).select("doc_id", "segment_id", "segment_text", "parent_text")
 
 
 # ---- verbs --------------------------------------------------------------------------------------
@@ -254,7 +254,7 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def technical_json(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.technical(analysed(_blocks(spark, sf)))
+    rows = R.technical(analysed(_blocks(spark, sf, True)))
     return rows.select("doc_id", "segment_id", F.to_json(F.struct("spans", "confidence")).alias("technical"))
 
 
@@ -312,5 +312,5 @@ def stub_model() -> object:
 @query(O.of("""SELECT doc_id, segment_id, 1 AS aim_n_suggested, substr(segment_text, 1, 20) AS aim_text_candidate, 0.88::DOUBLE AS aim_candidate_confidence, true AS has_own_aim_candidate, 'is-identifier-1.0' AS model_version FROM segments"""))
 def model_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """The same table with a model plugged in."""
-    found, _ = run(_blocks(spark, sf), load_model=stub_model)
+    found, _ = run(_blocks(spark, sf, True), load_model=stub_model)
     return found.select("doc_id", "segment_id", "aim_n_suggested", "aim_text_candidate", "aim_candidate_confidence", "has_own_aim_candidate", "model_version")

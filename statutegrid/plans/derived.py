@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.spread import balanced, by_document
+
 #: {p}: place of the line from 1, moved on by the document's number. Read by both engines.
 LINE = """CASE {p} % 12
   WHEN 1 THEN '## Capítulo ' || CAST(1 + doc_id % 9 AS STRING) || '. Reglas'
@@ -25,12 +27,13 @@ LINE = """CASE {p} % 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source_base, text."""
-    docs = table(spark, sf_dir, "documents").where("lang IN ('es', 'en') AND text IS NOT NULL")
+def regulations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """doc_id, lang, source_base, text. whole: by document, for what looks at a document's events together."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IN ('es', 'en') AND text IS NOT NULL").select("doc_id", "lang", "text")
+    docs = by_document(docs) if whole else balanced(docs)
     text = F.expr(f"array_join(transform(split(text, '\\n'), (line, i) -> {LINE.format(p='(i + 1 + doc_id)')}), '\\n')")
     return docs.select("doc_id", "lang", F.format_string("%d. Reglamento.md", "doc_id").alias("source_base"), text.alias("text"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
+from statutegrid.functions.spread import by_document
 from statutegrid.operators.blocks import blocks_of, paragraphs
 from statutegrid.operators.pipeline import base_name
 
@@ -94,6 +95,7 @@ def read_blocks(spark: SparkSession, path: str | list[str], strict: bool = True)
     found = files(spark, path)
     if strict:
         check_types(found)
+    found = by_document(found, "path")
     plain = found.where(F.col("suffix").isin(".txt", ".md")).select(
         F.col("path").alias("doc_id"), base_name(F.col("path")).alias("source_base"), "suffix", decoded(F.col("content")).alias("text")
     )
