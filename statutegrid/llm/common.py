@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutegrid.functions.spread import balanced
+
 #: Words are runs of anything but these six ASCII blanks (space and U+0009 to U+000D).
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -18,7 +20,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def n_words(text: Column) -> Column:
