@@ -1,0 +1,144 @@
+import itertools
+import random
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from statutegrid.functions import lexicon as L
+from statutegrid.functions.language import detect_language
+from statutegrid.operators import model as M
+from statutegrid.operators import review as R
+from statutegrid.operators import verbs as V
+from statutegrid.operators.summary import summary
+
+
+def one(spark, expression):
+    return spark.range(1).select(expression).first()[0]
+
+
+def test_language(spark):
+    for text, want in (("Los miembros de la comunidad deberán pagar", "es"), ("The members shall pay the fee", "en"), ("", "es"), (None, "es"), ("la the", "es"), ("x " * 8000 + "the the", "es")):
+        assert one(spark, detect_language(F.lit(text).cast("string"))) == want
+
+
+def test_lexicon(spark):
+    assert [L.lookup_verb_type(a, b) for a, b in (("aprobar", "es"), ("approve", "en"), ("sancionar", "es"), ("definir", "es"), ("salir", "es"), ("nada", "es"))] == ["AGG", "AGG", "PAY", "SCO", "BOU", None]
+    df = spark.createDataFrame([("Aprobar", "es"), ("nada", "es"), ("approve", "en")], "lemma string, language string")
+    assert {r["lemma"]: r["category"] for r in L.lookup(df).collect()} == {"Aprobar": "AGG", "nada": None, "approve": "AGG"}
+
+
+def aims(spark, text, language):
+    return [tuple(h) for h in one(spark, V.extract_aims(F.lit(text), F.lit(language)))]
+
+
+def test_verbs(spark):
+    assert aims(spark, "Los usuarios deben mantener limpias las acequias.", "es") == [("deben", "deber", 13, None), ("mantener", "mantener", 19, "CHO")]
+    assert aims(spark, "Members shall not fish; members shall approve it and approve again.", "en")[:2] == [("shall", "shall", 8, None), ("approve", "approve", 38, "AGG")]
+    assert aims(spark, "The board may inspect nets.", "en") == [("may", "may", 10, None), ("inspect", "inspect", 14, None)]
+    assert aims(spark, "", "es") == [] and aims(spark, "Nada.", "es") == []
+    assert tuple(one(spark, V.first_verb(F.lit("Nada"), F.lit("es")))) == ("", "")
+    f = one(spark, V.verb_features(F.lit("El comité podrá sancionar y debera informar."), F.lit("es")))
+    assert (f["n_institutional_verbs"], f["verb_lemmas_text"], f["verb_categories_text"], f["has_deontic_aux"]) == (3, "poder;sancionar;informar", "PAY;INF", True)
+    assert one(spark, V.has_deontic(F.lit("deberá"), F.lit("es"))) is False  # the pattern's stems have no accents
+    df = spark.createDataFrame([(1, "es", "se aprobarán y aprobar, pagar"), (2, "en", "payment of fines, defined")], "doc_id int, language string, text string")
+    got = {r["doc_id"]: (r["lemmas"], r["categories"]) for r in V.lexicon_fallback(df).collect()}
+    assert got == {1: (["aprobar", "pagar"], ["AGG", "PAY"]), 2: (["fine", "pay", "define"], ["PAY", "SCO"])}
+
+
+def flags(spark, **given):
+    row = {"segment_type": "body_sentence", "is_list_item": False, "is_substantive": True, "segment_text": "X" * 30, "parent_segment_id": "seg_0001", "aim_n_suggested": 1, "aim_candidate_confidence": 0.9, "has_own_aim_candidate": True} | given
+    schema = "segment_type string, is_list_item boolean, is_substantive boolean, segment_text string, parent_segment_id string, aim_n_suggested int, aim_candidate_confidence double, has_own_aim_candidate boolean, notes array<string>"
+    df = spark.createDataFrame([tuple(row.get(c.split()[0]) for c in schema.split(", "))], schema)
+    r = R.reviewed(df).first()
+    assert r["needs_review"] == (r["review_reason"] != "")
+    return r["review_reason"]
+
+
+def test_review_flags_on_both_sides_of_each_limit(spark):
+    assert flags(spark) == ""
+    assert flags(spark, segment_text="X" * 24) == "short_segment" and flags(spark, segment_text="X" * 25) == ""
+    assert flags(spark, aim_candidate_confidence=0.8499) == "low_confidence" and flags(spark, aim_candidate_confidence=0.85) == "" and flags(spark, aim_candidate_confidence=None) == ""
+    assert flags(spark, segment_text="ñ" * 30) == "possible_bad_split" and flags(spark, segment_text="ñ" * 30, segment_type="list_header") == ""
+    assert flags(spark, is_list_item=True, parent_segment_id=None, segment_type="list_item") == "list_item_no_parent"
+    assert flags(spark, aim_n_suggested=3) == "high_aim_count" and flags(spark, aim_n_suggested=2) == ""
+    assert flags(spark, is_substantive=False, segment_type="heading", notes=["seen", "twice"]) == "context_filter_conflict;seen;twice"
+
+
+def spans_of(tags, offsets, text):
+    out, start, end = [], None, 0
+
+    def close():
+        nonlocal start
+        if start is not None and text[start:end].strip():
+            out.append((start, end, text[start:end].strip()))
+        start = None
+
+    for tag, (s, e) in zip(tags, offsets, strict=True):
+        if (s, e) == (0, 0) or tag == 0:
+            close()
+        elif tag == 1:
+            close()
+            start, end = s, e
+        else:
+            start, end = (s if start is None else start), e
+    close()
+    return out
+
+
+def test_spans_against_a_loop(spark):
+    rng = random.Random(2)
+    text = "ab  cdé 😀f   gh ij " * 3
+    rows = []
+    for n in range(200):
+        size = rng.randint(0, 12)
+        at = [(0, 0) if rng.random() < 0.15 else (3 * i + 1, 3 * i + 3) for i in range(size)]
+        rows.append((n, [rng.randint(0, 2) for _ in range(size)], at, text))
+    df = spark.createDataFrame(rows, "n int, tags array<int>, offsets array<struct<start:int,end:int>>, text string")
+    got = {r["n"]: [tuple(s) for s in r["s"]] for r in df.select("n", M.bio_spans(F.col("tags"), F.col("offsets"), F.col("text")).alias("s")).collect()}
+    assert got == {n: spans_of(tags, at, text) for n, tags, at, _ in rows}
+
+
+def test_viterbi_against_all_paths(spark):
+    rng = random.Random(3)
+    moves = [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(3)]
+    begin, finish = [0.3, -0.2, -5.0], [0.0, 0.4, 0.1]
+    rows = [(n, [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(rng.randint(0, 6))]) for n in range(40)]
+    df = spark.createDataFrame(rows, "n int, logits array<array<double>>")
+    got = {r["n"]: r["t"] for r in df.select("n", M.viterbi_tags(F.col("logits"), moves, begin, finish).alias("t")).collect()}
+    for n, logits in rows:
+        value = lambda p: begin[p[0]] + finish[p[-1]] + sum(row[t] for row, t in zip(logits, p)) + sum(moves[a][b] for a, b in itertools.pairwise(p))  # noqa: B023, B905, E731
+        assert got[n] == (list(max(itertools.product(range(3), repeat=len(logits)), key=value)) if logits else [])
+
+
+def test_counts_and_confidence(spark):
+    logits = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in ([0, 2, 1], [1, 1, 0], [0, 0, 3])])
+    assert one(spark, M.argmax_tags(logits)) == [1, 0, 2]
+    assert one(spark, M.mean_confidence(logits, M.argmax_tags(logits))) == pytest.approx((0.66524 + 0.42232 + 0.90944) / 3, abs=1e-4)
+    assert one(spark, M.mean_confidence(F.array().cast("array<array<double>>"), F.array().cast("array<int>"))) is None
+    assert one(spark, M.ordinal_count(F.array(F.lit(0.1), F.lit(0.0), F.lit(-3.0)))) == 1 and one(spark, M.aim_bucket(F.lit(7))) == 3
+
+
+class Stub:
+    def predict(self, text):
+        return SimpleNamespace(spans=[(0, 10, text[:10]), (11, 40, text[11:40])], count=2, confidence=0.123456)
+
+
+def test_model_candidates_fall_back_in_three_steps(spark):
+    text = "Nada aquí, los socios aprobarán la cuota"
+    df = spark.createDataFrame([("d", "seg_0001", None, 1, None, None, None, "body_sentence", False, True, text, "es", "7. R.md")], "doc_id string, segment_id string, parent_segment_id string, segment_order int, title string, chapter string, article string, segment_type string, is_list_item boolean, is_substantive boolean, segment_text string, language string, source_base string")
+    rows = R.reviewed(R.candidates(M.with_predictions(df, Stub)))
+    r = R.table(rows).first()
+    assert (r["aim_n_suggested"], r["aim_trigger_candidate"], r["aim_text_candidate"]) == (2, "aprobarán", f"{text[:10]} | {text[11:40]}")
+    assert (r["aim_candidate_confidence"], r["review_reason"], r["model_version"], r["case_id"]) == (0.1235, "low_confidence", R.MODEL, 7)
+    assert R.table(rows).columns == ["doc_id", *R.COLUMNS]
+
+
+def test_summary_order(spark):
+    rows = [("d", 1, 7, "f", "v", "body_sentence", True, True, "a;b", n) for n in (10, 2, 2)] + [("d", 2, 7, "f", "v", "heading", False, False, "", 1), ("d", 3, 7, "f", "v", "annex", False, True, "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id string, segment_order int, case_id int, source_base string, model_version string, segment_type string, is_substantive boolean, needs_review boolean, review_reason string, aim_n_suggested int")
+    got = [(r["section"], r["key_text"], r["value"]) for r in summary(df).orderBy("section_no", "rank").collect()]
+    assert got == [
+        ("document", "case_id", "7"), ("document", "source_base", "f"), ("document", "model_version", "v"), ("document", "n_segments", "5"), ("segment_type", "body_sentence", "3"), ("segment_type", "annex", "1"), ("segment_type", "heading", "1"),
+        ("is_substantive", "True", "3"), ("is_substantive", "False", "2"), ("needs_review", "True", "4"), ("needs_review", "False", "1"), ("review_reason", "b", "4"), ("review_reason", "a", "3"), ("aim_n_suggested", "10", "1"), ("aim_n_suggested", "2", "2"),
+    ]

@@ -1,0 +1,48 @@
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from statutegrid.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6)
+    return tuple(map(plain, value)) if isinstance(value, (list, tuple)) else value
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query_equals_its_sql(spark, db, name):
+    df = catalog.QUERIES[name](spark, SF)
+    if name not in catalog.ORACLES:
+        assert df.count() > 0
+        return
+    want = db.sql(catalog.ORACLES[name])
+    names = sorted(df.columns)
+    assert names == sorted(want.columns)
+    at = [want.columns.index(c) for c in names]
+    got_rows = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
+    assert got_rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).limit(1).count() == 1
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_one_exchange_from_documents_to_the_reviewed_table(spark):
+    plan = catalog.QUERIES["segments"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
