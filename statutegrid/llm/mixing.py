@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statutegrid.llm.common import BLANKS, cut, n_words, table
+from statutegrid.llm.common import BLANKS, WORD, cut, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -19,6 +19,12 @@ ROWS_PER_RANGE = 2_000
 SEED = 20_260_101
 
 
+def random_key(key: Column, seed: int) -> Column:
+    """31 bits that the seed and the key decide; by MD5, so that any engine finds the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 1)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """sizes (_source, _total, _rows; a row a source) with _target.
 
@@ -65,7 +71,7 @@ def mix(
     """
     kept = [c for c in df.columns if c not in ("source_size", "target", "taken")]
     drawn = df.withColumns({
-        "_source": source, "_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), "_key": F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 33),
+        "_source": source, "_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), "_key": random_key(key, seed),
     })
     narrow = cut(drawn.select("_source", "_size", "_key"), "mix-sizes")
     sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows"))
@@ -123,5 +129,19 @@ def op6_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, F.col("source"), F.col("size"), F.col("doc_id")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+SQL = rf"""
+WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id)), 1, 8))::BIGINT >> 1 AS key FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS total, {list(map(float, WEIGHTS))}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS w FROM docs GROUP BY source),
+caps AS (SELECT *, {MAX_EPOCHS}.0::DOUBLE * total AS cap, {MAX_EPOCHS}.0::DOUBLE * total / w AS reach FROM sources),
+levels AS (SELECT *, (sum(total) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM caps
+  WINDOW b AS (ORDER BY reach, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+plan AS (SELECT source, total, least(cap, coalesce((SELECT min_by(level, reach) FROM levels WHERE level <= reach), 0) * w) AS target FROM levels),
+drawn AS (SELECT d.*, total, target, CASE WHEN total > 0 THEN round(target)::BIGINT // total ELSE 0 END AS epochs, CASE WHEN total > 0 THEN round(target)::BIGINT % total ELSE 0 END AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, total AS source_size, target, (epochs * size + least(greatest(rest - before, 0), size))::BIGINT AS taken FROM drawn
+"""
+
 QUERIES = {"op6_mix_to_weights": op6_mix_to_weights}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_mix_to_weights": SQL}
