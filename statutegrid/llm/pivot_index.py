@@ -23,7 +23,8 @@ from statutegrid.llm.blocks import block_labels, grouped, matrix, paired_blocks
 from statutegrid.llm.common import components, cut, table
 
 COSINE = 0.9
-PREFIX, MIN_SHARED = 12, 2
+PREFIX, MIN_SHARED = 8, 2
+BLOCK = 1024
 MIN_PIVOTS, MAX_PIVOTS, PIVOT_GAP = 64, 65_536, 0.8
 
 
@@ -39,9 +40,8 @@ def unit(vector: list | None) -> np.ndarray | None:
     return v / np.linalg.norm(v)
 
 
-def choose_pivots(units: list[np.ndarray], wanted: int) -> np.ndarray:
+def choose_pivots(points: np.ndarray, wanted: int) -> np.ndarray:
     """At most `wanted` rows, none closer than PIVOT_GAP to one before it; a copy of one vector is no second reference point."""
-    points = np.array(units)
     kept: list[int] = []
     for start in range(0, len(points), 256):
         part = points[start : start + 256]
@@ -69,7 +69,14 @@ def prefixes(units: np.ndarray, pivots: np.ndarray, length: int = PREFIX) -> np.
     return np.take_along_axis(part, order, 1).astype(np.int32)
 
 
-def _links(batches: Iterator[pa.RecordBatch], cosine: float, shared: int) -> Iterator[pa.RecordBatch]:
+def _units(raw: list[bytes], dtype: str) -> np.ndarray:
+    """Rows in double precision at length 1."""
+    v = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _links(batches: Iterator[pa.RecordBatch], cosine: float, shared: int, dtype: str) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks of a list: links by vector, and its edge to the smallest id of its part."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -84,7 +91,7 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float, shared: int) -> Ite
         pivot = t.column("pivot")[0].as_py()
         one_block = t.column("_i")[0].as_py() == t.column("_j")[0].as_py()
         ids, times, at = (t.column(c).to_numpy() for c in ("vec_id", "times", "_at"))
-        vectors, prefix = matrix(t.column("unit"), np.float64), matrix(t.column("prefix"), np.int32)
+        vectors, prefix = _units(t.column("raw").to_pylist(), dtype), matrix(t.column("prefix"), np.int32)
         names, where = np.unique(prefix, return_inverse=True)
         marks = np.zeros((n, len(names)), np.float32)
         np.put_along_axis(marks, where.reshape(prefix.shape), 1.0, axis=1)
@@ -119,69 +126,71 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     length. Rows that repeat an id and its vector are one vector, and all get its result; a null id links with nothing and is kept. No
     rows, no result. Equal vectors are linked with each other whatever rounding says. Other columns are ignored.
     """
+    # components travel in the precision that they came in, and are worked on in double
+    dtype = "float32" if dict(vectors.dtypes)["embedding"] == "array<float>" else "float64"
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [unit(v) for v in batch.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array([None if v is None else v.tobytes() for v in found], pa.binary())], ["vec_id", "unit"]
-            )
-
-    scaled = cut(map_arrow(rows, units, "vec_id long, unit binary"), "vector-units")
-    usable = scaled.where("unit is not null and vec_id is not null").distinct()
-    classes = cut(usable.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "vector-classes")
+            given = batch.column("embedding").to_pylist()
+            raw = [None if unit(v) is None else np.array(v, dtype).tobytes() for v in given]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], ["vec_id", "raw"])
+
+    usable_rows = cut(map_arrow(rows, units, "vec_id long, raw binary"), "vectors")
+    usable = usable_rows.where("raw is not null and vec_id is not null").distinct()
+    classes = cut(usable.groupBy("raw").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "vector-classes")
     n = classes.count()
     wanted = max(MIN_PIVOTS, min(MAX_PIVOTS, math.ceil(4 * math.sqrt(n))))
-    drawn: dict[int, list[np.ndarray]] = {}
-    for r in classes.select("vec_id", "unit").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * wanted).collect():
-        drawn.setdefault(len(r["unit"]) // 8, []).append(np.frombuffer(r["unit"], np.float64))
-    pivots = {dim: choose_pivots(units_, wanted) for dim, units_ in drawn.items()}
+    size = np.dtype(dtype).itemsize
+    drawn: dict[int, list[bytes]] = {}
+    for r in classes.select("vec_id", "raw").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * wanted).collect():
+        drawn.setdefault(len(r["raw"]) // size, []).append(bytes(r["raw"]))
+    pivots = {dim: choose_pivots(_units(raw, dtype), wanted) for dim, raw in drawn.items()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                data = batch.column("unit").to_pylist()
-                dims = np.array([len(x) // 8 for x in data])
+                data = batch.column("raw").to_pylist()
+                dims = np.array([len(x) // size for x in data])
                 marks: list[bytes | None] = [None] * len(data)
                 for dim in set(dims.tolist()):
                     at = np.flatnonzero(dims == dim)
                     # a length that the draw missed has one list, of all its vectors
                     if dim in pivots:
-                        found = prefixes(np.frombuffer(b"".join(data[i] for i in at), np.float64).reshape(len(at), dim), pivots[dim], prefix)
+                        found = prefixes(_units([data[i] for i in at], dtype), pivots[dim], prefix)
                     else:
                         found = np.zeros((len(at), 1), np.int32)
                     for i, p in zip(at, found, strict=True):
                         marks[i] = p.tobytes()
                 lists = [np.frombuffer(m, np.int32).tolist() for m in marks]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("times"), batch.column("unit"), pa.array(dims, pa.int32()), pa.array(marks, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
-                    ["vec_id", "times", "unit", "dim", "prefix", "pivots"],
+                    [batch.column("vec_id"), batch.column("times"), batch.column("raw"), pa.array(dims, pa.int32()), pa.array(marks, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
+                    ["vec_id", "times", "raw", "dim", "prefix", "pivots"],
                 )
 
-    described = cut(map_arrow(classes, describe, "vec_id long, times long, unit binary, dim int, prefix binary, pivots array<int>"), "vector-index")
-    lists = described.select("vec_id", "times", "unit", "dim", "prefix", F.explode("pivots").alias("pivot"))
+    described = cut(map_arrow(classes, describe, "vec_id long, times long, raw binary, dim int, prefix binary, pivots array<int>"), "vector-index")
+    lists = described.select("vec_id", "times", "raw", "dim", "prefix", F.explode("pivots").alias("pivot"))
     sizes = described.select("dim", F.explode("pivots").alias("pivot")).groupBy("dim", "pivot").agg(F.count("*").alias("size")).where("size > 1")
     posted = lists.join(sizes, ["dim", "pivot"]).withColumn("list", F.xxhash64("dim", "pivot"))
-    spread = paired_blocks(posted, "list", "size", "vec_id").drop("list", "size")
+    spread = paired_blocks(posted, "list", "size", "vec_id", BLOCK).drop("list", "size")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _links(batches, cosine, shared)
+        return _links(batches, cosine, shared, dtype)
 
     found = cut(map_arrow(spread, links, "a long, b long, n long"), "vector-links")
     joined = components(found.select("a", "b"), "vector-components")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     by_class = (
-        classes.select("unit", F.col("vec_id").alias("first"), "times")
+        classes.select("raw", F.col("vec_id").alias("first"), "times")
         .join(counts, F.col("first") == F.col("a"), "left")
         .join(joined, F.col("first") == F.col("id"), "left")
         .select(
-            "unit", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")
+            F.col("raw").alias("_raw"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")
         )
     )
     usable_row = F.col("vec_id").isNotNull()
-    result = scaled.join(by_class.withColumnRenamed("unit", "_unit"), (F.col("unit") == F.col("_unit")) & usable_row, "left")
+    result = usable_rows.join(by_class, (F.col("raw") == F.col("_raw")) & usable_row, "left")
     component = F.coalesce("component_id", "vec_id")
     return result.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
