@@ -139,3 +139,25 @@ def with_predictions(segments: DataFrame, load: Callable[[], object]) -> DataFra
 
     ship(segments.sparkSession)
     return segments.withColumn("prediction", predict(F.col("segment_text")))
+
+
+SCORES = "struct<logits:array<array<double>>,offsets:array<struct<start:int,end:int>>,ordinals:array<double>>"
+
+
+def with_scores(segments: DataFrame, load: Callable[[], object], transitions: list[list[float]] | None = None) -> DataFrame:
+    """segments with prediction, by any object whose scores(texts) has (logits, offsets, ordinals) for each text.
+
+    Only the forward pass runs in Python, in batches; labels, spans, counts and confidences are worked out in Spark, by Viterbi where transitions are given.
+    """
+
+    @F.pandas_udf(T._parse_datatype_string(SCORES))  # type: ignore[call-overload]
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            rows = [(logits, [{"start": s, "end": e} for s, e in at], ordinals) for logits, at, ordinals in model.scores(list(texts))]
+            yield pd.DataFrame(rows, columns=["logits", "offsets", "ordinals"])
+
+    ship(segments.sparkSession)
+    scored = segments.withColumn("_scores", score(F.col("segment_text")))
+    found = prediction(F.col("_scores.logits"), F.col("_scores.offsets"), F.col("_scores.ordinals"), F.col("segment_text"), transitions)
+    return scored.withColumn("prediction", found).drop("_scores")

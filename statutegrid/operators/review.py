@@ -14,7 +14,7 @@ COLUMNS = (
     "is_substantive", "segment_text", "aim_n_suggested", "aim_text_candidate", "aim_trigger_candidate", "aim_candidate_confidence",
     "has_own_aim_candidate", "needs_review", "review_reason", "model_version", "source_base",
 )
-HEURISTIC, MODEL = "heuristic_extractor", "is-identifier-1.0"
+HEURISTIC, MODEL = "heuristic_extractor", "model-1.0"
 TRIGGER = "array<struct<surface:string,lemma:string,start:int,end:int,span_text:string>>"
 
 

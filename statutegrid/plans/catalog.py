@@ -309,7 +309,7 @@ def stub_model() -> object:
     return Stub()
 
 
-@query(O.of("""SELECT doc_id, segment_id, 1 AS aim_n_suggested, substr(segment_text, 1, 20) AS aim_text_candidate, 0.88::DOUBLE AS aim_candidate_confidence, true AS has_own_aim_candidate, 'is-identifier-1.0' AS model_version FROM segments"""))
+@query(O.of("""SELECT doc_id, segment_id, 1 AS aim_n_suggested, substr(segment_text, 1, 20) AS aim_text_candidate, 0.88::DOUBLE AS aim_candidate_confidence, true AS has_own_aim_candidate, 'model-1.0' AS model_version FROM segments"""))
 def model_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """The same table with a model plugged in."""
     found, _ = run(_blocks(spark, sf, True), load_model=stub_model)

@@ -11,6 +11,7 @@ from statutegrid.operators import model as M
 from statutegrid.operators import review as R
 from statutegrid.operators import verbs as V
 from statutegrid.operators.summary import summary
+from statutegrid.sources import models
 
 
 def one(spark, expression):
@@ -134,6 +135,45 @@ def test_model_candidates_fall_back_in_three_steps(spark):
     assert R.table(rows).columns == ["doc_id", *R.COLUMNS]
 
 
+class Scores:
+    """Marks the second word of a text; the first token is special."""
+
+    def scores(self, texts):
+        for t in texts:
+            words, at, logits = t.split(), [(0, 0)], [[0.0, 0.0, 9.0]]
+            for n, w in enumerate(words):
+                start = t.index(w, at[-1][1])
+                at.append((start, start + len(w)))
+                logits.append([0.0, 2.0, 0.0] if n == 1 else [2.0, 0.0, 0.0])
+            yield logits, at, [1.0, -1.0, -1.0]
+
+
+def test_scores_are_decoded_in_spark(spark):
+    df = spark.createDataFrame([("los socios votan",), ("nada",)], "segment_text string")
+    got = {r["segment_text"]: r["prediction"] for r in M.with_scores(df, Scores).collect()}
+    p = got["los socios votan"]
+    assert [tuple(s) for s in p["spans"]] == [(4, 10, "socios")] and (p["count"], p["ordinal_count"], p["aim_n_bucket"]) == (1, 1, 1)
+    assert p["confidence"] == pytest.approx(0.78699, abs=1e-4) and got["nada"]["count"] == 0
+    crf = M.with_scores(df, Scores, [[0.0, -9.0, 0.0]] * 3).collect()
+    assert {r["segment_text"]: r["prediction"]["count"] for r in crf} == {"los socios votan": 0, "nada": 0}
+
+
+def test_model_references(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        models.resolve(str(tmp_path))
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "model.safetensors").touch()
+    assert models.resolve(str(tmp_path)) == (str(tmp_path / "full"), tmp_path / "full")
+    (tmp_path / "pytorch_model.bin").touch()
+    assert models.resolve(str(tmp_path))[1] == tmp_path
+    (tmp_path / "training_config.json").write_text('{"use_crf": false, "other": 1}')
+    assert models.settings(tmp_path) == models.Settings(use_crf=False) and models.settings(None) == models.Settings()
+    for bad in ("/no/such", "./none", "models/none"):
+        with pytest.raises(FileNotFoundError):
+            models.resolve(bad)
+    assert models.resolve("someone/some-model") == ("someone/some-model", None)
+
+
 def test_summary_order(spark):
     rows = [("d", 1, 7, "f", "v", "body_sentence", True, True, "a;b", n) for n in (10, 2, 2)] + [("d", 2, 7, "f", "v", "heading", False, False, "", 1), ("d", 3, 7, "f", "v", "annex", False, True, "b", 1)]
     df = spark.createDataFrame(rows, "doc_id string, segment_order int, case_id int, source_base string, model_version string, segment_type string, is_substantive boolean, needs_review boolean, review_reason string, aim_n_suggested int")
