@@ -30,6 +30,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 KEPT_CHUNKS = 300_000
 CHUNKS_AT_ONCE = 4096
+#: Longer chunks are walked one character after the other, in memory that a few bytes a character bound.
+LONG_CHUNK = 50_000
 LIST_AT_ONCE = 128
 
 
@@ -209,6 +211,32 @@ class Pieces:
             out[order[k]] = np.array(full, np.int32).tobytes()
         return out
 
+    def long_path(self, chunk: str) -> bytes:
+        """Ids (int32) of one chunk's best path, found as best_paths finds it, without the table of all starts and lengths."""
+        base, check, piece = self.trie.base, self.trie.check, self.trie.piece
+        n = len(chunk)
+        best, ids, back = np.full(n + 1, -np.inf), np.full(n + 1, -1, np.int32), np.ones(n + 1, np.int32)
+        best[0] = 0.0
+        for i, letter in enumerate(chunk):
+            here, state, single = best[i], 0, False
+            for k in range(min(self.longest, n - i)):
+                code = self.code.get(chunk[i + k] if k else letter, 0)
+                to = int(base[state]) + code
+                if not code or check[to] != state or to == 0:
+                    break
+                state = to
+                if (id_ := int(piece[state])) >= 0:
+                    single |= k == 0
+                    if (got := here + self.score[id_]) > best[i + k + 1]:
+                        best[i + k + 1], ids[i + k + 1], back[i + k + 1] = got, id_, k + 1
+            if not single and (got := here + self.unknown_score) > best[i + 1]:
+                best[i + 1], ids[i + 1], back[i + 1] = got, -1, 1
+        path, at = [], n
+        while at:
+            path.append(self.spelled(chunk[at - 1 : at])[::-1] if ids[at] < 0 else [int(ids[at])])
+            at -= int(back[at])
+        return np.array([x for part in path for x in part][::-1], np.int32).tobytes()
+
     def _chunks(self, text: str) -> list[str]:
         """Chunks of a text; a marker of the text itself stands as a chunk of a NUL and the marker."""
         parts = text.split(MARK)
@@ -227,7 +255,9 @@ class Pieces:
             new = list(dict.fromkeys(c for chunks in cut for c in chunks))
         plain = []
         for c in new:
-            if c == "\0" + MARK:
+            if len(c) > LONG_CHUNK and c[0] in self.code:
+                self.paths[c] = self.long_path(c)
+            elif c == "\0" + MARK:
                 self.paths[c] = np.array(self.spelled(MARK), np.int32).tobytes()
             elif c[0] not in self.code:
                 self.paths[c] = np.array(self.spelled(c), np.int32).tobytes()

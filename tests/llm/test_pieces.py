@@ -58,6 +58,14 @@ def test_paths_against_all_segmentations(seed):
         assert p.decode(ids) == text
 
 
+def test_long_chunks_have_the_same_paths():
+    p, rng = small(1), random.Random(5)
+    chunks = [MARK + "".join(rng.choice("abcé") for _ in range(n)) for n in (0, 1, 5, 300)]
+    assert [p.long_path(c) for c in chunks] == p.best_paths(chunks)
+    text = "abc" * (pieces.LONG_CHUNK // 3 + 10)
+    assert p.decode(np.frombuffer(p.encode_batch([text])[0], np.int32).tolist()) == text
+
+
 def test_double_array_holds_its_words_only():
     p = small()
     for word in map("".join, itertools.product("abc" + MARK, repeat=3)):
