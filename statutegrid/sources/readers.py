@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
 from statutegrid.functions.spread import by_document
-from statutegrid.operators.blocks import blocks_of, paragraphs
+from statutegrid.operators.blocks import markdown_blocks, paragraphs
 from statutegrid.operators.pipeline import base_name
 
 SUFFIXES = (".pdf", ".docx", ".txt", ".md")
@@ -60,12 +60,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, kind, content in zip(*(batch.column(c).to_pylist() for c in ("path", "suffix", "content")), strict=True):
             if kind == ".docx":
-                rows = [(path, n, None, t) for n, t in enumerate(docx_paragraphs(content))]
+                rows = [(path, kind, n, None, t) for n, t in enumerate(docx_paragraphs(content))]
             else:
-                rows = [(path, n, n + 1, t) for n, t in enumerate(pdf_pages(content))]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "unit_no", "page", "text"])
+                rows = [(path, kind, n, n + 1, t) for n, t in enumerate(pdf_pages(content))]
+            columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "suffix", "unit_no", "page", "text"])
 
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -95,16 +95,16 @@ def read_blocks(spark: SparkSession, path: str | list[str], strict: bool = True)
     found = files(spark, path)
     if strict:
         check_types(found)
-    found = by_document(found, "path")
     plain = found.where(F.col("suffix").isin(".txt", ".md")).select(
-        F.col("path").alias("doc_id"), base_name(F.col("path")).alias("source_base"), "suffix", decoded(F.col("content")).alias("text")
+        "path", "suffix", F.lit(0).alias("unit_no"), F.lit(None).cast("int").alias("page"), decoded(F.col("content")).alias("text")
     )
-    plain = blocks_of(plain, F.when(F.col("suffix") == ".md", "md").otherwise("txt")).drop("suffix")
-    packed = map_arrow(found.where(F.col("suffix").isin(".docx", ".pdf")), _packed, "path string, unit_no int, page int, text string")
-    parts = F.when(F.col("page").isNull(), F.array("text")).otherwise(paragraphs(F.col("text")))
-    spread = packed.select("path", "unit_no", "page", F.posexplode(parts).alias("part_no", "text"))
-    packed = spread.select(
+    packed = map_arrow(found.where(F.col("suffix").isin(".docx", ".pdf")), _packed, "path string, suffix string, unit_no int, page int, text string")
+    # dealt out by document before texts become many rows
+    units = by_document(plain.unionByName(packed), "path")
+    form = F.col("suffix")
+    parts = F.when(form == ".md", markdown_blocks(F.col("text"))).when(form == ".docx", F.array("text")).otherwise(paragraphs(F.col("text")))
+    spread = units.select("path", "unit_no", "page", F.posexplode(parts).alias("part_no", "text"))
+    return spread.select(
         F.col("path").alias("doc_id"), base_name(F.col("path")).alias("source_base"),
-        (F.col("unit_no") * 100_000 + F.col("part_no")).alias("block_no"), "page", "text",
+        (F.shiftleft(F.col("unit_no").cast("long"), 32) + F.col("part_no")).alias("block_no"), "page", "text",
     )
-    return plain.unionByName(packed)
