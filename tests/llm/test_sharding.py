@@ -34,6 +34,34 @@ def test_bytes_are_near_equal_with_a_hot_group(spark, per_bin):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_splitters_against_a_sorted_list(spark):
+    rows = [(i, f"t{i % 700 if i % 5 else 1}", 10 + (i * 7919) % 400) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    placed = sharding.shard_by_bytes(df, F.col("text"), F.col("doc_id"), F.col("size"), 16)
+    keyed = placed.select("*", F.xxhash64("text").alias("g"), F.xxhash64("doc_id", F.lit("row")).alias("r")).collect()
+    order = sorted(keyed, key=lambda r: (r["g"] % 2**64, r["r"] % 2**64))
+    shards = [r["shard"] for r in order]
+    assert shards == sorted(shards)  # shards are ranges of the order
+    total, largest = sum(r[2] for r in rows), max(r[2] for r in rows)
+    ends, below, groups = [0], 0, {}
+    for r in order:
+        below += r["size"]
+        ends.append(below)
+        groups[r["g"]] = groups.get(r["g"], 0) + r["size"]
+    below, cuts = 0, {}
+    for n, r in enumerate(order):
+        if n and r["shard"] != order[n - 1]["shard"]:
+            for j in range(order[n - 1]["shard"] + 1, r["shard"] + 1):
+                cuts[j] = (below, r["g"] == order[n - 1]["g"], r["g"])
+        below += r["size"]
+    near = total / 16 * sharding.TOLERANCE
+    for j, (at, inside, group) in cuts.items():
+        best = min(abs(e - total * j / 16) for e in ends)
+        assert abs(at - total * j / 16) <= max(best, near, largest)
+        if inside:  # only a group larger than any row is cut
+            assert groups[group] > max(near, largest)
+
+
 def test_odd_rows_and_few_rows(spark, odd_docs, no_docs, tmp_path):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sharding.op10_histogram_shards(spark, str(tmp_path)).collect()
