@@ -9,27 +9,44 @@ from statutegrid.llm.common import cut, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier, fitted on the labelled ones among them, accepts."""
+    """Documents that the line classifier, fitted on the labelled ones among them, accepts.
+
+    Texts that are null, empty or blank score the prior, so a corpus of mostly good documents keeps them; repeated rows fare alike;
+    an empty table stays empty; columns of any name come through.
+    """
     return line_crf.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id.
+
+    Texts without words and rows without an id are nobody's copies and stay; rows that repeat an id stay or go together; an empty
+    table stays empty; columns of any name come through.
+    """
     return minhash.deduplicated(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates."""
+    """Personal data replaced by surrogates; n_chars follows the text.
+
+    Every row stays; null and empty texts stay as they are; equal entities get equal surrogates in all rows; an empty table stays empty.
+    """
     return surrogates.private_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one on a source's cut in part."""
+    """Documents as often as the mix takes them; the one on a source's cut in part, with its own n_chars.
+
+    A null source is a source of its own; texts without words weigh nothing and are not taken; repeated rows share out alike on every run; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces; decoding is checked on every one."""
+    """Documents with the ids of their pieces; decoding is checked on every one.
+
+    Null and empty texts have no pieces; every row stays; an empty table stays empty.
+    """
     return pieces.encode(docs, pieces.Pieces.load())
 
 

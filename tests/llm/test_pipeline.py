@@ -29,3 +29,18 @@ def test_run_gives_the_stages_rows(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     assert corpus_pipeline.run(spark, sf).count() == corpus_pipeline.run(spark, sf).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "PII surrogates", "mix to target weights", "unigram pieces"]
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, None), (None, 1, 1), (9, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd_docs, str(tmp_path))
+        assert out.columns[: len(odd_docs.columns)] == odd_docs.columns
+        ids = {r["doc_id"] for r in out.collect()}
+        if n == 1:
+            assert ids == {None, 1, 3, 4, 5, 6, 8}
+        elif n == 3:
+            assert ids <= {r["doc_id"] for r in odd_docs.collect()} - {3, 4, 5}  # no words, nothing to take
+        elif n:
+            assert out.count() == odd_docs.count()
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0
