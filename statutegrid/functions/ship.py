@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -29,6 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
-    """df.mapInArrow, with the package on the executors."""
+    """df.mapInArrow, with the package on the executors; a worker that waits for its next task holds no free Arrow memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
