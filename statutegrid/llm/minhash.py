@@ -40,7 +40,7 @@ class _Words(dict):
     """64-bit hashes of words, kept while they are few enough."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Scores of unknown characters lie this far below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 200_000
 CHUNKS_AT_ONCE = 4096
 #: Longer chunks are walked one character after the other, in memory that a few bytes a character bound.
 LONG_CHUNK = 50_000
