@@ -1,9 +1,11 @@
 """Operator 3, near-duplicate vectors by a pivot-permutation index.
 
 Reference points (pivots) are drawn from the vectors: about 4 sqrt(n), at most MAX_PIVOTS, the rows of the smallest id hashes, without those
-that nearly repeat another pivot. A vector is described by its PREFIX nearest pivots in order. An inverted list a pivot holds the
+that nearly repeat another pivot; the mean of the drawn rows is taken off first, so a direction that all vectors share neither thins out
+the pivots nor fills a few lists. A vector is described by its nearest pivots in order, as many as pairs at the threshold need: probes on
+the drawn rows tell (`prefix_length`). An inverted list a pivot holds the
 vectors that name it; two vectors become candidates if their prefixes share at least MIN_SHARED pivots, and are judged in the list of
-the first one that they share. Lists are cut into blocks, so each task holds two bounded blocks and counts links by matrix products; what
+the first one that they share. Where that would take more work than all pairs, one list holds all vectors, and nothing is missed. Lists are cut into blocks, so each task holds two bounded blocks and counts links by matrix products; what
 leaves it are counts by vector and an edge from each linked vector to the smallest id of its part of the block.
 Every vector is indexed; equal vectors are one, with their number.
 """
@@ -23,7 +25,9 @@ from statutegrid.llm.blocks import block_labels, grouped, matrix, paired_blocks
 from statutegrid.llm.common import components, cut, table
 
 COSINE = 0.9
-PREFIX, MIN_SHARED = 8, 2
+#: PREFIX is the shortest prefix; longer ones follow from the share of PROBES pairs at the threshold that must become candidates.
+PREFIX, MIN_SHARED = 12, 2
+PROBES, TARGET = 512, 0.995
 BLOCK = 1024
 MIN_PIVOTS, MAX_PIVOTS, PIVOT_GAP = 64, 65_536, 0.8
 
@@ -69,6 +73,46 @@ def prefixes(units: np.ndarray, pivots: np.ndarray, length: int = PREFIX) -> np.
     return np.take_along_axis(part, order, 1).astype(np.int32)
 
 
+def centred(units: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Directions as seen from the centre; rows at the centre have none and go."""
+    v = units - centre
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    far = length[:, 0] > 1e-6
+    return v[far] / length[far]
+
+
+def prefix_length(units: np.ndarray, centre: np.ndarray, pivots: np.ndarray, cosine: float, shared: int, least: int) -> int:
+    """Shortest prefix, `least` at least, with which TARGET of the probes become candidates; 0 if all pairs are less work.
+
+    A probe is a row and what lies at the threshold from it, in the direction of the row before it: pairs as hard as the table's own can be.
+    A row that is a pivot itself is probed without that pivot.
+    Lists of prefixes longer than the root of the number of pivots hold more pairs than there are.
+    """
+    most = math.isqrt(len(pivots))
+    if most < least:
+        return 0
+    other = np.roll(units, 1, axis=0)
+    side = other - (units * other).sum(1, keepdims=True) * units
+    size = np.linalg.norm(side, axis=1, keepdims=True)
+    usable = np.flatnonzero(size[:, 0] > 1e-6)[-PROBES:]
+    if not len(usable):
+        return 0
+    one = units[usable]
+    two = cosine * one + math.sqrt(max(0.0, 1 - cosine * cosine)) * side[usable] / size[usable]
+    place = np.arange(1, most + 1)
+    later = np.maximum(place[:, None], place[None, :])
+    needed = []
+    for i in range(0, len(one), 64):
+        a, b = (prefixes(v[i : i + 64] - centre, pivots, most) for v in (one, two))
+        seen = one[i : i + 64] - centre
+        own = (seen * pivots[a[:, 0]]).sum(1) > (1 - 1e-9) * np.linalg.norm(seen, axis=1)
+        a[own, 0] = -1
+        met = np.where(a[:, :, None] == b[:, None, :], later, most + 1).reshape(len(a), -1)
+        needed.append(np.partition(met, shared - 1, axis=1)[:, shared - 1])
+    length = int(np.quantile(np.concatenate(needed), TARGET, method="higher"))
+    return max(least, length) if length <= most else 0
+
+
 def _units(raw: list[bytes], dtype: str) -> np.ndarray:
     """Rows in double precision at length 1."""
     v = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
@@ -123,7 +167,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     """vectors (vec_id, embedding) as one row a row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of different
-    length. Rows that repeat an id and its vector are one vector, and all get its result; a null id links with nothing and is kept. No
+    length. `prefix` is the shortest prefix used. Rows that repeat an id and its vector are one vector, and all get its result; a null id links with nothing and is kept. No
     rows, no result. Equal vectors are linked with each other whatever rounding says. Other columns are ignored.
     """
     # components travel in the precision that they came in, and are worked on in double
@@ -145,7 +189,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     drawn: dict[int, list[bytes]] = {}
     for r in classes.select("vec_id", "raw").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * wanted).collect():
         drawn.setdefault(len(r["raw"]) // size, []).append(bytes(r["raw"]))
-    pivots = {dim: choose_pivots(_units(raw, dtype), wanted) for dim, raw in drawn.items()}
+    ranking: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    for dim, raw in drawn.items():
+        sample = _units(raw, dtype)
+        centre = sample.mean(0)
+        pivots = choose_pivots(centred(sample, centre), wanted)
+        if length := prefix_length(sample, centre, pivots, cosine, shared, prefix):
+            ranking[dim] = (centre, pivots, length)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -156,9 +206,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
                 marks: list[bytes | None] = [None] * len(data)
                 for dim in set(dims.tolist()):
                     at = np.flatnonzero(dims == dim)
-                    # a length that the draw missed has one list, of all its vectors
-                    if dim in pivots:
-                        found = prefixes(_units([data[i] for i in at], dtype), pivots[dim], prefix)
+                    # one list of all vectors where that is less work, and for a length that the draw missed
+                    if dim in ranking:
+                        centre, pivots, length = ranking[dim]
+                        found = prefixes(_units([data[i] for i in at], dtype) - centre, pivots, length)
                     else:
                         found = np.zeros((len(at), 1), np.int32)
                     for i, p in zip(at, found, strict=True):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from statutegrid.llm import pivot_index
 from statutegrid.llm.blocks import block_labels
@@ -55,6 +56,35 @@ def test_recall_against_brute_force_near_the_threshold_and_a_hot_group(spark):
     assert all(got[i] == want[i] for i in hot)
 
 
+def test_recall_at_the_threshold_where_vectors_share_a_direction(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    n, planted = 12_000, 400
+    base = unit(np.sqrt(0.7) * unit(rng.normal(size=64)) + np.sqrt(0.3) * unit(rng.normal(size=(n, 64))))  # mean cosine 0.7
+    a, b = base[:planted], base[planted : 2 * planted]
+    c = rng.uniform(0.90, 0.92, size=(planted, 1))
+    rows = np.float32(np.concatenate([base, c * a + np.sqrt(1 - c * c) * unit(b - (a * b).sum(1, keepdims=True) * a)]))
+    units = unit(rows.astype(np.float64))
+    want = np.concatenate([(units[i : i + 2000] @ units.T >= 0.9).sum(1) - 1 for i in range(0, len(units), 2000)])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(list(rows), pa.list_(pa.float32()))})).repartition(4)
+    got = np.array([r["n_links"] for r in pivot_index.near_vectors(df).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= 0.97 * want.sum()
+    assert got[n:].sum() >= 0.97 * want[n:].sum() and (want[n:] > 0).mean() > 0.9
+
+
+def test_prefixes_are_as_long_as_the_table_needs():
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    lengths = []
+    for share in (0.0, 0.7, 0.97):
+        v = unit(np.sqrt(share) * np.eye(64)[0] + np.sqrt(1 - share) * unit(rng.normal(size=(3000, 64))))
+        centre = v.mean(0)
+        pivots = pivot_index.choose_pivots(pivot_index.centred(v, centre), 1500)
+        assert len(pivots) == 1500
+        lengths.append(pivot_index.prefix_length(v, centre, pivots, 0.9, 2, pivot_index.PREFIX))
+    assert pivot_index.PREFIX <= lengths[0] < lengths[1] and lengths[2] == 0  # 0: all pairs
+
+
 def test_prefixes_and_labels():
     pivots = np.eye(4)
     assert pivot_index.prefixes(np.array([[0.1, 0.9, 0.3, 0.3]]), pivots, 3).tolist() == [[1, 2, 3]]
