@@ -24,11 +24,12 @@ BROADCAST_ROWS = 200_000
 
 _MALE = "Mr|Mister|Herr|Señor|Sr|Monsieur|Господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа"
+_SECRET_WORDS = "token|secret|password|passwd|api[_-]?key|access[_-]?key"
 _NAME = r"\p{Lu}[\p{L}\p{M}’'-]+"
 #: In order: an alternative that stands earlier wins where two begin at one place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{16,}[\"']?",
+    "secret": rf"(?i:\b(?:{_SECRET_WORDS})\b\s{{0,3}}[=:]\s{{0,3}}[\"']?)[A-Za-z0-9_/+-]{{16,}}[\"']?",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "phone": r"\+1[^\p{L}\p{N}\n]{1,8}\d{3}[^\p{L}\p{N}\n]{1,8}\d{3}[^\p{L}\p{N}\n]{1,8}\d{4}(?!\d)|\+(?!1\D)\d{1,3}[ .()-]{1,3}\d{2,4}(?:[ .()-]{1,3}\d{2,4}){1,4}(?!\d|\.\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
@@ -38,7 +39,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[\d@]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|(?i:token|secret|passw|key)\b"
+HINT = rf"[\d@]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|(?i:{_SECRET_WORDS})\s{{0,3}}[=:]"
 _ISSUER = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-8]|30[0-5]|6(?:011|4[4-9]|5|2))"
 
 #: Fixed parts that surrogate names are put together from, by script.

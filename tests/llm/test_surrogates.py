@@ -42,6 +42,20 @@ def test_types_formats_and_coreference(spark):
     assert [got[i]["n_entities"] for i in range(6)] == [2, 3, 4, 2, 4, 2]
 
 
+def test_each_kind_is_found_in_a_text_with_nothing_else(spark):
+    value = "correct-horse-battery-staple"
+    words = "token secret password passwd apikey api_key api-key accesskey access_key access-key Password PASSWD".split()
+    texts = [f"{w}{mark}{value}" for w in words for mark in (" = ", ": ", "=", ' : "')]
+    texts += [f"the {w} = {value} of host number 7" for w in words]  # found before, as it holds a digit
+    got = run(spark, texts)
+    assert all(r["n_entities"] == 1 and value not in r["text"] for r in got.values())
+    drawn = {re.search(r"[=:]\s?\"?([a-z-]+)", r["text"])[1] for r in got.values()}
+    assert len(drawn) == 1  # one secret, one surrogate
+    names = [f"{t}{dot} Özil" for t in (surrogates._MALE + "|" + surrogates._FEMALE).split("|") for dot in ("", ".")]
+    got = run(spark, names + ["no password here, only tokens: short"])
+    assert [got[i]["n_entities"] for i in range(len(names) + 1)] == [1] * len(names) + [0]
+
+
 def test_genders_and_keys(spark):
     texts = [f"Herr {n} und Frau {n}" for n in ("Karl Lang", "Eva Kurz")]
     got = run(spark, texts)
