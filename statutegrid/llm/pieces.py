@@ -1,6 +1,7 @@
 """Operator 4, SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-Text is taken as it is (no normalisation); blanks become the marker U+2581 and one marker comes before a text. Of all
+Scores are log probabilities. The public 32,000-piece model lists merge ranks instead; `log_scores` reads a rank as a frequency rank under the
+Zipf-Mandelbrot law, log p = -log(rank + 2.7) - log(sum over all pieces), so nothing is fitted to any corpus. Text is taken as it is (no normalisation); blanks become the marker U+2581 and one marker comes before a text. Of all
 ways to write the text in pieces, the one of the largest sum of scores is taken; among equals the one whose last pieces begin first.
 A character that no piece spells is written as its UTF-8 bytes; so is the marker where the text itself holds it, so that decoding is exact.
 
@@ -26,6 +27,8 @@ from statutegrid.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Offset of the Zipf-Mandelbrot law, and the grain of scores: sums of multiples of it are exact, so equal paths tie whatever the order of their pieces.
+ZIPF_OFFSET, GRAIN = 2.7, 2.0**-16
 #: Scores of unknown characters lie this far below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 KEPT_CHUNKS = 200_000
@@ -91,6 +94,29 @@ class DoubleArray:
         return cls(base, check, piece)
 
 
+def log_scores(scores: list[float], kinds: list[str]) -> list[float]:
+    """Log probabilities of the normal pieces by their rank, the highest score first, ties by id; other pieces' scores stay.
+
+    Only scores that are whole numbers are ranks; others are log probabilities already and stay as they are.
+    """
+    order = sorted((i for i, k in enumerate(kinds) if k == "normal"), key=lambda i: (-scores[i], i))
+    if not order or any(scores[i] != int(scores[i]) for i in order):
+        return scores
+    places = np.arange(1, len(order) + 1) + ZIPF_OFFSET
+    logs = -np.log(places) - np.log((1 / places).sum())
+    out = np.array(scores, np.float64)
+    out[order] = np.round(logs / GRAIN) * GRAIN
+    return out.tolist()
+
+
+def _read(path: str) -> tuple[list[str], list[float], list[str]]:
+    """Names, scores and kinds of a model file's pieces."""
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    n = m.get_piece_size()
+    kinds = ["byte" if m.is_byte(i) else "unknown" if m.is_unknown(i) else "control" if m.is_control(i) or m.is_unused(i) else "normal" for i in range(n)]
+    return [m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], kinds
+
+
 @dataclass
 class Pieces:
     """A unigram model: pieces with scores, byte pieces, and their trie over character codes."""
@@ -133,10 +159,14 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = m.get_piece_size()
-        kinds = ["byte" if m.is_byte(i) else "unknown" if m.is_unknown(i) else "control" if m.is_control(i) or m.is_unused(i) else "normal" for i in range(n)]
-        return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], kinds)
+        """The model with the scores that its file lists."""
+        return cls(*_read(path))
+
+    @classmethod
+    def unigram(cls, path: str = MODEL) -> Pieces:
+        """The model with log probabilities for scores, also where its file lists ranks."""
+        names, scores, kinds = _read(path)
+        return cls(names, log_scores(scores, kinds), kinds)
 
     def spelled(self, text: str) -> list[int]:
         """A text in byte pieces; the unknown piece where the model has no byte pieces."""
@@ -323,7 +353,7 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
 
 def op4_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, Pieces.load(), drop=("text",)).select("doc_id", "n_pieces", "n_byte_pieces", "round_trip", "pieces")
+    return encode(docs, Pieces.unigram(), drop=("text",)).select("doc_id", "n_pieces", "n_byte_pieces", "round_trip", "pieces")
 
 
 QUERIES = {"op4_unigram_pieces": op4_unigram_pieces}

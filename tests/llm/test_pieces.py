@@ -99,6 +99,43 @@ def test_paths_are_those_of_the_library():
         assert np.frombuffer(raw, np.int32).tolist() == lib.encode(text)
 
 
+def test_log_scores_are_log_probabilities_by_rank():
+    kinds = ["unknown", "byte", "normal", "normal", "normal", "control"]
+    got = pieces.log_scores([0.0, 0.0, -3.0, -1e9, -2.0, 0.0], kinds)
+    assert got[4] > got[2] > got[3] and [got[i] for i in (0, 1, 5)] == [0.0, 0.0, 0.0]
+    assert sum(np.exp([got[i] for i in (2, 3, 4)])) == pytest.approx(1, abs=1e-4)
+    assert all(x / pieces.GRAIN == int(x / pieces.GRAIN) for x in got)
+    assert pieces.log_scores([-1.5, -2.0], ["normal"] * 2) == [-1.5, -2.0] and pieces.log_scores([0.0], ["byte"]) == [0.0]
+
+
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary files")
+def test_log_scores_keep_frequent_words_whole_and_agree_with_the_library():
+    import duckdb
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    own = Pieces.unigram()
+    ids = lambda text: np.frombuffer(own.encode_batch([text])[0], np.int32).tolist()
+    frequent = "the of and to in is that for it with as on this members community shall pay annual fee la los para que por mit der und für les des dans"
+    assert all(len(ids(w)) == 1 for w in frequent.split())
+    assert len(ids("The members of the irrigation community shall pay the annual fee.")) == 13
+    # as a unigram model with these scores, the public library finds the same paths
+    with open(pieces.MODEL, "rb") as f:
+        proto = pb.ModelProto.FromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for x, score in zip(proto.pieces, own.scores, strict=True):
+        x.score = score
+    lib = sentencepiece.SentencePieceProcessor()
+    lib.LoadFromSerializedProto(proto.SerializeToString())
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    given = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    words = [w for t in texts[:100] for w in t.split()]
+    for w in dict.fromkeys(words):  # single precision adds few scores exactly: ties may differ, sums may not
+        assert sum(own.scores[i] for i in ids(w)) == pytest.approx(sum(own.scores[i] for i in lib.encode(w)), abs=1e-3)
+    n = sum(len(x) // 4 for x in own.encode_batch(texts))
+    assert n <= 1.02 * sum(map(len, given.encode(texts)))
+
+
 def test_frames(spark, odd_docs, no_docs):
     p = small()
     odd = odd_docs.unionByName(odd_docs.limit(1).selectExpr("99L AS doc_id", f"'a{MARK}b {MARK}' AS text", "lang", "source", "n_chars", "score", "shard"))
