@@ -47,7 +47,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no pieces; every row stays; an empty table stays empty.
     """
-    return pieces.encode(docs, pieces.Pieces.load())
+    return pieces.encode(docs, pieces.Pieces.unigram())
 
 
 STAGES = [
