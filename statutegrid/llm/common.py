@@ -15,6 +15,9 @@ from statutegrid.functions.spread import balanced
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
+#: What a table may take, written out, to be broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 64 << 20
+
 _own_folder: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -71,6 +74,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, or wanted with as many underscores as make it another name than those taken; case does not tell names apart."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows, written out, take no more than so many bytes; for tables that `cut` wrote."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long) by alternating large-star and small-star steps.
 

@@ -2,7 +2,23 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from statutegrid.llm import surrogates
+from tests.llm import plain_surrogates
+
+MIXED = [
+    "Dr Anna Kovacs and Mrs. Anna Smith met Prof. Dr. Maria Garcia. Later Anna's friend Smith left; Maria agreed, and so did Kovacs-Smith.",
+    "Mr John Smith signed. Later Smith left; John Smith agreed, a smith and a Smithson did not. Fräulein Schmidt, Herr Dr. Karl Lang.",
+    "Κυρία Μαρία Παπαδοπούλου και Κύριος Νίκος Ρίτσος: Ρίτσος. Госпожа Анна Петрова и Петрова.",
+    "212-555-0188 is (212) 555-0188 is +1 (212) 555-0188 is 212.555.0188, not 1212-555-01888; 123-45-6789 and 20-2125-550188",
+    "IBAN DE89 3704 0044 0532 0130 00, DE89370400440532013000 or GB82 WEST 1234 5698 7654 32 WORD; order AB12 CD34 EF56 GH78, DE88 3704 0044 0532 0130 00",
+    "Mail John.Doe@Example.com, john.doe@example.com and JOHN.DOE@EXAMPLE.COM",
+    "a \ufdd0 and a \ufdd0\ufdd2 stay, 8.8.8.8\ufdd0 goes: \ufdd0123-45-6789",
+    "Mr Martin met Martin Luther and Dr Martin Luther; Mr O'Brien-Lee's car, O'Brien-Lee's house",
+    "password = correct-horse-battery-staple; no card 1234567890123456 but 378282246310005 and 4111-1111-1111-1111",
+    "", " \n ", None, "nothing here",
+]
 
 
 def run(spark, texts, **more):
@@ -103,3 +119,61 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_native(spark, odd_docs):
     plan = surrogates.pseudonymised(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F.lit(1) is not None
+
+
+def test_texts_are_those_of_the_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    texts = MIXED + [r["text"] for r in docs]
+    got, want = run(spark, texts, key="k"), plain_surrogates.pseudonymised(texts, "k")
+    for i, (text, n) in enumerate(want):
+        assert (got[i]["text"], got[i]["n_entities"]) == (text, n)
+    assert sum(n > 0 for _, n in want) > 30
+
+
+def test_names_found_once_go_wherever_they_stand(spark):
+    got = run(spark, MIXED, key="k")
+    text = [got[i]["text"] for i in range(len(MIXED))]
+    assert not re.search(r"\b(Anna|Kovacs|Smith|Maria|Garcia)\b", text[0].replace("Kovacs-Smith", ""))
+    anna, kovacs, anna2, smith, maria, _, anna3, smith2, maria2 = re.match(
+        r"Dr (\w+) (\w+) and Mrs\. (\w+) (\w+) met Prof\. Dr\. (\w+) (\w+)\. Later (\w+)'s friend (\w+) left; (\w+) agreed", text[0]
+    ).groups()
+    assert anna == anna2 == anna3 and smith == smith2 and maria == maria2 and kovacs != smith
+    assert anna.endswith(tuple(surrogates._ENDS["latin", "given_f"].split())) and maria.endswith(tuple(surrogates._ENDS["latin", "given_n"].split()))
+    assert "John" not in text[1] and not re.search(r"\bSmith\b", text[1]) and "a smith and a Smithson did not" in text[1] and "Schmidt" not in text[1]
+    assert re.match(r"Κυρία (\p{Greek}+ ){2}και Κύριος \p{Greek}+ (\p{Greek}+): \2\. Госпожа \p{Cyrillic}+ (\p{Cyrillic}+) и \3\.$".replace(r"\p{Greek}", "[Ͱ-Ͽ]").replace(r"\p{Cyrillic}", "[Ѐ-ӿ]"), text[2])
+    a, b, c, d = re.match(r"([\d-]{12}) is \((\d{3}\) \d{3}-\d{4}) is \+1 \((\d{3}\) \d{3}-\d{4}) is ([\d.]{12}), not 1212-555-01888; \d{3}-\d\d-\d{4} and 20-2125-550188$", text[3]).groups()
+    assert len({re.sub(r"\D", "", x) for x in (a, b, c, d)}) == 1 and a != "212-555-0188"
+    one, two, three = re.match(r"IBAN (DE[\d ]{25}), (DE\d{20}) or (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) WORD; order AB12 CD34 EF56 GH78, DE88 3704 0044 0532 0130 00$", text[4]).groups()
+    assert one.replace(" ", "") == two != "DE89370400440532013000"
+    assert all(plain_surrogates.mod_97(x.replace(" ", "")[4:] + x[:4]) == 1 for x in (one, three))
+    assert re.match(r"Mail [A-Z][a-z]{3}\.[A-Z][a-z]{2}@[A-Z][a-z]{6}\.example, [a-z.]+@[a-z]+\.example and [A-Z.]+@[A-Z]+\.EXAMPLE$", text[5])
+    assert text[6].startswith("a \ufdd0 and a \ufdd0\ufdd2 stay, 10.") and "123-45" not in text[6] and "8.8.8.8" not in text[6]
+
+
+def test_a_dense_kind_gets_longer_forms(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 1)
+    entities = spark.createDataFrame([("ssn", f"{i}") for i in range(10)], "kind string, norm string")
+    other = {r["norm"]: r["core"] for r in surrogates.redraws(entities, "k").collect()}
+    assert len(other) == 10 and len(set(other.values())) == 10 and all(len(x) > 1 and x.isdigit() for x in other.values())
+    assert other == {n: c for (_, n), c in plain_surrogates.settled({("ssn", f"{i}") for i in range(10)}, "k").items()}
+
+
+def test_a_key_is_required_where_others_could_guess_it(spark):
+    class Elsewhere:
+        class sparkContext:
+            master = "yarn"
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError, match="key"):
+        surrogates.secret_key(Elsewhere)
+    assert surrogates.secret_key(Elsewhere, "given") == "given"
+    assert surrogates.secret_key(spark) == surrogates.secret_key(spark) != surrogates.QUERY_KEY
+
+
+def test_columns_of_any_name_come_through(spark):
+    own = "row new redrawn h text2 kind core m _found _redrawn _given a.b".split()
+    docs = spark.createDataFrame([(1, "8.8.8.8", *range(len(own)))], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in own))
+    out = surrogates.private_documents(docs, "k")
+    assert out.columns == docs.columns and tuple(out.first())[2:] == tuple(range(len(own)))
