@@ -31,7 +31,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays; null and empty texts stay as they are; equal entities get equal surrogates in all rows; an empty table stays empty.
     """
-    return surrogates.private_documents(docs)
+    return surrogates.private_documents(docs, surrogates.QUERY_KEY)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
