@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ WORD = rf"[^{BLANKS}]+"
 BROADCAST_BYTES = 64 << 20
 
 _own_folder: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+#: Scratch tables by open `scratch` block; the first list lives as long as the driver.
+_written: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder["path"]
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; removed when the driver ends."""
+def scratch_path(spark: SparkSession, label: str, outer: bool = False) -> str:
+    """A new path under the shared folder; removed when the innermost `scratch` block (outer: the one around it) or the driver ends."""
     path = f"{shared_folder(spark)}/statutegrid/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[-2 if outer and len(_written) > 1 else -1].append((spark, path))
     return path
 
 
@@ -56,20 +59,35 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _remove_last() -> None:
+    for spark, path in _written.pop():
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Scratch tables of operators called inside are removed at its end: results must be written by then, by `cut(df, label, outer=True)` or elsewhere."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        _remove_last()
+
+
 @atexit.register
 def _remove_all() -> None:
-    for spark, path in _written:
+    while _written:
         try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
+            _remove_last()
         except Exception:  # the session may be gone; the folder is scratch space
-            return
+            continue
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
