@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statutegrid.functions.text import let
 from statutegrid.llm.common import WORD, table
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -52,40 +53,52 @@ def part_tokens(part: Column) -> Column:
     )
 
 
-def visit(part: Column, number: Column) -> Column:
-    """What a part writes: escaped text, or the placeholder of its kind and number."""
+#: Stands for an attachment until its number is known: a noncharacter and a second one; the first one in a text itself is escaped.
+_HERE, _SELF = "\ufdd0\ufdd2", "\ufdd0\ufdd1"
+
+
+def visit(part: Column) -> Column:
+    """What a part writes before numbers and escapes: its text, or the mark of an attachment."""
+    text = F.replace(F.coalesce(part["text"], F.lit("")), F.lit(_SELF[0]), F.lit(_SELF))
+    return F.when(part["kind"] == "text", text).otherwise(F.lit(_HERE))
+
+
+def placeholder(part: Column, number: Column) -> Column:
     kind = F.when(part["kind"].isin("image", "audio", "document"), part["kind"]).otherwise(F.lit("attachment"))
-    return F.when(part["kind"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
-    )
+    return F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
 
 
 def flatten(parts: Column) -> Column:
     """struct(content, tokens, attachments) of a message's parts, in order; null parts and null arrays write nothing.
 
-    attachments: array of (number from 1 in the message, kind, ref, part index, tokens).
+    attachments: array of (number from 1 in the message, kind, ref, part index, tokens). Text parts that follow each other are
+    one text before it is escaped, so no control string can grow over their border. Work grows in proportion to the parts.
     """
     some = F.filter(F.coalesce(parts, F.array().cast(PART)), lambda p: p.isNotNull())
     some = F.transform(some, lambda p: p.withField("kind", F.coalesce(p["kind"], F.lit("attachment"))))
     pieces = F.transform(
         some,
-        lambda p, i: F.struct(
-            visit(p, F.size(F.filter(F.slice(some, F.lit(1), i + 1), lambda q: q["kind"] != "text"))).alias("out"),
-            part_tokens(p).alias("tokens"), p["kind"].alias("kind"), p["ref"].alias("ref"), i.alias("part"),
-        ),
-    )
-    attached = F.filter(pieces, lambda x: x["kind"] != "text")
-    return F.struct(
-        F.array_join(F.transform(pieces, lambda x: x["out"]), "").alias("content"),
-        F.aggregate(F.transform(pieces, lambda x: x["tokens"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
-        F.transform(
-            attached,
-            lambda x, i: F.struct(
-                (i + 1).alias("number"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["part"].alias("part"), x["tokens"].alias("tokens")
-            ),
-        ).alias("attachments"),
+        lambda p, i: F.struct(visit(p).alias("out"), part_tokens(p).alias("tokens"), p["kind"].alias("kind"), p["ref"].alias("ref"), i.alias("part")),
     )
 
+    def joined(pieces: Column) -> Column:
+        attached = F.filter(pieces, lambda x: x["kind"] != "text")
+        texts = F.split(F.array_join(F.transform(pieces, lambda x: x["out"]), ""), _HERE)
+        texts = F.transform(texts, lambda t: escape(F.replace(t, F.lit(_SELF), F.lit(_SELF[0]))))
+        marks = F.transform(attached, lambda x, i: placeholder(x, i + 1))
+        return F.struct(
+            F.array_join(F.flatten(F.zip_with(texts, marks, lambda t, m: F.array(t, F.coalesce(m, F.lit(""))))), "").alias("content"),
+            F.aggregate(F.transform(pieces, lambda x: x["tokens"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
+            F.transform(
+                attached,
+                lambda x, i: F.struct(
+                    (i + 1).alias("number"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["part"].alias("part"), x["tokens"].alias("tokens")
+                ),
+            ).alias("attachments"),
+        )
+
+    return let(pieces, joined)
+
 
 def text_parts(text: Column) -> Column:
     """One text part; null text is empty."""
@@ -152,10 +165,8 @@ def parse(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    found = segments(formatted)
-    return F.array_join(
-        F.transform(spans, lambda p: unescape(F.substr(F.element_at(found, p["turn"] + 1), p["at"] + 1, p["length"]))), ""
-    )
+    own = lambda found: lambda p: unescape(F.substr(F.element_at(found, p["turn"] + 1), p["at"] + 1, p["length"]))
+    return F.array_join(let(segments(formatted), lambda found: F.transform(spans, own(found))), "")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +185,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_tokens",
     )
 
 
@@ -184,13 +196,13 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), sized AS (
-  SELECT *, 12 + length(role) + 1 + length(regexp_replace(text, '<(!*)\|', '<!\1|', 'g')) + 11 AS chars FROM rows
+  SELECT *, 12 + length(role) + 1 + length(regexp_replace(text, '<(!*)\|', '<!\1|', 'g')) + 11 AS chars, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rows
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars
+  sum(chars)::BIGINT AS formatted_chars, sum(words)::BIGINT AS n_tokens
 FROM sized GROUP BY conv_id
 """
 
