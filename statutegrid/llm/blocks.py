@@ -23,7 +23,39 @@ def paired_blocks(members: DataFrame, key: str, size: str, member: str, block: i
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     spread = spread.withColumn("_o", other)
     spread = spread.withColumn("_i", F.least("_at", "_o")).withColumn("_j", F.greatest("_at", "_o")).drop("_o", "_n")
-    return spread.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
+    return _dealt(spread, key)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
+
+
+def represented_blocks(members: DataFrame, key: str, size: str, member: str, block: int = BLOCK) -> DataFrame:
+    """members by block, each block with block 0 beside it as the group's representatives: _i = 0, _j the block, _at the row's own block.
+
+    A group of n members gives about 2 n rows, whatever its size; a task judges pairs inside block _j and between it and block 0.
+    """
+    n = F.ceil(F.col(size) / block).cast("int")
+    at = F.pmod(F.xxhash64(member, F.lit("block")), n).cast("int")
+    spread = members.withColumn("_n", n).withColumn("_at", at)
+    tasks = F.when(F.col("_at") == 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array("_at"))
+    return _dealt(spread.withColumn("_j", F.explode(tasks)).withColumn("_i", F.lit(0)).drop("_n"), key)
+
+
+def minor_blocks(members: DataFrame, key: str, main: str, minor_size: str, main_size: str, member: str, block: int = BLOCK) -> DataFrame:
+    """members as pairs of blocks of which at least one holds rows that are not `main`: what the main part's rows owe each other is known.
+
+    The minor rows' blocks come first. A main row is copied once for each of them, ceil(minor rows / block) in all.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    spread = members.withColumn("_few", blocks(minor_size)).withColumn("_many", blocks(main_size))
+    own = F.xxhash64(member, F.lit("block"))
+    at = F.when(F.col(main), F.col("_few") + F.pmod(own, F.greatest("_many", F.lit(1)))).otherwise(F.pmod(own, F.greatest("_few", F.lit(1)))).cast("int")
+    spread = spread.withColumn("_at", at)
+    last = F.when(F.col(main), F.col("_few")).otherwise(F.col("_few") + F.col("_many"))
+    spread = spread.withColumn("_o", F.explode(F.sequence(F.lit(0), last - 1)))
+    spread = spread.withColumn("_i", F.least("_at", "_o")).withColumn("_j", F.greatest("_at", "_o"))
+    return _dealt(spread.drop("_few", "_many", "_o"), key)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

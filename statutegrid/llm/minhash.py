@@ -3,9 +3,11 @@
 Each whole text becomes its set of hashed 5-word shingles, a signature of 128 minimum hashes and 32 bands of four. Equal sets are one
 class. Band buckets of the same members are one bucket. Inside a bucket, block by block, signatures are compared in
 batches of 32; a pair goes as soon as the posterior probability that its similarity reaches the threshold falls below MISS.
-Survivors are verified on full sets. First each block names a spanning forest of its likeliest pairs; the links among them
-join most of a group. The second round goes through every surviving pair between different components, the likeliest first, where the
-block's full sets lie, and passes over pairs that links found there have joined; only links leave a block, never pairs.
+Survivors are verified on full sets. First each block names a spanning forest of its likeliest pairs, among its own rows and with the
+block that represents the bucket; the links among them join most of a group, with two copies of a row whatever the bucket's size.
+The second round goes through every surviving pair between different components, the likeliest first, where the blocks' full sets lie, and
+passes over pairs that links found there have joined; only links leave a block, never pairs. Rows of a bucket's largest component meet only the
+other components' rows, so a large group of copies costs a copy of a row a block of outsiders. Buckets of many rows are salted where they are joined.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
-from statutegrid.llm.blocks import grouped, matrix, paired_blocks
-from statutegrid.llm.common import components, cut, table
+from statutegrid.llm.blocks import grouped, matrix, minor_blocks, represented_blocks
+from statutegrid.llm.common import bounded, components, cut, table
 
 SHINGLE = 5
 PERCENT = 75
 HASHES, BAND_ROWS, BATCH = 128, 4, 32
 #: Chance, by the posterior, that a pruned pair reaches the threshold all the same.
 MISS = 1e-4
-#: More ids than this are not broadcast to find their texts; they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Buckets of more rows than this are joined in parts of so many.
+HOT_BUCKET, HOT_BUCKETS = 2_000, 1_000_000
 _MASK = 2**64 - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -179,8 +181,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks of a bucket: its likeliest pairs (a spanning forest of parts), or with full sets, its links (likewise)."""
+def _pairs(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], percent: int, within: bool = False) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks of a bucket: its likeliest pairs (a spanning forest of parts), or with full sets, its links (likewise).
+
+    within: pairs inside the second block count too.
+    """
     out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -194,8 +199,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], percent:
         ids, part, at = (t.column(c).to_numpy() for c in ("doc_id", "part", "_at"))
         sigs = matrix(t.column("sig"), np.uint16)
         allowed = np.triu(part[:, None] != part[None, :], 1)
-        if t.column("_i")[0].as_py() != t.column("_j")[0].as_py():
-            allowed &= at[:, None] != at[None, :]
+        if t.column("_i")[0].as_py() != (second := t.column("_j")[0].as_py()):
+            apart = at[:, None] != at[None, :]
+            allowed &= apart | (at == second)[:, None] if within else apart
         i, j, equal = surviving(sigs, sigs, allowed, limits)
         if not len(i):
             continue
@@ -236,6 +242,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], ["doc_id", "set"])
 
 
+def bounded_hot(buckets: DataFrame) -> DataFrame:
+    """buckets (bucket, size) of many rows, to be broadcast, with the number of parts that each is joined in.
+
+    At least HOT_BUCKET rows; more where so many buckets have as many that their list would not be small.
+    """
+    limit = HOT_BUCKET
+    while buckets.where(F.col("size") > limit).count() > HOT_BUCKETS:
+        limit *= 4
+    return F.broadcast(buckets.where(F.col("size") > limit).select("bucket", F.ceil(F.col("size") / limit).cast("int").alias("parts")))
+
+
 def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """docs (doc_id, text) as one row a row: doc_id, n_shingles, component_id, kept.
 
@@ -256,31 +273,42 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     own = F.xxhash64("doc_id")
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(own).alias("x"), F.min("doc_id").alias("low")).where("size > 1")
     # buckets of the same members are one
-    distinct = buckets.groupBy("size", "x", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    members = cut(entries.join(distinct, "bucket"), "minhash-buckets")
+    distinct = cut(buckets.groupBy("size", "x", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "minhash-distinct")
+    hot = bounded_hot(distinct)
+    salts = lambda rows: rows.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = lambda rows: salts(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    one = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("parts")).cast("int")
+    salted = salts(entries).withColumn("salt", one).drop("parts")
+    members = cut(salted.join(every(distinct), ["bucket", "salt"]), "minhash-buckets")
     signatures = banded.select("doc_id", "sig")
 
-    def blockwise(members: DataFrame) -> DataFrame:
-        spread = paired_blocks(members.join(signatures, "doc_id"), "bucket", "size", "doc_id").drop("size")
-        return map_arrow(spread, lambda it: _pairs(it, limits, percent), "a long, b long").distinct()
-
     def full_sets(ids: DataFrame, label: str) -> DataFrame:
         """Full sets of the documents with these ids (_id), each text read again where it lies."""
         ids = cut(ids.distinct(), f"{label}-ids")
-        few = ids.count() <= BROADCAST_IDS
-        texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+        texts = rows.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi")
         return cut(map_arrow(texts, _full_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), f"{label}-texts")
 
-    likely = cut(blockwise(members.withColumn("part", F.col("doc_id"))), "minhash-likely")
+    def judged(spread: DataFrame, within: bool) -> DataFrame:
+        spread = spread.select("bucket", "_i", "_j", "_at", "doc_id", "part", "sig", *[c for c in spread.columns if c == "set"])
+        return map_arrow(spread, lambda it: _pairs(it, limits, percent, within), "a long, b long").distinct()
+
+    first_round = members.join(signatures, "doc_id").withColumn("part", F.col("doc_id"))
+    likely = cut(judged(represented_blocks(first_round, "bucket", "size", "doc_id"), True), "minhash-likely")
     known = full_sets(likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))), "minhash-likely")
     left = known.withColumnsRenamed({"doc_id": "a", "set": "set_a"})
     right = known.withColumnsRenamed({"doc_id": "b", "set": "set_b"})
     links = cut(map_arrow(likely.join(left, "a").join(right, "b"), lambda it: _verified(it, percent), "a long, b long"), "minhash-links")
     parts = cut(components(links, "minhash-parts"), "minhash-part")
-    labelled = members.join(parts, F.col("doc_id") == F.col("id"), "left").select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")
-    rest = cut(labelled.join(mixed, "bucket"), "minhash-rest")
-    more = cut(blockwise(rest.join(full_sets(rest.select(F.col("doc_id").alias("_id")), "minhash-rest"), "doc_id")), "minhash-more")
+    labelled = members.join(parts, F.col("doc_id") == F.col("id"), "left").select("bucket", "salt", "size", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    labelled = cut(labelled, "minhash-labelled")
+    # of each bucket of several components: the one of most members, and how many it has
+    by_part = labelled.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    largest = by_part.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.max("size").alias("size")).where("top.n < size")
+    mixed = cut(largest.select("bucket", F.col("top.part").alias("main_part"), F.col("top.n").alias("n_main"), (F.col("size") - F.col("top.n")).alias("n_minor")), "minhash-mixed")
+    rest = labelled.drop("size").join(every(mixed), ["bucket", "salt"]).withColumn("main", F.col("part") == F.col("main_part"))
+    rest = cut(rest.drop("salt", "main_part"), "minhash-rest")
+    held = rest.join(signatures, "doc_id").join(full_sets(rest.select(F.col("doc_id").alias("_id")), "minhash-rest"), "doc_id")
+    more = cut(judged(minor_blocks(held, "bucket", "main", "n_minor", "n_main", "doc_id"), False), "minhash-more")
     joined = components(links.unionByName(more), "minhash-components")
     by_class = classes.join(joined, F.col("first") == F.col("id"), "left").select(
         F.col("set1").alias("_s1"), F.col("set2").alias("_s2"), F.coalesce("component", "first").alias("_component")
@@ -295,9 +323,8 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that near_documents keeps, columns as they were; rows of one id stay or go together."""
-    lost = cut(near_documents(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "minhash-lost")
-    few = lost.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(lost) if few else lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    lost = cut(near_documents(docs).where("not kept").select(F.col("doc_id").alias("lost_id")).distinct(), "minhash-lost")
+    return docs.join(bounded(lost), docs["doc_id"] == lost["lost_id"], "left_anti")
 
 
 def op9_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
