@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
-from statutegrid.llm.common import scratch_path, table
+from statutegrid.llm.common import bounded, cut, scratch_path, table
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,7 +29,8 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 DATE = "2026-01-01T00:00:00Z"
 LEVEL = 3
 CHUNK = 1 << 16
-RECORDS_PER_ARCHIVE = 1000
+#: An archive ends behind so many records or so many bytes; one larger record has an archive of its own.
+RECORDS_PER_ARCHIVE, BYTES_PER_ARCHIVE = 1000, 64 << 20
 MIN_BYTES = 0
 EMPTY_MEMBER = zlib.compressobj(LEVEL, zlib.DEFLATED, 31).flush()
 
@@ -141,26 +142,33 @@ def plan_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     later = first.where("_rows > 1 and _first is not null").select("_sha", "_first")
     repeats = keyed.join(later, "_sha").where("page_id is null or page_id <> _first").select(F.col("page_id").alias("_id"), "_sha", "_first").distinct()
     rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("_own"))
-    return rows.join(repeats, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left").select(
+    return rows.join(bounded(cut(repeats, "warc-repeats")), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left").select(
         "page_id", "url", "html", "_first", F.col("_first").isNotNull().alias("_revisit")
     )
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], records: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Members in order, with the number of the task's archive that each belongs to."""
+    archive = held = used = 0
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
-            rows = batch.slice(i, 64).to_pylist()
-            out = []
-            for r in rows:
+            out, at = [], []
+            for r in batch.slice(i, 64).to_pylist():
                 member = write_record(r["page_id"], r["url"], (r["html"] or "").encode(), r["_first"], r["_revisit"])
-                out.append(member[:-1] if member[-1] == 0 else member + EMPTY_MEMBER[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                member = member[:-1] if member[-1] == 0 else member + EMPTY_MEMBER[:-1]
+                if held and (held == records or used + len(member) > size):
+                    archive, held, used = archive + 1, 0, 0
+                held, used = held + 1, used + len(member)
+                out.append(member)
+                at.append(archive)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(at, pa.int32())], ["member", "archive"])
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, records: int = RECORDS_PER_ARCHIVE) -> None:
-    """WARC files of at most so many records under path; Spark's committer makes lost tasks safe."""
-    rows = map_arrow(plan_revisits(pages, min_bytes), _members, "member binary")
-    rows.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records).text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, records: int = RECORDS_PER_ARCHIVE, size: int = BYTES_PER_ARCHIVE) -> None:
+    """WARC files of at most so many records and bytes under path, a folder a number; Spark's committer makes lost tasks safe."""
+    rows = map_arrow(plan_revisits(pages, min_bytes), lambda it: _members(it, records, size), "member binary, archive int")
+    rows = rows.select(F.col("member").cast("string"), "archive")
+    rows.write.option("lineSep", "\x00").partitionBy("archive").text(path)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +202,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Pages of all archives under path: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     return map_arrow(
         files,
         _pages,
