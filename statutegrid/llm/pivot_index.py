@@ -1,6 +1,6 @@
 """Operator 3, near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are drawn from the vectors: about 4 sqrt(n), at most MAX_PIVOTS, the rows of the smallest id hashes, without those
+Reference points (pivots) are drawn from the vectors: about 4 sqrt(n), at most MAX_PIVOTS and PIVOT_BYTES, the rows of the smallest id hashes, without those
 that nearly repeat another pivot; the mean of the drawn rows is taken off first, so a direction that all vectors share neither thins out
 the pivots nor fills a few lists. A vector is described by its nearest pivots in order, as many as pairs at the threshold need: probes on
 the drawn rows tell (`prefix_length`). An inverted list a pivot holds the
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statutegrid.functions.ship import map_arrow
+from statutegrid.functions.ship import map_arrow, ship
 from statutegrid.llm.blocks import block_labels, grouped, matrix, paired_blocks
 from statutegrid.llm.common import components, cut, table
 
@@ -30,6 +30,8 @@ PREFIX, MIN_SHARED = 12, 2
 PROBES, TARGET = 512, 0.995
 BLOCK = 1024
 MIN_PIVOTS, MAX_PIVOTS, PIVOT_GAP = 64, 65_536, 0.8
+#: What pivots may take in the precision that vectors came in; twice as much is drawn.
+PIVOT_BYTES = 64 << 20
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -183,8 +185,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     usable_rows = cut(map_arrow(rows, units, "vec_id long, raw binary"), "vectors")
     usable = usable_rows.where("raw is not null and vec_id is not null").distinct()
     classes = cut(usable.groupBy("raw").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "vector-classes")
-    n = classes.count()
-    wanted = max(MIN_PIVOTS, min(MAX_PIVOTS, math.ceil(4 * math.sqrt(n))))
+    n, widest = classes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("raw")), F.lit(1))).first()
+    wanted = max(MIN_PIVOTS, min(MAX_PIVOTS, PIVOT_BYTES // widest, math.ceil(4 * math.sqrt(n))))
     size = np.dtype(dtype).itemsize
     drawn: dict[int, list[bytes]] = {}
     for r in classes.select("vec_id", "raw").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * wanted).collect():
@@ -195,9 +197,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
         centre = sample.mean(0)
         pivots = choose_pivots(centred(sample, centre), wanted)
         if length := prefix_length(sample, centre, pivots, cosine, shared, prefix):
-            ranking[dim] = (centre, pivots, length)
+            ranking[dim] = (centre, pivots.astype(dtype), length)
+    spark = vectors.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(ranking)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranking = {dim: (centre, pivots.astype(np.float64), length) for dim, (centre, pivots, length) in sent.value.items()}
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
