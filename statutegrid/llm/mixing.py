@@ -2,7 +2,7 @@
 
 Each row gets a hash-random key. Keys are uniform, so ranges of equal width are balanced ranges of each
 source's order: a source of n rows has ceil(n / rows_per_range) of them. Sizes are summed by range before
-anything moves, prefix sums run over these range totals and then inside each range, and every source is cut
+anything moves, prefix sums run over groups of ranges, the ranges of a group and the rows of a range, and every source is cut
 at its exact budget: whole epochs first, then the rows below the rest, the row on the cut in part.
 """
 
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statutegrid.llm.common import BLANKS, WORD, cut, n_words, table
+from statutegrid.llm.common import BLANKS, WORD, bounded, column, cut, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_RANGE = 2_000
+ROWS_PER_RANGE, RANGES_PER_GROUP = 2_000, 2_000
 SEED = 20_260_101
 
 
@@ -67,39 +67,47 @@ def mix(
 
     The sums of taken are the rounded targets. A null source is a source of its own, the last; null sizes count
     as 0; rows of equal key are ordered by size, so repeated rows share out alike on every run; an empty table gives an empty
-    result; input columns named like the three give way. No row is taken more than max_epochs times.
+    result; input columns named like the three give way, others may have any names. No row is taken more than max_epochs times.
     """
     kept = [c for c in df.columns if c not in ("source_size", "target", "taken")]
-    drawn = df.withColumns({
-        "_source": source, "_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), "_key": random_key(key, seed),
-    })
-    narrow = cut(drawn.select("_source", "_size", "_key"), "mix-sizes")
-    sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows"))
+    drawn = df.select(
+        F.struct(*[column(c) for c in kept]).alias("row"), source.alias("source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
+        key.alias("id"), random_key(key, seed).alias("key"),
+    )
+    narrow = cut(drawn.select("source", "size", "key"), "mix-sizes")
+    sizes = narrow.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_total"), F.count("*").alias("_rows"))
     budget = F.round("_target").cast("long")
     plan = targets(sizes, weights, max_epochs).select(
-        F.col("_source").alias("_of"), "_total", "_target",
-        F.when(F.col("_total") > 0, F.floor(budget / F.col("_total"))).otherwise(0).cast("long").alias("_epochs"),
-        F.when(F.col("_total") > 0, budget % F.col("_total")).otherwise(0).cast("long").alias("_rest"),
-        F.ceil(F.col("_rows") / rows_per_range).cast("long").alias("_ranges"),
+        F.col("_source").alias("of"), F.col("_total").alias("total"), F.col("_target").alias("goal"),
+        F.when(F.col("_total") > 0, F.floor(budget / F.col("_total"))).otherwise(0).cast("long").alias("epochs"),
+        F.when(F.col("_total") > 0, budget % F.col("_total")).otherwise(0).cast("long").alias("rest"),
+        F.ceil(F.col("_rows") / rows_per_range).cast("long").alias("ranges"),
     )
-    plan = cut(plan, "mix-plan")
+    plan = bounded(cut(plan, "mix-plan"))
 
     def ranged(rows: DataFrame) -> DataFrame:
-        found = rows.join(plan, rows["_source"].eqNullSafe(plan["_of"]))
-        return found.withColumn("_range", F.shiftright(F.col("_key") * F.col("_ranges"), 31))
-
-    by_range = ranged(narrow).groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
-    below = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_range.select(
-        F.col("_source").alias("_bs"), F.col("_range").alias("_br"), F.coalesce(F.sum("_sum").over(below), F.lit(0)).alias("_base")
+        found = rows.join(plan, rows["source"].eqNullSafe(plan["of"]))
+        return found.withColumn("range", F.shiftright(F.col("key") * F.col("ranges"), 31))
+
+    # prefix sums in three steps, so that no task goes through all ranges of a large source: groups of ranges, ranges, rows
+    by_range = ranged(narrow).groupBy("source", "range").agg(F.sum("size").alias("sum"))
+    by_range = cut(by_range.withColumn("group", F.floor(F.col("range") / RANGES_PER_GROUP)), "mix-ranges")
+    below = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, *keys: F.coalesce(F.sum(c).over(below(*keys)), F.lit(0))
+    groups = by_range.groupBy("source", "group").agg(F.sum("sum").alias("sum"))
+    groups = groups.select(F.col("source").alias("gs"), F.col("group").alias("gg"), before("sum", "source", "group").alias("lower"))
+    bases = by_range.select("source", "group", "range", before("sum", "source", "group", "range").alias("base"))
+    bases = bases.join(groups, bases["source"].eqNullSafe(groups["gs"]) & (bases["group"] == groups["gg"])).select(
+        F.col("source").alias("bs"), F.col("range").alias("br"), (F.col("base") + F.col("lower")).alias("base")
     )
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged(drawn).withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(bases, rows["_source"].eqNullSafe(bases["_bs"]) & (rows["_range"] == bases["_br"]))
-    part = F.least(F.greatest(F.col("_rest") - F.col("_base") - F.col("_inside"), F.lit(0)), F.col("_size"))
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged(drawn).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(bases, rows["source"].eqNullSafe(bases["bs"]) & (rows["range"] == bases["br"]))
+    part = F.least(F.greatest(F.col("rest") - F.col("base") - F.col("inside"), F.lit(0)), F.col("size"))
     return rows.select(
-        *kept, F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_epochs") * F.col("_size") + part).cast("long").alias("taken")
-    )
+        *[F.col("row").getField(c).alias(c) for c in kept], F.col("total").alias("source_size"), F.col("goal").alias("target"),
+        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+    )
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -109,23 +117,25 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: one row for each whole epoch, and the cut text for a part; same columns."""
+    """The documents as the mix takes them: one row for each whole epoch, and the cut text for a part; same columns, whatever their names."""
     names = docs.columns
-    rows = mix(docs.withColumn("_words", n_words(F.col("text"))), F.col("source"), F.col("_words"), F.col("doc_id"))
-    whole = F.when(F.col("_words") > 0, F.floor(F.col("taken") / F.col("_words"))).otherwise(0).cast("int")
-    part = F.when(F.col("_words") > 0, F.col("taken") % F.col("_words")).otherwise(0)
-    rows = rows.withColumn("_whole", whole).withColumn("_part", part)
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_whole"))))
-    copies = copies.where((F.col("_copy") < F.col("_whole")) | (F.col("_part") > 0))
-    text = F.when(F.col("_copy") < F.col("_whole"), F.col("text")).otherwise(first_words(F.col("text"), F.col("_part")))
-    copies = copies.withColumn("text", text)
-    if "n_chars" in names:
-        copies = copies.withColumn("n_chars", F.length("text").cast("long"))
-    return copies.select(*names)
+    packed = docs.select(F.struct(*[column(c) for c in names]).alias("row"), n_words(column("text")).alias("words"))
+    row, words = F.col("row"), F.col("words")
+    rows = mix(packed, row["source"], words, row["doc_id"])
+    whole = F.when(words > 0, F.floor(F.col("taken") / words)).otherwise(0).cast("int")
+    part = F.when(words > 0, F.col("taken") % words).otherwise(0)
+    copies = rows.select("row", whole.alias("whole"), part.alias("part"))
+    copies = copies.select("row", "whole", "part", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("copy"))
+    copies = copies.where((F.col("copy") < F.col("whole")) | (F.col("part") > 0))
+    text = F.when(F.col("copy") < F.col("whole"), row["text"]).otherwise(first_words(row["text"], F.col("part")))
+    copies = copies.select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return copies.select(*[new.get(c, row.getField(c)).alias(c) for c in names])
 
 
 def op6_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    # sizes are read more than once: words are counted before
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-words")
     return mix(docs, F.col("source"), F.col("size"), F.col("doc_id")).select("doc_id", "size", "source_size", "target", "taken")
 
 
