@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statutegrid.llm.common import cut, table
+from statutegrid.llm.common import column, cut, table
 
 SHARDS = 40
 TOLERANCE = 0.002
@@ -126,6 +126,11 @@ def shard_of(splitters: list[Splitter]) -> Column:
     return search(0, len(splitters)).cast("int")
 
 
+def bin_of(bits: int) -> Column:
+    """One of 2 ** bits bins by a second hash of the key: a shard that is a narrow range of one group's rows fills all its bins alike."""
+    return F.shiftrightunsigned(F.xxhash64("_row", "_group", F.lit("bin")), 64 - bits) if bits else F.lit(0).cast("long")
+
+
 def shard_by_bytes(
     df: DataFrame,
     group: Column,
@@ -139,27 +144,27 @@ def shard_by_bytes(
 
     Rows of equal group lie together unless the group is larger than both the tolerance and the largest row.
     Null groups and rows hash like any value; null sizes count as 0; repeated rows are kept, in adjacent slots.
-    An empty table gives an empty result. Slots are numbered by bins of the row hash, so no task holds a shard.
+    An empty table gives an empty result; other columns may have any names. Slots are numbered by bins of a second hash, so no task holds a shard.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    keyed = df.withColumns({
-        "_group": F.xxhash64(group), "_row": F.xxhash64(row, F.lit("row")), "_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")),
-    })
+    keyed = df.select(
+        F.struct(*[column(c) for c in kept]).alias("row"), F.xxhash64(group).alias("_group"), F.xxhash64(row, F.lit("row")).alias("_row"),
+        F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("_size"),
+    )
     narrow = cut(keyed.select("_group", "_row", "_size"), "shard-keys")
     splitters = plan_splitters(narrow, shards, tolerance)
     rows = narrow.count()
     bits = math.ceil(math.log2(max(1.0, rows / (shards * rows_per_bin))))
-    shard = shard_of(splitters)
-    bin_ = F.shiftrightunsigned("_row", 64 - bits) if bits else F.lit(0).cast("long")
+    shard, bin_ = shard_of(splitters), bin_of(bits)
     counts = narrow.select(shard.alias("_s"), bin_.alias("_b")).groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    placed = keyed.select(*kept, "_group", "_row", shard.alias("_s"), bin_.alias("_b"))
+    placed = keyed.select("row", "_group", "_row", shard.alias("_s"), bin_.alias("_b"))
     order = Window.partitionBy("_s", "_b").orderBy("_row", "_group")
     return (
         placed.withColumn("_k", F.row_number().over(order))
         .join(offsets, ["_s", "_b"])
-        .select(*kept, F.col("_s").alias("shard"), (F.col("_o") + F.col("_k") - 1).alias("slot"))
+        .select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("_s").alias("shard"), (F.col("_o") + F.col("_k") - 1).alias("slot"))
     )
 
 
