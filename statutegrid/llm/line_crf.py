@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
-from statutegrid.llm.common import table
+from statutegrid.llm.common import column, free_name, table
 
 SAMPLE = 3000
 HELD_OUT, FOLDS = 2, 4
@@ -189,14 +189,14 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
                 found = model.document_scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found)], [*names, "score"])
 
-    return map_arrow(docs, scored, docs.select(*names).schema.add("score", "double"))
+    return map_arrow(docs, scored, docs.select(*map(column, names)).schema.add("score", "double"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, columns as they were."""
-    given = docs.columns
-    renamed = docs.withColumnRenamed("score", "_given_score")
-    return score(renamed, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score").withColumnRenamed("_given_score", "score").select(*given)
+    given, spare = docs.columns, free_name(docs.columns, "given_score")
+    rows = score(docs.withColumnRenamed("score", spare), train(docs, labels)).where(F.col("score") >= THRESHOLD)
+    return rows.drop("score").withColumnRenamed(spare, "score").select(*[column(c) for c in given])
 
 
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

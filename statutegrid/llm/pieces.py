@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from statutegrid.functions.ship import map_arrow
-from statutegrid.llm.common import table
+from statutegrid.llm.common import column, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, pieces: Pieces, drop: tuple[str, ...] = ()) -> DataF
                 columns = [pa.ListArray.from_arrays(edges, pa.array(flat)), pa.array(counts), pa.array(fallback, pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *columns], [*names, *own])
 
-    schema = docs.select(*names).schema.add("pieces", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("n_byte_pieces", "long").add("round_trip", "boolean")
+    schema = docs.select(*map(column, names)).schema.add("pieces", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("n_byte_pieces", "long").add("round_trip", "boolean")
     return map_arrow(docs, encoded, schema)
 
 
@@ -348,7 +348,7 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
                 texts = [None if x is None else pieces.decode(x) for x in part.column("pieces").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return map_arrow(rows, decoded, rows.select(*names).schema.add("decoded", "string"))
+    return map_arrow(rows, decoded, rows.select(*map(column, names)).schema.add("decoded", "string"))
 
 
 def op4_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
