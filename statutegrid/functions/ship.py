@@ -30,11 +30,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
-    """df.mapInArrow, with the package on the executors; a worker that waits for its next task holds no free Arrow memory."""
+    """df.mapInArrow, with the package on the executors; a worker that waits for its next task holds no free Arrow memory.
+
+    Columns may have any names: mapInArrow itself takes a dot for a field's.
+    """
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from function(batches)
+        yield from function(b.rename_columns(names) for b in batches)
         pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
+    if any(c in name for name in names for c in ".`"):
+        df = df.toDF(*[f"c{n}" for n in range(len(names))])
     return df.mapInArrow(run, schema)
