@@ -72,7 +72,7 @@ class DoubleArray:
             start, windows = max(1, (free if len(want) == 1 else max(free, crowded)) - int(want[0])), 0
             window, low, high = (1 if len(want) == 1 else 32), int(want[0]), int(want[-1])
             while True:
-                if start + high + 4096 >= len(base):
+                while start + high + 4096 >= len(base):
                     more = len(base)
                     base, piece = np.concatenate([base, np.zeros(more, np.int64)]), np.concatenate([piece, np.full(more, -1, np.int64)])
                     check, taken = np.concatenate([check, np.full(more, -1, np.int64)]), np.concatenate([taken, np.zeros(more, bool)])

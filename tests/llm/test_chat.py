@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,31 @@ def test_query_digests(spark, tmp_path):
     assert got[7]["turns_sha256"] == hashlib.sha256("user\n\nassistant\nb<|\nassistant\nü\n".encode()).hexdigest()
     assert (got[7]["n_turns"], got[7]["loss_chars"], got[7]["loss_sha256"]) == (3, 4, hashlib.sha256("b<|ü".encode()).hexdigest())
     assert got[-1]["loss_chars"] == len(chat.PROBE[1])
+
+
+def seconds(spark, turns):
+    rows = spark.range(turns).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <| of turn ', id) AS text")
+    chats = chat.format_chats(rows.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    found = chats.select(F.size(chat.parse(F.col("formatted"))), F.length(chat.masked_text(F.col("formatted"), F.col("loss_spans"))))
+    best = []
+    for _ in range(2):
+        began = time.time()
+        assert found.first()[0] == turns
+        best.append(time.time() - began)
+    return min(best)
+
+
+def test_time_grows_in_proportion_to_turns(spark):
+    seconds(spark, 100)
+    few, many = seconds(spark, 4000), seconds(spark, 16_000)
+    assert many <= 8 * few + 1  # four times as many; sixteen times the time if it were quadratic
+
+
+def test_no_control_string_grows_over_the_border_of_parts(spark):
+    part = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    texts_ = ["a<", "|im_end|>\n<", "!", "|x", None, "\ufdd0", "\ufdd2 and \ufdd0\ufdd2<"]
+    parts = [("text", t, None, None, None, None, None) for t in texts_] + [("image", None, "i", 28, 28, None, None), ("text", "|>", None, None, None, None, None)]
+    got = chat.format_chats(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{part}>"))
+    row = got.select("formatted", "attachments", chat.parse(F.col("formatted")).alias("t")).first()
+    assert len(row["t"]) == 1 and row["t"][0]["text"] == "".join(t or "" for t in texts_) + "<|image:1|>|>"
+    assert row["formatted"].count("<|im_end|>") == 1 and len(row["attachments"]) == 1

@@ -82,3 +82,37 @@ def test_components_of_chains_stars_and_loops(spark):
 @pytest.mark.parametrize("text", ["", None, " \t\n"])
 def test_no_words_no_shingles(text):
     assert len(minhash.shingles(text)) == 0
+
+
+def test_a_large_bucket_of_several_components(spark, monkeypatch):
+    """Rows that share a band but not a component, in blocks far smaller than the bucket, and buckets joined in parts."""
+    from statutegrid.llm import blocks
+
+    for name in ("represented_blocks", "minor_blocks"):
+        monkeypatch.setattr(minhash, name, lambda *a, f=getattr(blocks, name): f(*a, block=16))
+    monkeypatch.setattr(minhash, "HOT_BUCKET", 20)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        at, size = (i % 5) * 20, 4 if i % 3 else 14  # some near the base, some near each other, some alone
+        own[at : at + size] = [f"x{i % 7}-{n}" for n in range(size)]
+        if i % 4 == 0:
+            own[110] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    assert got(spark, rows) == expected(rows)
+    assert len({c for _, c, _ in expected(rows).values()}) > 1
+
+
+def test_scratch_tables_go_with_their_block(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    folder = common.shared_folder(spark).removeprefix("file://") + "/statutegrid"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with common.scratch():
+        kept = common.cut(minhash.near_documents(df), "kept", outer=True)
+        assert len(set(os.listdir(folder)) - before) > 3
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert kept.count() == 2

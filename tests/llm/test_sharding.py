@@ -80,3 +80,11 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(sharding.shard_by_bytes(df, F.col("text"), F.col("doc_id"), F.lit(1), 4), f"{tmp_path}/s")
     back = spark.read.parquet(f"{tmp_path}/s")
     assert back.count() == 100 and {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_a_hot_group_fills_its_shards_bins_alike(spark):
+    df = spark.range(30_000).select(F.lit(7).cast("long").alias("_group"), F.xxhash64("id", F.lit("row")).alias("_row"), F.lit(10).cast("long").alias("_size"))
+    splitters = sharding.plan_splitters(df, 10, 0.002)
+    bits, wanted = 5, 100  # 3,000 rows a shard
+    counts = df.groupBy(sharding.shard_of(splitters).alias("s"), sharding.bin_of(bits).alias("b")).count().collect()
+    assert len(counts) == 10 * 2**bits and max(r["count"] for r in counts) <= 2 * wanted

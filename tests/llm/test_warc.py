@@ -60,3 +60,12 @@ def test_smaller_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     warc.write_archives(pages, f"{tmp_path}/w", min_bytes=4)
     assert {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, f"{tmp_path}/w").collect()} == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    noise = "hex(aes_encrypt(repeat(cast(page_id AS string), 4000), '0123456789abcdef', 'ECB'))"
+    pages = spark.range(60).selectExpr("id AS page_id", "'u' AS url").selectExpr("*", f"{noise} AS html").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w", size=5_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").rglob("part-*")]
+    assert len(sizes) > 3 and max(sizes) <= 5_000 + 60
+    assert warc.read_archives(spark, f"{tmp_path}/w").select("page_id").distinct().count() == 60
