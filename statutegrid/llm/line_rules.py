@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
-from statutegrid.llm.common import cut, table
+from statutegrid.llm.common import bounded, cut, table
 
 #: A line is common on a host if more than this share of the host's documents, and more than this many, hold it.
-MAX_SHARE, MIN_DOCS = 0.02, 20
+MAX_SHARE, MIN_DOCS = 0.02, 5
 #: Share of words that a document may lose.
 MAX_LOST = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -115,6 +115,7 @@ def judge(
     common = (
         by_line.where(F.col("n") > min_docs).join(hosts, "host").where(F.col("n") > F.col("docs") * max_share).select("host", "line")
     )
+    common = bounded(cut(common, "line-common"))
     pairs = stats.select("doc_id", "host", "content", F.explode(F.arrays_zip("lines", "counts")).alias("x"))
     lost = (
         pairs.select("doc_id", "host", "content", F.col("x.lines").alias("line"), F.col("x.counts").alias("words"))
