@@ -139,16 +139,17 @@ def shard_by_bytes(
     shards: int = SHARDS,
     tolerance: float = TOLERANCE,
     rows_per_bin: int = ROWS_PER_BIN,
+    hashed: bool = False,
 ) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 in each shard); input columns of these names give way.
 
     Rows of equal group lie together unless the group is larger than both the tolerance and the largest row.
-    Null groups and rows hash like any value; null sizes count as 0; repeated rows are kept, in adjacent slots.
+    hashed: group and row are 64-bit hashes already. Null groups and rows hash like any value; null sizes count as 0; repeated rows are kept, in adjacent slots.
     An empty table gives an empty result; other columns may have any names. Slots are numbered by bins of a second hash, so no task holds a shard.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     keyed = df.select(
-        F.struct(*[column(c) for c in kept]).alias("row"), F.xxhash64(group).alias("_group"), F.xxhash64(row, F.lit("row")).alias("_row"),
+        F.struct(*[column(c) for c in kept]).alias("row"), (group if hashed else F.xxhash64(group)).alias("_group"), (row if hashed else F.xxhash64(row, F.lit("row"))).alias("_row"),
         F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("_size"),
     )
     narrow = cut(keyed.select("_group", "_row", "_size"), "shard-keys")
@@ -173,6 +174,12 @@ def write_shards(placed: DataFrame, path: str) -> None:
     placed.repartition("shard", F.floor(F.col("slot") / ROWS_PER_BIN)).write.partitionBy("shard").parquet(path)
 
 
+def md5_bits(value: Column) -> Column:
+    """The first 64 bits of a string's MD5, which any engine finds."""
+    half = lambda at: F.conv(F.substring(F.md5(value.cast("binary")), at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes; equal texts are one group."""
     text = F.coalesce("text", F.lit(""))
@@ -180,12 +187,52 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        F.xxhash64("text").alias("text_hash"),
-    )
-    return shard_by_bytes(docs, F.col("text_hash"), F.col("doc_id"), F.col("size")).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        md5_bits(text).alias("group_bits"),
+        md5_bits(F.concat(F.lit("row:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("row_bits"),
     )
-
+    placed = shard_by_bytes(docs, F.col("group_bits"), F.col("row_bits"), F.col("size"), hashed=True)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_table() -> list[int]:
+    """CRC-32's table for bytes, from its polynomial."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+#: The splitters from cumulative bytes alone: for each target the first level whose nearest boundary is within the tolerance, or that
+#: nothing finer can improve. Slots are those of a single bin, so it holds for tables of up to SHARDS * ROWS_PER_BIN rows.
+SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, ('0x' || substr(md5(coalesce(text, '')), 1, 16))::UBIGINT AS g,
+    ('0x' || substr(md5('row:' || coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT AS r FROM documents),
+sized AS (SELECT doc_id, g, r, (octet_length(encode(text)) + 16)::BIGINT AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda crc, b: xor(crc >> 8, ({_crc_table()}::BIGINT[])[xor(crc, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM docs),
+whole AS (SELECT sum(size)::BIGINT AS total, max(size) AS largest, greatest(sum(size)::DOUBLE / {SHARDS} * {TOLERANCE}, 0.5) AS near FROM sized),
+targets AS (SELECT j, (total * j)::DOUBLE / {SHARDS} AS target, largest, near FROM whole, range(1, {SHARDS}) t(j)),
+shifts AS (SELECT unnest({list(_SHIFTS)}) AS s),
+by_group AS (SELECT s, (g >> s)::HUGEINT AS c, sum(size)::BIGINT AS b, count(*) AS n, min(g) = max(g) AS one FROM sized, shifts GROUP BY ALL),
+group_ends AS (SELECT *, sum(b) OVER (PARTITION BY s ORDER BY c) AS high FROM by_group),
+of_groups AS (SELECT j, s, target, largest, near, c, high - b AS low, high, n = 1 OR (one AND b <= greatest(near, largest)) AS rest
+  FROM targets JOIN group_ends ON target > high - b AND target <= high),
+inside AS (SELECT j, target, largest, near, c AS g, low AS base FROM of_groups WHERE s = 0),
+by_row AS (SELECT j, s, target, largest, near, i.g, base, (r >> s)::HUGEINT AS c, sum(size)::BIGINT AS b, count(*) AS n FROM inside i JOIN sized d ON d.g = i.g, shifts GROUP BY ALL),
+row_ends AS (SELECT *, base + sum(b) OVER (PARTITION BY j, s ORDER BY c) AS high FROM by_row),
+levels AS (SELECT j, 0 AS part, s, target - low <= high - target AS first, least(target - low, high - target) <= near OR rest AS settled, c, NULL::HUGEINT AS g FROM of_groups
+  UNION ALL SELECT j, 1, s, target - (high - b) <= high - target, least(target - (high - b), high - target) <= near OR n = 1 OR b <= greatest(near, largest), c, g
+  FROM row_ends WHERE target > high - b AND target <= high),
+bounds AS (SELECT *, (c + CASE WHEN first THEN 0 ELSE 1 END) * (1::HUGEINT << s) AS place FROM levels),
+chosen AS (SELECT j, arg_min({{'part': part, 'g': g, 'place': CASE WHEN settled THEN place ELSE c END}}, part * 100 - s + CASE WHEN settled THEN 0 ELSE 1000 END) AS x FROM bounds WHERE settled OR (part = 1 AND s = 0) GROUP BY j),
+splitters AS (SELECT j, CASE WHEN x.part = 0 THEN x.place ELSE x.g END AS sg, CASE WHEN x.part = 0 THEN 0 ELSE x.place END AS sr FROM chosen),
+placed AS (SELECT d.doc_id, d.size, d.crc, d.g, d.r, (SELECT count(*) FROM splitters WHERE d.g > sg OR (d.g = sg AND d.r >= sr)) AS shard FROM sized d)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY CASE WHEN r >= 9223372036854775808 THEN r::HUGEINT - 18446744073709551616 ELSE r::HUGEINT END,
+    CASE WHEN g >= 9223372036854775808 THEN g::HUGEINT - 18446744073709551616 ELSE g::HUGEINT END) - 1 AS slot, NULL::INT AS grown_shard FROM placed
+"""
 
 QUERIES = {"op10_histogram_shards": op10_histogram_shards}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_histogram_shards": SQL}
