@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statutegrid.llm import line_crf, minhash, mixing, pieces, surrogates
-from statutegrid.llm.common import cut, table
+from statutegrid.llm.common import cut, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again as the next one's input."""
+    """All stages over documents, each written to the shared folder and read again as the next one's input; a stage's own scratch tables go when it is written."""
     docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = cut(docs, f"pipeline-{n}")
-    return docs
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch():
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{n}", outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
