@@ -75,8 +75,9 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"({p})" for p in PATTERNS.values())
-#: Of a text without digits and at signs: whether a title stands before a capital, or a secret word before its mark.
-_WORDS_GATE = rf"(?=[{_INITIALS}aApPsStT])(?:{_TITLE} \p{{Lu}}|(?i:{_SECRET_WORDS})\s{{0,3}}[=:])"
+#: What persons and secrets begin with; secrets only have to be looked for where their mark is.
+_PERSON_GATE = rf"(?=[{_INITIALS}]){_TITLE} \p{{Lu}}"
+_SECRET_GATE = rf"(?i:{_SECRET_WORDS})\s{{0,3}}[=:]"
 #: Marks around what was found: a noncharacter and a second one that tells what it means; the first one in a text itself is escaped.
 _MARK = "\ufdd0"
 _ESCAPED, _OPEN, _NEXT, _CLOSE = (_MARK + c for c in "\ufdd1\ufdd2\ufdd3\ufdd4")
@@ -297,7 +298,8 @@ def written(kind: Column, surface: Column, cores: Column) -> Column:
 
 def gate(text: Column) -> Column:
     """Whether a text may hold an entity; false says that it holds none."""
-    return text.contains("@") | text.rlike("[0-9]") | text.rlike(_WORDS_GATE)
+    secret = (text.contains("=") | text.contains(":")) & text.rlike(_SECRET_GATE)
+    return text.contains("@") | text.rlike("[0-9]") | secret | text.rlike(_PERSON_GATE)
 
 
 def _pieces(text: Column) -> Column:
