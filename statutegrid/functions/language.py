@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statutegrid.functions import patterns as P
@@ -23,8 +23,10 @@ def detect_language(text: Column) -> Column:
 def document_language(blocks: DataFrame) -> DataFrame:
     """blocks (doc_id, block_no, text) as (doc_id, language), from the texts in order.
 
-    No more than SAMPLE_CHARS characters of a block can count, so no more are shuffled.
+    Only blocks that begin among a document's first SAMPLE_CHARS characters are put together, so no document's text is gathered.
     """
-    head = F.struct("block_no", F.substring("text", 1, P.SAMPLE_CHARS).alias("text"))
-    joined = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(head)).alias("b"))
+    before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.select("doc_id", "block_no", F.substring("text", 1, P.SAMPLE_CHARS).alias("text"))
+    heads = heads.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("_before") < P.SAMPLE_CHARS)
+    joined = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("b"))
     return joined.select("doc_id", detect_language(F.array_join(F.transform("b", lambda x: x["text"]), " ")).alias("language"))

@@ -36,7 +36,7 @@ LEXICON: dict[str, dict[str, tuple[str, ...]]] = {
 _ENDINGS_ES = {"ar": "ar a an ará arán ado ada ando e en", "er": "er e en erá erán ido ida iendo a an", "ir": "ir e en irá irán ido ida iendo a an"}
 _IRREGULAR = {
     "es": {"mantener": "mantiene mantienen mantendrá mantendrán", "salir": "sale salen saldrá saldrán", "elegir": "elige eligen", "aprobar": "aprueba aprueban", "acordar": "acuerda acuerdan"},
-    "en": {"pay": "paid", "keep": "kept", "comply": "complies complied", "notify": "notifies notified"},
+    "en": {"pay": "paid", "keep": "kept", "comply": "complies complied", "notify": "notifies notified", "expel": "expelled expelling", "admit": "admitted admitting", "submit": "submitted submitting"},
 }
 _DEONTIC_FORMS = {
     "es": {
@@ -86,6 +86,6 @@ def lookup(df: DataFrame, language: str = "language", lemma: str = "lemma") -> D
 
 
 def mapped(key: Column, table: dict[str, str]) -> Column:
-    """A lookup in a fixed table, null for unknown keys."""
-    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(v) for v in table.values()]))
+    """A lookup in a fixed table, null for unknown keys. Words hold neither colons nor commas."""
+    pairs = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items())), F.lit(","), F.lit(":"))
     return F.try_element_at(pairs, key)

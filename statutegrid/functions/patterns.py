@@ -76,6 +76,12 @@ FAMILIES = (
 INLINE_ITEM = r"(\(?[a-z]\)|\d{1,2}[.)])\s+"
 
 SENTENCE_END = r"([.!?])\s+"
+#: A point behind one of these, or behind a single capital, ends no sentence.
+ABBREVIATIONS = (
+    "Sr Sra Srta Sres Sras Dr Dra Drs Dña Ud Uds Vd Vds Lic Ing Arq Prof Profa Excmo Excma Ilmo Ilma Art Arts Cap Sec Núm Pág Págs Aprox Av Avda Ej Mr Mrs Ms "
+    "Messrs Jr St Rev Hon Gov Gen Col Capt Lt Sgt Inc Ltd Corp Co Vol Fig Vs Approx Dept Est"
+).split()
+ABBREVIATED = r"(^|[^\pL])((?i:" + "|".join(ABBREVIATIONS) + r")|[A-ZÁÉÍÓÚÑ])\."
 SENTENCE_ITEM = r"^(?:\(?[ivxlcdm]+\)|[a-záéíóúüñ]\)|\d+[.)])\s"
 BARE_LABEL = r"^(?:\(?[ivxlcdm]+\)|[a-z]\)|\d+[.)])\s*$"
 SHORT_COLON = r"^.{1,50}:\s*$"
@@ -108,6 +114,36 @@ DEONTIC_RE_ES = (
     r"\b(?:deben?|deberan?|podran?|pueden?|tendran?\s+que|habran?\s+de|corresponde(?:ra)?|quedan?\s+(?:obligado|prohibido|facultado))\b"
 )
 DEONTIC_RE_EN = r"\b(?:shall|must|should|may|will|can|have\s+to|required\s+to|obligated\s+to)\b"
+#: Words that say nothing about what a modal verb governs: adverbs and clitics, besides words in -ly and -mente.
+BETWEEN = {
+    "es": "nunca jamás siempre también tampoco sólo solo además se me te nos le les lo los la las".split(),
+    "en": "also always never ever only then further hereby thereafter thereby forthwith".split(),
+}
+MANNER = {"es": r"^\p{L}{2,}mente$", "en": r"^\p{L}{2,}ly$"}
+NO_MANNER = {"es": [""], "en": "apply supply reply rely comply multiply imply ally rally family assembly".split()}
+#: Words that no verb form can follow as a verb: determiners, and in English of.
+DETERMINERS = {
+    "es": "el la los las un una unos unas su sus este esta estos estas cada dicho dicha dichos dichas".split(),
+    "en": "the a an this that these those any each every no its their his her our of such".split(),
+}
+#: May behind one of these is the month.
+BEFORE_MONTH = "of in by until till before after from since during on and to".split()
+#: What may follow a modal verb without being its verb.
+NO_VERB = {
+    "es": "ser estar haber".split(),
+    "en": "not have been the any all each every for and but nor its their his her this that such with from upon within without under after before where when unless until per".split(),
+}
+INFINITIVE = {"es": r"^\p{L}+(?:ar|er|ir|arse|erse|irse|arlo|arla|arlos|arlas|erlo|erla|erlos|erlas)$", "en": r"^\p{L}{3,}$"}
+CLITIC_END = r"(?:se|los|las|lo|la)$"
+PARTICIPLE = {"es": r"^\p{L}+[ai]d[oa]s?$", "en": r"^\p{L}+(?:ed|en)$"}
+PASSIVE = {"es": "ser estar".split(), "en": "be been".split()}
+#: Particles between some Spanish modal verbs and their verbs, by the modal's lemma.
+PARTICLES = {"que": "tener", "de": "haber"}
+#: Verbs that are no modals and in no lexicon, which open the last search for a verb.
+AUXILIARIES = {
+    "es": "es son era eran fue fueron será serán sea sean está están estará estarán ha han hay había habían tiene tienen hace hacen".split(),
+    "en": "is are was were be been being has have had do does did".split(),
+}
 DEONTICS_ES = "debe deberá podrá puede tendrá habrá corresponde".split()
 DEONTICS_EN = "must shall should may will can".split()
 DEONTIC_LEMMAS_ES = "deber poder tener haber corresponder".split()

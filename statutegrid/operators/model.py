@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,6 +142,14 @@ def with_predictions(segments: DataFrame, load: Callable[[], object]) -> DataFra
     return segments.withColumn("prediction", predict(F.col("segment_text")))
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A model that gives raw scores, made by load in each worker, and the transitions that its labels are decoded by: Viterbi with, arg-max without."""
+
+    load: Callable[[], object]
+    transitions: list[list[float]] | None = None
+
+
 SCORES = "struct<logits:array<array<double>>,offsets:array<struct<start:int,end:int>>,ordinals:array<double>>"
 
 

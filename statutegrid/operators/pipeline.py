@@ -8,31 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statutegrid.functions.language import document_language
-from statutegrid.operators.model import with_predictions
+from statutegrid.functions.ship import ship
+from statutegrid.operators.analyzer import sentences_by, with_tokens
+from statutegrid.operators.model import Scorer, with_predictions, with_scores
 from statutegrid.operators.review import candidates, reviewed, table
 from statutegrid.operators.segments import segment
+from statutegrid.operators.sentences import raw_sentences
 
 
-def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | None = None) -> DataFrame:
-    """blocks (doc_id, source_base, block_no, page, text) as reviewed segments with triggers. language: es, en or auto."""
+def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | Scorer | None = None, load_analyzer: Callable[[], object] | None = None) -> DataFrame:
+    """blocks (doc_id, source_base, block_no, page, text) as reviewed segments with triggers. language: es, en or auto.
+
+    load_model: makes a model, or a Scorer whose raw scores are decoded in Spark. load_analyzer: makes a parser (`operators/analyzer.py`).
+    """
     if language not in ("es", "en", "auto"):
         raise ValueError(f"language must be es, en or auto, not {language!r}")
-    found = segment(blocks)
+    if load_analyzer is not None:
+        ship(blocks.sparkSession)
+    raw = raw_sentences if load_analyzer is None else sentences_by(load_analyzer, language)
+    found = segment(blocks, raw)
     if language == "auto":
         found = found.join(document_language(blocks), "doc_id")
     else:
         found = found.withColumn("language", F.lit(language))
-    if load_model is not None:
+    if load_analyzer is not None:
+        found = with_tokens(found, load_analyzer)
+    if isinstance(load_model, Scorer):
+        found = with_scores(found, load_model.load, load_model.transitions)
+    elif load_model is not None:
         found = with_predictions(found, load_model)
     return reviewed(candidates(found))
 
 
 def run(
-    blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | None = None, case: int | None = None, system: str | None = None,
-    model_version: str | None = None,
+    blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | Scorer | None = None, case: int | None = None, system: str | None = None,
+    model_version: str | None = None, load_analyzer: Callable[[], object] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(table, analysed rows): the 21 columns by document, and the rows that the sidecar is made from."""
-    rows = analysed(blocks, language, load_model)
+    """(table, analysed rows): the 21 columns by document, and the rows that the sidecar is made from.
+
+    Both are plans: each action on either goes through model and analyzer again. To write both, see sources/sinks.py: write_analysis.
+    """
+    rows = analysed(blocks, language, load_model, load_analyzer)
     return table(rows, system, case, model_version), rows
 
 

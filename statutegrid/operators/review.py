@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statutegrid.functions import patterns as P
-from statutegrid.functions.text import starts_lower
+from statutegrid.functions.text import let, starts_lower
+from statutegrid.operators.analyzer import aims_of_tokens
 from statutegrid.operators.verbs import extract_aims, first_verb
 
 COLUMNS = (
@@ -27,32 +28,35 @@ def _trigger(surface: Column, lemma: Column, start: Column, end: Column, text: C
     return F.struct(surface.alias("surface"), lemma.alias("lemma"), start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("span_text"))
 
 
-def heuristic_triggers(text: Column, language: Column) -> Column:
+def heuristic_triggers(hits: Column, text: Column) -> Column:
     """Every verb hit is a candidate whose text is the whole segment."""
-    return F.transform(extract_aims(text, language), lambda a: _trigger(a["verb"], a["lemma"], a["position"], F.lit(None), text))
+    return F.transform(hits, lambda a: _trigger(a["verb"], a["lemma"], a["position"], F.lit(None), text))
 
 
-def span_trigger(span: Column, text: Column, language: Column) -> Column:
-    """First verb of the span's text, else the segment's first verb that begins inside it, else the span's first verb or nothing."""
-    own = F.get(extract_aims(span["text"], language), F.lit(0))
-    inside = F.get(F.filter(extract_aims(text, language), lambda a: (a["position"] >= span["start"]) & (a["position"] < span["end"])), F.lit(0))
-    last = first_verb(span["text"], language)
-    return _trigger(
-        F.coalesce(own["verb"], inside["verb"], last["verb"]), F.coalesce(own["lemma"], inside["lemma"], last["lemma"]), span["start"], span["end"], span["text"]
-    )
+def span_trigger(span: Column, hits: Column, language: Column) -> Column:
+    """First verb of the span's text, else the segment's first verb that begins inside it, else any verb of the span's, in the lexicon or not."""
+    def chosen(own: Column, inside: Column) -> Column:
+        last = F.when(own.isNull() & inside.isNull(), first_verb(span["text"], language))
+        return _trigger(F.coalesce(own["verb"], inside["verb"], last["verb"]), F.coalesce(own["lemma"], inside["lemma"], last["lemma"]), span["start"], span["end"], span["text"])
+
+    inside = F.get(F.filter(hits, lambda a: (a["position"] >= span["start"]) & (a["position"] < span["end"])), F.lit(0))
+    return let(F.get(extract_aims(span["text"], language), F.lit(0)), lambda own: let(inside, lambda within: chosen(own, within)))
 
 
 def candidates(segments: DataFrame) -> DataFrame:
-    """segments (segment_text, language, perhaps prediction) with triggers and the five candidate columns."""
+    """segments (segment_text, language, perhaps prediction and tokens) with triggers and the five candidate columns.
+
+    A segment's verbs are found once: by an analyzer's tokens where it gave them, else by `extract_aims`.
+    """
     text, language = F.col("segment_text"), F.col("language")
+    hits = aims_of_tokens(F.col("tokens"), language) if "tokens" in segments.columns else extract_aims(text, language)
     if "prediction" in segments.columns:
-        found = F.transform("prediction.spans", lambda s: span_trigger(s, text, language))
+        found = let(hits, lambda all_: F.transform("prediction.spans", lambda s: span_trigger(s, all_, language)))
         count, confidence = F.col("prediction.count"), F.col("prediction.confidence")
     else:
-        found = heuristic_triggers(text, language)
-        count, confidence = F.size(found), F.lit(None).cast("double")
+        found = let(hits, lambda all_: heuristic_triggers(all_, text))
+        count, confidence = F.size("triggers"), F.lit(None).cast("double")
     rows = segments.withColumn("triggers", found)
-    count = F.size("triggers") if "prediction" not in segments.columns else count
     return rows.select(
         "*", count.alias("aim_n_suggested"), F.array_join(F.transform("triggers", lambda t: t["span_text"]), " | ").alias("aim_text_candidate"),
         F.array_join(F.filter(F.transform("triggers", lambda t: t["surface"]), lambda s: s != ""), " | ").alias("aim_trigger_candidate"),
@@ -82,14 +86,14 @@ def reviewed(rows: DataFrame) -> DataFrame:
     return flagged.withColumn("needs_review", F.col("review_reason") != "")
 
 
-def table(rows: DataFrame, system: str | None = None, case: int | None = None, model_version: str | None = None) -> DataFrame:
-    """The 21 columns in order, doc_id before them; source_base must come with the rows."""
+def table(rows: DataFrame, system: str | None = None, case: int | None = None, model_version: str | None = None, *more: str) -> DataFrame:
+    """The 21 columns in order, doc_id before them and `more` behind; source_base must come with the rows."""
     default = MODEL if "prediction" in rows.columns else HEURISTIC
     filled = rows.withColumns({
         "case_id": F.lit(case).cast("int") if case is not None else case_id(F.col("source_base")), "system": F.lit(system).cast("string"),
         "model_version": F.lit(model_version or default),
     })
-    return filled.select("doc_id", *COLUMNS)
+    return filled.select("doc_id", *COLUMNS, *more)
 
 
 def technical(rows: DataFrame) -> DataFrame:

@@ -7,18 +7,22 @@ to the run's header depends on marker families seen in the run so far. Each of t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statutegrid.functions import patterns as P
 from statutegrid.operators import structure as S
-from statutegrid.operators.sentences import split_sentences
+from statutegrid.operators.sentences import raw_sentences, split_sentences
 
 COLUMNS = (
     "segment_id", "parent_segment_id", "segment_order", "title", "chapter", "article", "segment_type", "is_list_item", "is_substantive",
     "segment_text",
 )
 ORDER = ("block_no", "sub_no", "piece_no", "emit_no")
+#: Sentences of a text, before fragments are put together.
+Boundaries = Callable[[Column], Column]
 _NO_REF = "struct<title:string,chapter:string,article:string>"
 
 
@@ -29,19 +33,19 @@ def _event(kind: str, type_: Column | str, text: Column, ref: Column | None = No
     )
 
 
-def _sentence_events(text: Column) -> Column:
+def _sentence_events(text: Column, raw: Boundaries) -> Column:
     return F.transform(
-        split_sentences(text),
+        split_sentences(text, raw),
         lambda s: F.when(s.endswith(":"), _event("H", "list_header", s)).otherwise(_event("T", "body_sentence", s)),
     )
 
 
-def _text_events(piece: Column, inline: Column) -> Column:
+def _text_events(piece: Column, inline: Column, raw: Boundaries) -> Column:
     """Events of a text piece that is neither skipped nor a heading; inline: its list, if it is one."""
     family = S.marker_family(inline["items"][0])
     children = F.transform(inline["items"], lambda x: _event("C", "list_item", x))
     listed = F.concat(F.array(_event("L", "list_header", inline["header"], family=family)), children)
-    return F.when(inline.isNotNull(), listed).otherwise(_sentence_events(piece))
+    return F.when(inline.isNotNull(), listed).otherwise(_sentence_events(piece, raw))
 
 
 def sub_blocks(blocks: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def pieces(subs: DataFrame) -> DataFrame:
     return split.select(*keep, F.posexplode(F.concat("_own", rest)).alias("piece_no", "p")).select(*keep, "piece_no", "p.kind", "p.text", "p.whole")
 
 
-def events(rows: DataFrame) -> DataFrame:
+def events(rows: DataFrame, raw: Boundaries = raw_sentences) -> DataFrame:
     """pieces as event rows (kind, type, text, ref, family)."""
     keep = [c for c in rows.columns if c not in ("kind", "text", "whole")]
     text = F.col("text")
@@ -79,7 +83,7 @@ def events(rows: DataFrame) -> DataFrame:
     body = F.when(F.col("_class") == "METADATA", F.col("_h.body")).otherwise(text)
     flat = F.when((F.col("kind") == "text") & (F.col("_class") != "SKIP"), F.replace(body, F.lit("\n"), F.lit(" ")))
     split = split.withColumn("_body", flat).withColumn("_inline", S.inline_list(F.col("_body")))
-    after = F.when(F.col("_body") != "", _text_events(F.col("_body"), F.col("_inline"))).otherwise(F.array())
+    after = F.when(F.col("_body") != "", _text_events(F.col("_body"), F.col("_inline"), raw)).otherwise(F.array())
     item = F.when(S.ends_with_colon(text), F.array(_event("S", "list_header", text, family=S.marker_family(text)))).otherwise(
         F.array(_event("I", "list_item", text, family=S.marker_family(text)))
     )
@@ -125,10 +129,10 @@ def list_state(rows: DataFrame, key: str = "doc_id", order: tuple[str, ...] = OR
     return fifth.withColumn("opener", F.col("_opener.kind")).withColumn("closed", closed).withColumn("splits", splits).drop(*helpers)
 
 
-def number(rows: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ORDER) -> DataFrame:
-    """list_state's rows as segments: long paragraphs split, numbered, with parents and the references in force."""
+def number(rows: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ORDER, raw: Boundaries = raw_sentences, parents: bool = False) -> DataFrame:
+    """list_state's rows as segments: long paragraphs split, numbered, with parents (parents: and their texts) and the references in force."""
     keep = [c for c in rows.columns if c not in ("kind", "type", "text", "ref", "family", "run", "opener", "closed", "splits")]
-    texts = F.when(F.col("splits"), split_sentences(F.col("text"))).otherwise(F.array("text"))
+    texts = F.when(F.col("splits"), split_sentences(F.col("text"), raw)).otherwise(F.array("text"))
     spread = rows.select("*", F.posexplode(texts).alias("part_no", "segment_text")).withColumn("type", F.when(F.col("splits"), "body_sentence").otherwise(F.col("type")))
     window = Window.partitionBy(key).orderBy(*order, "part_no")
     upto, before = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(Window.unboundedPreceding, -1)
@@ -136,10 +140,12 @@ def number(rows: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ORDER)
     numbered = spread.withColumn("segment_order", F.row_number().over(window)).withColumns(
         {c: F.last(F.col(f"ref.{c}"), ignorenulls=True).over(upto) for c in ("title", "chapter", "article")}
     )
-    linked = numbered.withColumn("_header", F.last(F.when(opens, F.col("segment_order")), ignorenulls=True).over(before)).withColumn(
-        "_paragraph", F.last(F.when(F.col("splits"), F.struct("run", "segment_order")), ignorenulls=True).over(before)
+    # a parent's place and, where asked for, its text, from the window that finds it: no join
+    named = F.struct("segment_order", *([F.col("segment_text").alias("text")] if parents else []))
+    linked = numbered.withColumn("_header", F.last(F.when(opens, named), ignorenulls=True).over(before)).withColumn(
+        "_paragraph", F.last(F.when(F.col("splits"), F.struct("run", named.alias("at"))), ignorenulls=True).over(before)
     )
-    body = F.when(F.col("_paragraph.run") == F.col("run"), F.col("_paragraph.segment_order")).when(F.col("opener") == "T", F.col("_header"))
+    body = F.when(F.col("_paragraph.run") == F.col("run"), F.col("_paragraph.at")).when(F.col("opener") == "T", F.col("_header"))
     parent = (
         F.when(F.col("kind") == "C", F.col("_header"))
         .when(F.col("kind").isin("I", "S") & ~F.col("closed"), F.col("_header"))
@@ -147,19 +153,19 @@ def number(rows: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ORDER)
     )
     id_ = lambda n: F.format_string("seg_%04d", n)
     return linked.select(
-        *[c for c in keep if c not in order], id_(F.col("segment_order")).alias("segment_id"), F.when(parent.isNotNull(), id_(parent)).alias("parent_segment_id"),
+        *[c for c in keep if c not in order], id_(F.col("segment_order")).alias("segment_id"), F.when(parent.isNotNull(), id_(parent["segment_order"])).alias("parent_segment_id"),
         "segment_order", "title", "chapter", "article", F.col("type").alias("segment_type"), (F.col("type") == "list_item").alias("is_list_item"),
-        F.col("type").isin(*P.SUBSTANTIVE).alias("is_substantive"), "segment_text",
+        F.col("type").isin(*P.SUBSTANTIVE).alias("is_substantive"), "segment_text", *([parent["text"].alias("parent_text")] if parents else []),
     )
 
 
-def segment(blocks: DataFrame) -> DataFrame:
-    """blocks (doc_id, ..., block_no, page, text) as segments; columns that come with doc_id stay."""
-    return number(list_state(events(pieces(sub_blocks(blocks)))))
+def segment(blocks: DataFrame, raw: Boundaries = raw_sentences, parents: bool = False) -> DataFrame:
+    """blocks (doc_id, ..., block_no, page, text) as segments; columns that come with doc_id stay. parents: with parent_text."""
+    return number(list_state(events(pieces(sub_blocks(blocks)), raw)), raw=raw, parents=parents)
 
 
 def parent_text(segments: DataFrame) -> DataFrame:
-    """segments with the text of their parents: an equi-join by document and id."""
+    """Segments read back from tables with the text of their parents: an equi-join by document and id. `segment` finds it without."""
     parents = segments.select("doc_id", F.col("segment_id").alias("parent_segment_id"), F.col("segment_text").alias("parent_text"))
     return segments.join(parents, ["doc_id", "parent_segment_id"], "left")
 

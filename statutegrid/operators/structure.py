@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from statutegrid.functions import patterns as P
 from statutegrid.functions.text import found, let, lines, matches, rstrip, strip
 
-SPLIT = "\u001d"
+#: A noncharacter: texts that are interchanged hold none, while control characters do occur.
+SPLIT = "\ufdd0"
 
 
 def strip_comments(text: Column) -> Column:

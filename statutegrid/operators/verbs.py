@@ -11,26 +11,57 @@ from statutegrid.functions.text import let
 
 HIT = "array<struct<verb:string,lemma:string,position:int,suggested_type:string>>"
 _TYPES = {lang: {lemma: c for c, lemmas in by.items() for lemma in lemmas} for lang, by in L.LEXICON.items()}
-_INFINITIVE = {"es": r"^\p{L}+(?:ar|er|ir|arse|erse|irse)$", "en": r"^\p{L}{3,}$"}
-_NO_VERB = {"es": ("ser", "estar", "haber"), "en": ("not", "have", "been", "also", "only", "never", "the")}
 
 
-def _hits(text: Column, language: str) -> Column:
-    """Candidates in order: (verb, lemma, position, suggested_type), a lemma as often as it occurs."""
+def _hits(text: Column, language: str, auxiliaries: bool = False) -> Column:
+    """Candidates in order: (verb, lemma, position, suggested_type), a lemma as often as it occurs. auxiliaries: they count too.
+
+    Words between a modal verb and its verb that say nothing about either are left out first; then a form of the lexicon counts unless a
+    determiner makes it a noun (a Spanish infinitive counts even so), and any word counts that stands where a modal verb's verb does.
+    """
     deontic, forms = L.deontic_forms(language), L.verb_forms(language)
+    more = P.AUXILIARIES[language] if auxiliaries else []
 
     def words_of(parts: Column) -> Column:
-        return F.filter(F.transform(parts, lambda t, i: F.struct(t.alias("t"), F.lower(t).alias("w"), i.alias("i"))), lambda x: x["t"].rlike(r"^\p{L}"))
+        words = F.filter(F.transform(parts, lambda t, i: F.struct(t.alias("t"), F.lower(t).alias("w"), i.alias("i"))), lambda x: x["t"].rlike(r"^\p{L}"))
+        return F.filter(words, lambda x: ~(x["w"].isin(*P.BETWEEN[language]) & ~x["w"].isin(*P.DETERMINERS[language])) & ~(x["w"].rlike(P.MANNER[language]) & ~x["w"].isin(*P.NO_MANNER[language])))
 
     def indexed(words: Column) -> Column:
-        return F.transform(words, lambda x, n: F.struct(x["t"].alias("t"), x["w"].alias("w"), x["i"].alias("i"), F.when(n > 0, F.get(words, n - 1)["w"]).alias("prev")))
+        back = lambda n, k: F.when(n >= k, F.get(words, n - k)["w"]).otherwise("")
+        return F.transform(words, lambda x, n: F.struct(
+            x["t"].alias("t"), x["w"].alias("w"), x["i"].alias("i"), back(n, 1).alias("one"), back(n, 2).alias("two"), back(n, 3).alias("three"),
+        ))
+
+    def governed(x: Column) -> Column:
+        """Whether the word stands where the verb of a modal verb does."""
+        modal = lambda w: w.isin(*deontic)
+        infinitive = x["w"].rlike(P.INFINITIVE[language]) & ~x["w"].isin(*P.NO_VERB[language])
+        participle = x["w"].rlike(P.PARTICIPLE[language]) | x["w"].isin(*forms)
+        direct = modal(x["one"]) & infinitive
+        if language == "es":
+            clitic = x["one"].isin("la", "los", "las") & modal(x["two"]) & infinitive
+            particle = F.lit(False)
+            for word, lemma in P.PARTICLES.items():
+                particle = particle | ((x["one"] == word) & x["two"].isin(*[f for f, of in deontic.items() if of == lemma]) & infinitive)
+            return direct | clitic | particle | (x["one"].isin(*P.PASSIVE["es"]) & modal(x["two"]) & participle)
+        passive = x["one"].isin(*P.PASSIVE["en"]) & (modal(x["two"]) | ((x["two"] == "have") & modal(x["three"])))
+        return (direct & ~x["w"].isin(*P.PASSIVE["en"])) | (passive & participle)
+
+    def is_verb(x: Column) -> Column:
+        free = ~x["one"].isin(*P.DETERMINERS[language])
+        if language == "es":
+            free = free | x["w"].rlike(P.INFINITIVE["es"])
+        modal = x["w"].isin(*deontic)
+        if language == "en":
+            modal = modal & ~((x["t"] == "May") & x["one"].isin(*P.BEFORE_MONTH))
+        return modal | x["w"].isin(*more, "") | (x["w"].isin(*forms) & ~x["w"].isin(*deontic) & free) | governed(x)
 
-    follows = lambda x: x["prev"].isin(*deontic) & x["w"].rlike(_INFINITIVE[language]) & ~x["w"].isin(*_NO_VERB[language])
-    wanted = lambda words: F.filter(indexed(words), lambda x: x["w"].isin(*deontic) | x["w"].isin(*forms) | F.coalesce(follows(x), F.lit(False)))
+    def wanted(words: Column) -> Column:
+        return F.filter(indexed(words), is_verb)
 
     def hit(x: Column, parts: Column) -> Column:
         modal = x["w"].isin(*deontic)
-        lemma = F.when(modal, L.mapped(x["w"], deontic)).otherwise(F.coalesce(L.mapped(x["w"], forms), F.regexp_replace(x["w"], "se$", "") if language == "es" else x["w"]))
+        lemma = F.when(modal, L.mapped(x["w"], deontic)).otherwise(F.coalesce(L.mapped(x["w"], forms), F.regexp_replace(x["w"], P.CLITIC_END, "") if language == "es" else x["w"]))
         kind = F.when(~modal, L.mapped(lemma, _TYPES[language]))
         at = F.length(F.array_join(F.slice(parts, F.lit(1), x["i"]), ""))
         return F.struct(x["t"].alias("verb"), lemma.alias("lemma"), at.cast("int").alias("position"), kind.alias("suggested_type"))
@@ -51,8 +82,9 @@ def extract_aims(text: Column, language: Column) -> Column:
 
 
 def first_verb(text: Column, language: Column) -> Column:
-    """struct(verb, lemma) of the first hit; empty strings without one."""
-    found = F.get(extract_aims(text, language), F.lit(0))
+    """struct(verb, lemma) of the first verb that is a modal, in the lexicon, governed by a modal or an auxiliary; empty strings without one."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.get(F.when(language == "en", _hits(text, "en", True)).otherwise(_hits(text, "es", True)), F.lit(0))
     return let(found, lambda hit: F.struct(F.coalesce(hit["verb"], F.lit("")).alias("verb"), F.coalesce(hit["lemma"], F.lit("")).alias("lemma")))
 
 
@@ -90,6 +122,21 @@ def lexicon_prefixes(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return joined.select(key, "category_no", "category", "lemma").distinct()
 
 
+def with_fallback(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """texts (key, language, text) with features: `verb_features`, and where those find no verb, the lexicon's lemmas that words begin with."""
+    found = texts.withColumn("features", verb_features(F.col("text"), F.col("language")))
+    without = found.where(~F.col("features.has_institutional_verb")).select(key, "language", "text")
+    other = lexicon_fallback(without, key).select(F.col(key).alias("_key"), F.col("lemmas").alias("_lemmas"), F.col("categories").alias("_categories"))
+    joined = found.join(other, F.col(key) == F.col("_key"), "left")
+    lemmas, categories = F.col("_lemmas"), F.col("_categories")
+    put = F.struct(
+        F.size(lemmas).alias("n_institutional_verbs"), F.lit(True).alias("has_institutional_verb"), lemmas.alias("verb_lemmas"), categories.alias("verb_categories"),
+        F.col("features.has_deontic_aux").alias("has_deontic_aux"), F.array_join(lemmas, ";").alias("verb_lemmas_text"), F.array_join(categories, ";").alias("verb_categories_text"),
+    )
+    kind = dict(found.dtypes)["features"]
+    return joined.withColumn("features", F.when(lemmas.isNotNull(), put.cast(kind)).otherwise(F.col("features"))).drop("_key", "_lemmas", "_categories")
+
+
 def lexicon_fallback(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, lemmas, categories): categories in lexicon order, longer lemmas first in each."""
     hit = F.struct("category_no", (-F.length("lemma")).alias("n"), "lemma", "category")

@@ -20,6 +20,7 @@ from statutegrid.operators import verbs as V
 from statutegrid.operators.pipeline import analysed, run
 from statutegrid.operators.sentences import raw_sentences, split_sentences
 from statutegrid.operators.summary import reason_counts, summary
+from statutegrid.operators.summary import smoke_metrics as metrics
 from statutegrid.plans import oracle as O
 from statutegrid.plans.derived import TRANSITIONS, logits, regulations, table
 
@@ -169,17 +170,18 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.of("SELECT s.doc_id, s.segment_id, s.segment_text, p.segment_text AS parent_text FROM segments s LEFT JOIN segments p ON p.doc_id = s.doc_id AND p.segment_id = s.parent_segment_id"))
 def parent_text(spark: SparkSession, sf: str) -> DataFrame:
-    return G.parent_text(G.segment(_blocks(spark, sf, True))).select("doc_id", "segment_id", "segment_text", "parent_text")
+    return G.segment(_blocks(spark, sf, True), parents=True).select("doc_id", "segment_id", "segment_text", "parent_text")
 
 
 # ---- verbs --------------------------------------------------------------------------------------
 
 _REG_SQL = f"array_to_string(list_transform(string_split(text, chr(10)), lambda line, i: {O.LINE.format(p='(i + doc_id)')}), chr(10))"
-_SPOKEN = f"spoken AS (SELECT doc_id, lang AS language, {_REG_SQL} AS text FROM documents WHERE lang IN ('es', 'en') AND text IS NOT NULL)"
+_SPOKEN = f"spoken AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'es' END AS language, coalesce({_REG_SQL}, '') AS text FROM documents)"
 
 
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
-    return regulations(spark, sf).select("doc_id", F.col("lang").alias("language"), "text")
+    """Whole regulations; what is not English is read as Spanish, and null texts as empty ones."""
+    return regulations(spark, sf).select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("es").alias("language"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query(f"WITH {_SPOKEN} SELECT doc_id, CASE WHEN language = 'en' THEN {O.m('text', P.DEONTIC_RE_EN)} ELSE {O.m('text', P.DEONTIC_RE_ES)} END AS has_deontic_aux FROM spoken")
@@ -192,11 +194,12 @@ def extract_aims(spark: SparkSession, sf: str) -> DataFrame:
     return _spoken(spark, sf).select("doc_id", F.inline(V.extract_aims(F.col("text"), F.col("language"))))
 
 
-@query(f"""WITH lex(language, category_no, category, lemma) AS (VALUES {O.lexicon_rows()}), w AS (SELECT DISTINCT lang AS language, unnest(regexp_extract_all(lower(text), '[a-záéíóúñü]+')) AS lemma FROM documents WHERE lang IN ('es', 'en'))
+@query(f"""WITH lex(language, category_no, category, lemma) AS (VALUES {O.lexicon_rows()}), w AS (SELECT DISTINCT CASE WHEN lang = 'en' THEN 'en' ELSE 'es' END AS language, unnest(regexp_extract_all(lower(text), '[a-záéíóúñü]+')) AS lemma FROM documents)
 SELECT w.language, w.lemma, lex.category FROM w LEFT JOIN lex USING (language, lemma)""")
 def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-záéíóúñü]+"), F.lit(0))
-    rows = table(spark, sf, "documents").where("lang IN ('es', 'en')").select(F.col("lang").alias("language"), F.explode(words).alias("lemma"))
+    language = F.when(F.col("lang") == "en", "en").otherwise("es")
+    rows = table(spark, sf, "documents").select(language.alias("language"), F.explode(words).alias("lemma"))
     return L.lookup(rows.distinct())
 
 
@@ -252,12 +255,33 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     return summary(segments(spark, sf))
 
 
-@query()
+@query(O.of("""SELECT doc_id, segment_id, '{"spans":[' || coalesce(string_agg('{"surface":' || to_json(verb) || ',"lemma":' || to_json(lemma) || ',"start":' || position || ',"span_text":' || to_json(segment_text) || '}', ',' ORDER BY position), '') || ']}' AS technical
+FROM segments LEFT JOIN aims USING (doc_id, segment_order) GROUP BY doc_id, segment_id""", True))
 def technical_json(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.technical(analysed(_blocks(spark, sf, True)))
     return rows.select("doc_id", "segment_id", F.to_json(F.struct("spans", "confidence")).alias("technical"))
 
 
+@query(O.of("""SELECT count(*) AS n_segments, count(*) FILTER (is_substantive) AS n_substantive, count(*) FILTER (is_substantive AND has_own_aim_candidate) AS n_with_candidate,
+  count(*) FILTER (is_list_item) AS n_list_items, count(*) FILTER (needs_review) AS n_needs_review, count(*) FILTER (needs_review)::DOUBLE / count(*) AS share_needs_review FROM final""", True))
+def smoke_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics(segments(spark, sf))
+
+
+@query(f"""WITH {_SPOKEN}, {O.aims('spoken', 'doc_id')}, lex(language, category_no, category, lemma) AS (VALUES {O.lexicon_rows()}),
+f AS (SELECT doc_id, string_agg(lemma, ';' ORDER BY n) AS lemmas FROM aims GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(suggested_type, ';' ORDER BY n) AS categories FROM (SELECT doc_id, suggested_type, min(n) AS n FROM aims WHERE suggested_type IS NOT NULL GROUP BY doc_id, suggested_type) GROUP BY doc_id),
+w AS (SELECT DISTINCT doc_id, language, unnest(regexp_extract_all(lower(text), '[\\p{{L}}0-9_]+')) AS word FROM spoken WHERE doc_id NOT IN (SELECT doc_id FROM f)),
+x AS (SELECT DISTINCT doc_id, category_no, category, lex.lemma FROM w JOIN lex ON lex.language = w.language AND starts_with(word, lex.lemma)),
+xl AS (SELECT doc_id, string_agg(lemma, ';' ORDER BY category_no, -length(lemma), lemma) AS lemmas FROM x GROUP BY doc_id),
+xc AS (SELECT doc_id, string_agg(category, ';' ORDER BY category_no) AS categories FROM (SELECT DISTINCT doc_id, category_no, category FROM x) GROUP BY doc_id)
+SELECT doc_id, coalesce(f.lemmas, xl.lemmas, '') AS verb_lemmas, coalesce(CASE WHEN f.lemmas IS NULL THEN xc.categories ELSE c.categories END, '') AS verb_categories
+FROM spoken LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN xl USING (doc_id) LEFT JOIN xc USING (doc_id)""")
+def verb_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    rows = V.with_fallback(_spoken(spark, sf))
+    return rows.select("doc_id", F.col("features.verb_lemmas_text").alias("verb_lemmas"), F.col("features.verb_categories_text").alias("verb_categories"))
+
+
 @query("SELECT doc_id, doc_id::INT AS from_name, NULL::INT AS from_other FROM documents")
 def case_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -1,6 +1,6 @@
 """Carriers for the queries: regulations derived from the supplied documents, by one rule for Spark and DuckDB.
 
-The supplied prose has no articles, lists or formulas, so every line of a Spanish or English document becomes one of twelve kinds of line.
+The supplied prose has no articles, lists or formulas, so every line of a document becomes one of twelve kinds of line. All documents are carried over, in whatever language.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def regulations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """doc_id, lang, source_base, text. whole: by document, for what looks at a document's events together."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IN ('es', 'en') AND text IS NOT NULL").select("doc_id", "lang", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     docs = by_document(docs) if whole else balanced(docs)
     text = F.expr(f"array_join(transform(split(text, '\\n'), (line, i) -> {LINE.format(p='(i + 1 + doc_id)')}), '\\n')")
     return docs.select("doc_id", "lang", F.format_string("%d. Reglamento.md", "doc_id").alias("source_base"), text.alias("text"))

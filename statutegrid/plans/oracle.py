@@ -9,7 +9,8 @@ from statutegrid.functions import lexicon as L
 from statutegrid.functions import patterns as P
 from statutegrid.plans.derived import LINE, TRANSITIONS
 
-NL, CUT, UNIT, RECORD = "chr(10)", "chr(29)", "chr(31)", "chr(30)"
+#: Newline; marks that no text holds: noncharacters, but for the one before a line, where lines have been cut.
+NL, CUT, UNIT, POINT, RECORD = "chr(10)", "chr(64976)", "chr(64977)", "chr(64978)", "chr(30)"
 
 
 def q(text: str) -> str:
@@ -66,12 +67,15 @@ def heading_body(source: str, name: str, text: str) -> str:
 
 
 def sentences(x: str) -> str:
-    parts = f"string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || {UNIT}, 'g'), {UNIT})"
+    kept = x
+    for _ in range(2):
+        kept = f"regexp_replace({kept}, {q(P.ABBREVIATED)}, '\\1\\2' || {POINT}, 'g')"
+    parts = f"string_split(replace(regexp_replace({kept}, '([.!?])\\s+', '\\1' || {UNIT}, 'g'), {POINT}, '.'), {UNIT})"
     return f"list_filter(list_transform({parts}, lambda x: {strip('x')}), lambda x: x <> '')"
 
 
 def merged(x: str) -> str:
-    buffer = "regexp_extract(acc, '[^\\x1f]*$')"
+    buffer = "regexp_extract(acc, '[^\\x{fdd1}]*$')"
     takes = f"{m(buffer, P.BARE_LABEL)} OR {m(buffer, P.SHORT_COLON)}"
     part = f"{m('x', P.SENTENCE_ITEM)} OR {m('x', P.DIGIT_CONTINUATION, True)} OR {m('x', P.LOWERCASE_START, True)} OR length(x) < {P.SHORT_FRAGMENT_CHARS}"
     fold = f"CASE WHEN {takes} OR {part} THEN regexp_replace(acc, '\\s+$', '') || ' ' || x ELSE acc || {UNIT} || x END"
@@ -87,7 +91,7 @@ MARKED = f"""CASE WHEN {m('x', P.LINE_ITEM)} THEN {RECORD} || 'i' WHEN i > 1 AND
 CLEAN = f"regexp_replace(regexp_replace(line, {q(P.MARKDOWN_EMPHASIS)}, '\\1', 'g'), {q(P.MARKDOWN_LINK)}, '\\1', 'g')"
 
 CHAIN = f"""
-reg AS (SELECT doc_id, lang, list_transform(string_split(text, {NL}), lambda line, i: {LINE.format(p='(i + doc_id)')}) AS lines FROM documents WHERE lang IN ('es', 'en') AND text IS NOT NULL),
+reg AS (SELECT doc_id, lang, list_transform(string_split(text, {NL}), lambda line, i: {LINE.format(p='(i + doc_id)')}) AS lines FROM documents),
 ln AS (SELECT doc_id, p, {strip('lines[p]')} AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS p FROM reg)),
 bounds AS (SELECT *, regexp_matches(line, {q(P.MARKDOWN_HEADER)}) AS header, regexp_matches(line, {q(P.MARKDOWN_RULE)}) AS rule FROM ln),
 groups AS (SELECT *, sum((header OR rule)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM bounds),
@@ -151,20 +155,40 @@ def lexicon_rows() -> str:
     return ", ".join(f"({q(lang)}, {n}, {q(c)}, {q(lemma)})" for lang, by in L.LEXICON.items() for n, (c, lemmas) in enumerate(by.items()) for lemma in lemmas)
 
 
+def _either(make) -> str:
+    """A condition for each language; other languages are read as Spanish."""
+    return f"CASE WHEN language = 'en' THEN {make('en')} ELSE {make('es')} END"
+
+
+def _governed(lang: str) -> str:
+    """Whether the word stands where the verb of a modal verb does, from the three words before it."""
+    modal = lambda w: f"{w} IN {words(list(L.deontic_forms(lang)))}"
+    infinitive = f"(regexp_matches(w, {q(P.INFINITIVE[lang])}) AND w NOT IN {words(P.NO_VERB[lang])})"
+    participle = f"(regexp_matches(w, {q(P.PARTICIPLE[lang])}) OR known IS NOT NULL)"
+    direct = f"{modal('one')} AND {infinitive}"
+    if lang == "en":
+        passive = f"one IN {words(P.PASSIVE['en'])} AND ({modal('two')} OR (two = 'have' AND {modal('three')})) AND {participle}"
+        return f"(({direct} AND w NOT IN {words(P.PASSIVE['en'])}) OR ({passive}))"
+    of = lambda lemma: words([f for f, m_ in L.deontic_forms("es").items() if m_ == lemma])
+    particles = " OR ".join(f"(one = '{word}' AND two IN {of(lemma)})" for word, lemma in P.PARTICLES.items())
+    return f"(({direct}) OR (one IN ('la', 'los', 'las') AND {modal('two')} AND {infinitive}) OR (({particles}) AND {infinitive}) OR (one IN {words(P.PASSIVE['es'])} AND {modal('two')} AND {participle}))"
+
+
 def aims(source: str, key: str) -> str:
     """CTEs up to aims (key, verb, lemma, position, suggested_type) of source (key, text, language)."""
-    no_verb = {"es": ["ser", "estar", "haber"], "en": ["not", "have", "been", "also", "only", "never", "the"]}
     keys = ", ".join(key.split())
+    silent = lambda lang: f"((w IN {words(P.BETWEEN[lang])} AND w NOT IN {words(P.DETERMINERS[lang])}) OR (regexp_matches(w, {q(P.MANNER[lang])}) AND w NOT IN {words(P.NO_MANNER[lang])}))"
+    free = lambda lang: f"(one NOT IN {words(P.DETERMINERS[lang])}" + (f" OR regexp_matches(w, {q(P.INFINITIVE['es'])}))" if lang == "es" else ")")
+    back = ", ".join(f"coalesce(lag(w, {n}) OVER (PARTITION BY {keys} ORDER BY n), '') AS {name}" for n, name in enumerate(("one", "two", "three"), 1))
     return f"""
 forms(language, form, lemma, category, modal) AS (VALUES {lexicon_values()}),
 tok0 AS (SELECT {keys}, language, string_split(regexp_replace(text, '(\\p{{L}}+)', {CUT} || '\\1' || {CUT}, 'g'), {CUT}) AS parts FROM {source}),
 tok1 AS (SELECT {keys}, language, n, parts[n] AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM tok0)),
-tok2 AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY {keys} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM tok1),
-tok3 AS (SELECT *, lower(t) AS w, lag(lower(t)) OVER (PARTITION BY {keys} ORDER BY n) AS prev FROM tok2 WHERE regexp_matches(t, '^\\p{{L}}')),
-tok4 AS (SELECT x.*, f.lemma AS known, f.category, coalesce(f.modal, false) AS modal,
-    coalesce(p.modal, false) AND CASE WHEN x.language = 'en' THEN regexp_matches(x.w, '^\\p{{L}}{{3,}}$') AND x.w NOT IN {words(no_verb['en'])} ELSE regexp_matches(x.w, '^\\p{{L}}+(?:ar|er|ir|arse|erse|irse)$') AND x.w NOT IN {words(no_verb['es'])} END AS follows
-  FROM tok3 x LEFT JOIN forms f ON f.language = x.language AND f.form = x.w LEFT JOIN forms p ON p.language = x.language AND p.form = x.prev AND p.modal),
-tok5 AS (SELECT *, coalesce(known, CASE WHEN language = 'es' THEN regexp_replace(w, 'se$', '') ELSE w END) AS lemma FROM tok4 WHERE known IS NOT NULL OR follows),
+tok2 AS (SELECT *, lower(t) AS w, coalesce(sum(length(t)) OVER (PARTITION BY {keys} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM tok1),
+tok3 AS (SELECT *, {back} FROM tok2 WHERE regexp_matches(t, '^\\p{{L}}') AND NOT {_either(silent)}),
+tok4 AS (SELECT x.*, f.lemma AS known, f.category, coalesce(f.modal, false) AS modal FROM tok3 x LEFT JOIN forms f ON f.language = x.language AND f.form = x.w),
+tok5 AS (SELECT *, coalesce(known, CASE WHEN language = 'es' THEN regexp_replace(w, {q(P.CLITIC_END)}, '') ELSE w END) AS lemma FROM tok4
+  WHERE (modal AND NOT (language = 'en' AND t = 'May' AND one IN {words(P.BEFORE_MONTH)})) OR (known IS NOT NULL AND NOT modal AND {_either(free)}) OR {_either(_governed)}),
 tok6 AS (SELECT x.*, lex.category AS kind, row_number() OVER (PARTITION BY {', '.join('x.' + k for k in key.split())}, x.lemma ORDER BY n) AS turn FROM tok5 x
   LEFT JOIN (SELECT DISTINCT language, lemma, category FROM forms WHERE NOT modal) lex ON lex.language = x.language AND lex.lemma = x.lemma AND NOT x.modal),
 aims AS (SELECT {keys}, t AS verb, lemma, position::INT AS position, kind AS suggested_type, n FROM tok6 WHERE turn = 1)"""

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from pathlib import Path
 
+from statutegrid.operators.model import Scorer
+
 #: Files that hold weights, the folder that an export may keep them in, and the settings' file.
 WEIGHTS = ("model.safetensors", "pytorch_model.bin")
 FULL, SETTINGS = "full", "training_config.json"
@@ -18,6 +22,8 @@ class Settings:
     use_crf: bool = True
     ordinal_weight: float = 0.3
     aim0_penalty_weight: float = 0.5
+    #: Transition scores (from, to) of the decoder, three by three; an export without them is decoded by arg-max.
+    transitions: list[list[float]] | None = None
 
 
 def has_weights(folder: Path) -> bool:
@@ -48,3 +54,10 @@ def settings(folder: Path | None) -> Settings:
         return Settings()
     said = json.loads(file.read_text(encoding="utf-8"))
     return Settings(**{k: said[k] for k in Settings.__dataclass_fields__ if k in said})
+
+
+def scorer(reference: str, runner: Callable[[str, Settings], object]) -> Scorer:
+    """The model that a reference names: resolved and its settings read on the driver, made in the workers by runner(name, settings)."""
+    name, folder = resolve(reference)
+    said = settings(folder)
+    return Scorer(partial(runner, name, said), said.transitions if said.use_crf else None)

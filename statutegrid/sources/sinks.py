@@ -9,10 +9,11 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statutegrid.operators.review import COLUMNS
+from statutegrid.operators.review import COLUMNS, technical
+from statutegrid.operators.review import table as table_of
 from statutegrid.operators.summary import summary
 
-#: What each column means, for the schema sheet.
+#: What each column means, for the schema sheet, in this project's words.
 DESCRIPTIONS = {
     "case_id": "Number of the case, from the file name or the caller.",
     "system": "Resource system that the rules are about, where known.",
@@ -49,14 +50,35 @@ def schema_table(spark: SparkSession) -> DataFrame:
 
 
 def write_tables(table: DataFrame, technical: DataFrame | None, path: str, mode: str = "errorifexists") -> None:
-    """segments, schema, summary and, if given, technical as Parquet folders under path. For collections of documents."""
+    """segments, schema, summary and, if given, technical as Parquet folders under path. For collections of documents.
+
+    The summary is made from the segments as written. table and technical are worked out one after the other: where both come from one
+    analysis, write_analysis goes through it once.
+    """
+    spark = table.sparkSession
     table.write.mode(mode).parquet(f"{path}/segments")
-    summary(table).write.mode(mode).parquet(f"{path}/summary")
-    schema_table(table.sparkSession).write.mode(mode).parquet(f"{path}/schema")
+    summary(spark.read.schema(table.schema).parquet(f"{path}/segments")).write.mode(mode).parquet(f"{path}/summary")
+    schema_table(spark).write.mode(mode).parquet(f"{path}/schema")
     if technical is not None:
         technical.write.mode(mode).parquet(f"{path}/technical")
 
 
+def write_analysis(
+    rows: DataFrame, path: str, with_technical: bool = True, mode: str = "errorifexists", system: str | None = None, case: int | None = None, model_version: str | None = None
+) -> None:
+    """The tables of write_tables from analysed rows (`operators/pipeline.py: analysed`), each of which goes through model and analyzer once.
+
+    What the analysis found is written once, to analysed under path; the tables are made from that, which then goes.
+    """
+    spark, stage = rows.sparkSession, f"{path}/analysed"
+    whole = table_of(rows, system, case, model_version, "triggers", "confidence")
+    whole.write.mode(mode).parquet(stage)
+    read = spark.read.schema(whole.schema).parquet(stage)
+    write_tables(read.select("doc_id", *COLUMNS), technical(read) if with_technical else None, path, mode)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sidecar(technical: list) -> dict:
     return {r["segment_id"]: {"spans": [s.asDict() for s in r["spans"]], "confidence": r["confidence"]} for r in technical}
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from statutegrid.operators.blocks import blocks_of
-from statutegrid.operators.pipeline import base_name, run
+from statutegrid.operators.model import Scorer
+from statutegrid.operators.pipeline import analysed, base_name
+from statutegrid.operators.review import table, technical
 from statutegrid.sources.readers import decoded, suffix
 
 
@@ -25,12 +27,20 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return rows.where(F.col("suffix").isin(".md", ".txt"))
 
 
-def start(docs: DataFrame, out: str, checkpoint: str, language: str = "auto", load_model: Callable[[], object] | None = None, **trigger) -> StreamingQuery:
-    """Write the tables of arriving documents to Parquet under out, a folder a batch so that a batch that runs again overwrites itself."""
+def start(
+    docs: DataFrame, out: str, checkpoint: str, language: str = "auto", load_model: Callable[[], object] | Scorer | None = None, technical_out: str | None = None, **trigger
+) -> StreamingQuery:
+    """Write the tables of arriving documents to Parquet under out, a folder a batch so that a batch that runs again overwrites itself.
+
+    technical_out: where the sidecar's rows go, likewise. A batch is analysed once; executors that are lost cost their part of it again.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         blocks = blocks_of(rows, F.when(F.col("suffix") == ".md", "md").otherwise("txt")).drop("suffix")
-        table, _ = run(blocks, language, load_model)
-        table.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = analysed(blocks, language, load_model).persist()
+        table(found).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if technical_out:
+            technical(found).write.mode("overwrite").parquet(f"{technical_out}/batch={number}")
+        found.unpersist()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
