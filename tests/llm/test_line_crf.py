@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -76,3 +77,38 @@ def test_lines_without_words_do_not_count():
     raw, sizes = line_crf.line_features("a b\n\n \t\nc\n")
     assert len(raw) == len(sizes) == 2
     assert line_crf.line_features(None)[0].shape == (0, len(line_crf.BINS))
+
+
+def plain_score(model, text):
+    """Forward and backward sums over one document's lines, in loops."""
+    raw, sizes = line_crf.line_features(text)
+    if not len(sizes):
+        return model.prior
+    own = line_crf.bins(raw).tolist()
+    none = [line_crf.WIDTH - 1] * len(line_crf.BINS)
+    node = []
+    for i, row in enumerate(own):
+        before, after = own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none
+        s = model.bias + sum(model.weights[0][f] for f in row) + sum(model.weights[1][f] for f in before) + sum(model.weights[2][f] for f in after)
+        node.append((0.0, float(s)))
+    add = lambda a, b: max(a, b) + np.log1p(np.exp(-abs(a - b)))
+    e, n = model.edges, len(node)
+    forward, backward = [node[0]], [(0.0, 0.0)]
+    for i in range(1, n):
+        forward.append(tuple(node[i][y] + add(forward[-1][0] + e[0][y], forward[-1][1] + e[1][y]) for y in (0, 1)))
+        later = [node[n - i][y] + backward[0][y] for y in (0, 1)]
+        backward.insert(0, tuple(add(e[x][0] + later[0], e[x][1] + later[1]) for x in (0, 1)))
+    good = [1 / (1 + np.exp((f[0] + b[0]) - (f[1] + b[1]))) for f, b in zip(forward, backward, strict=True)]
+    return sum(g * s for g, s in zip(good, sizes, strict=True)) / sum(sizes)
+
+
+def test_the_query_s_scores_are_those_of_a_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = line_crf.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = line_crf.op7_line_crf(spark, sf).collect()
+    assert len(got) == len(texts) == 1000
+    for r in got:
+        assert r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
