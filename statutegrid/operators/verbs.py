@@ -54,7 +54,7 @@ def _hits(text: Column, language: str, auxiliaries: bool = False) -> Column:
         modal = x["w"].isin(*deontic)
         if language == "en":
             modal = modal & ~((x["t"] == "May") & x["one"].isin(*P.BEFORE_MONTH))
-        return modal | x["w"].isin(*more, "") | (x["w"].isin(*forms) & ~x["w"].isin(*deontic) & free) | governed(x)
+        return modal | x["w"].isin(more) | (x["w"].isin(*forms) & ~x["w"].isin(*deontic) & free) | governed(x)
 
     def wanted(words: Column) -> Column:
         return F.filter(indexed(words), is_verb)

@@ -1,5 +1,7 @@
 """Each segment goes through a model once, whatever is written; plans have one scan and one exchange; work grows with the text."""
 
+import random
+import re
 import time
 from types import SimpleNamespace
 
@@ -8,12 +10,13 @@ from pyspark.sql import functions as F
 
 import statutegrid
 from statutegrid import cli
+from statutegrid.functions import patterns as P
 from statutegrid.operators import analyzer as A
 from statutegrid.operators import verbs as V
 from statutegrid.operators.model import Scorer
 from statutegrid.operators.review import technical
 from statutegrid.operators.segments import segment
-from statutegrid.operators.sentences import split_sentences
+from statutegrid.operators.sentences import merge_fragments, split_sentences
 from statutegrid.operators.structure import inline_list, page_blocks
 from statutegrid.plans import catalog
 from statutegrid.sources import models
@@ -102,13 +105,29 @@ def test_abbreviations_and_initials_end_no_sentence(spark):
     assert sentences(spark, "Véase el art. 5 de estos estatutos. Los socios podrán votar en ella.") == ["Véase el art. 5 de estos estatutos.", "Los socios podrán votar en ella."]
 
 
-def test_labels_and_fragments_over_chunks_of_the_fold(spark):
-    long = "Los socios votan en cada sesión de la asamblea."
-    parts = [long] * 255 + ["1. DUES:", "2.", long, "y algo más que sigue aquí abajo.", "Corto.", long, "a) un punto de la lista.", long]
-    got = sentences(spark, " ".join(parts))
-    assert got[:254] == [long] * 254
-    assert got[254] == f"{long} 1. DUES: 2. {long} y algo más que sigue aquí abajo. Corto." or got[254].startswith(long)
-    assert " ".join(got) == " ".join(parts)
+def folded(sentences):
+    """Fragments put together by a plain loop over whole buffers."""
+    done, buffer = [], None
+    for x in sentences:
+        if buffer is None:
+            buffer = x
+            continue
+        takes = re.search(P.BARE_LABEL, buffer, re.I) or re.search(P.SHORT_COLON, buffer, re.I)
+        part = re.search(P.SENTENCE_ITEM, x, re.I) or re.search(P.DIGIT_CONTINUATION, x) or re.search(P.LOWERCASE_START, x) or len(x) < P.SHORT_FRAGMENT_CHARS
+        if takes or part:
+            buffer += " " + x
+        else:
+            done.append(buffer)
+            buffer = x
+    return done + ([buffer] if buffer is not None else [])
+
+
+def test_fragments_are_those_of_a_plain_loop_over_any_number_of_chunks(spark):
+    rng = random.Random(4)
+    kinds = ["Los socios votan en cada sesión de la asamblea.", "1. DUES:", "2.", "a)", "y algo más que sigue aquí abajo.", "Corto.", "a) un punto de la lista.", "3 veces al año se reúne.", "X" * 60 + ":", "El cuerpo ejecutivo de la comunidad:", "B) Otro punto de la lista."]
+    rows = [(n, [rng.choice(kinds) for _ in range(size)]) for n, size in enumerate([0, 1, 2, 3, 255, 256, 257, 513, 900, *range(4, 40)])]
+    got = {r["n"]: r["m"] for r in spark.createDataFrame(rows, "n int, s array<string>").select("n", merge_fragments(F.col("s")).alias("m")).collect()}
+    assert got == {n: folded(s) for n, s in rows}
 
 
 def test_control_characters_cut_nothing(spark):
