@@ -9,6 +9,7 @@ document's label, with Adam on a bounded sample (SAMPLE documents of the smalles
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.common import column, free_name, table
 
-SAMPLE = 3000
+#: Labelled rows that training takes at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.7
 STEPS, RATE, L2 = 150, 0.15, 1e-3
@@ -166,12 +168,28 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows outside the held-out fold; only these, a documented bound, come to the driver."""
+def longest_that_fits(sizes: list[int], limit: int) -> int:
+    """Largest size such that all texts of that size and less take no more than `limit` bytes; -1 if there is none."""
+    fits, taken = -1, 0
+    for size, times in sorted(Counter(sizes).items()):
+        taken += size * times
+        if taken > limit:
+            break
+        fits = size
+    return fits
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most `sample` labelled rows outside the held-out fold, whose texts take at most `sample_bytes`; only these, a documented bound, come to the driver.
+
+    Where the drawn texts take more, the longest ones are left out, whole.
+    """
     marked = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), "quality").where(fold(F.col("_id")) != HELD_OUT)
     drawn = marked.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(sample).collect()
+    rows = rows.select("text", "quality", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "quality").alias("place"))
+    sizes = [r["size"] for r in rows.select("size", "place").orderBy("place", "size").limit(sample).collect()]
+    got = rows.where(F.col("size") <= longest_that_fits(sizes, sample_bytes)).orderBy("place", "size").limit(sample).collect()
     return fit([r["text"] for r in got], [r["quality"] for r in got])
 
 

@@ -112,3 +112,16 @@ def test_the_query_s_scores_are_those_of_a_plain_version(spark):
     for r in got:
         assert r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-9)
         assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_training_texts_are_bounded_by_bytes(spark):
+    rows = [(i, ("good words in a line of text " if i % 2 else "### | ### | ") * (500 if i in (3, 8) else 1), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    short = docs.where("length(text) < 100")
+    bounded, plain = line_crf.train(docs, labels, sample_bytes=2000), line_crf.train(short, labels)
+    assert np.array_equal(bounded.weights, plain.weights) and bounded.prior == plain.prior
+    assert line_crf.train(docs, labels, sample_bytes=0).prior == 0.5
+    assert line_crf.longest_that_fits([5, 5, 1, 0], 10) == 1
+    assert line_crf.longest_that_fits([5, 5, 1, 0], 11) == 5
+    assert line_crf.longest_that_fits([], 10) == -1
