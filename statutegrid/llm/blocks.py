@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
+#: Blocks that meet only a group's representatives cost two copies of a row whatever their size; small ones spread a group evenly over tasks.
+REPRESENTED_BLOCK = 128
 
 
 def paired_blocks(members: DataFrame, key: str, size: str, member: str, block: int = BLOCK) -> DataFrame:
@@ -30,7 +32,7 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
 
 
-def represented_blocks(members: DataFrame, key: str, size: str, member: str, block: int = BLOCK) -> DataFrame:
+def represented_blocks(members: DataFrame, key: str, size: str, member: str, block: int = REPRESENTED_BLOCK) -> DataFrame:
     """members by block, each block with block 0 beside it as the group's representatives: _i = 0, _j the block, _at the row's own block.
 
     A group of n members gives about 2 n rows, whatever its size; a task judges pairs inside block _j and between it and block 0.
