@@ -116,3 +116,20 @@ def test_scratch_tables_go_with_their_block(spark, tmp_path):
         assert len(set(os.listdir(folder)) - before) > 3
     assert len(set(os.listdir(folder)) - before) == 1
     assert kept.count() == 2
+
+
+def test_represented_blocks_are_small_and_cost_two_copies(spark):
+    """Every row meets its own block and the representatives, in tasks of few rows, whatever the group's size."""
+    from statutegrid.llm import blocks
+
+    n = 5000
+    members = spark.range(n).selectExpr("id AS doc_id", "7L AS bucket", f"{n}L AS size")
+    rows = blocks.represented_blocks(members, "bucket", "size", "doc_id").select("doc_id", "_j", "_at").collect()
+    assert n <= len(rows) <= 2.3 * n
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r["_j"], []).append((r["doc_id"], r["_at"]))
+    assert max(map(len, tasks.values())) <= 3 * blocks.REPRESENTED_BLOCK
+    first = {i for i, at in tasks[0] if at == 0}
+    assert all({i for i, at in t if at == 0} == first for t in tasks.values())
+    assert sorted(i for j, t in tasks.items() for i, at in t if at == j) == list(range(n))
