@@ -19,6 +19,8 @@ WORD = rf"[^{BLANKS}]+"
 
 #: What a table may take, written out, to be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Keys of more edges than this are hot, unless more than HOT_KEYS are: then the bound rises.
+HOT_DEGREE, HOT_KEYS = 1_000, 100_000
 
 _own_folder: dict[str, str] = {}
 #: Scratch tables by open `scratch` block; the first list lives as long as the driver.
@@ -111,12 +113,32 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def hot_limit(sizes: DataFrame, size: str, least: int, most: int) -> int:
+    """The smallest of least, 4 least, 16 least and so on that no more than `most` rows exceed; for tables that `cut` wrote."""
+    while sizes.where(F.col(size) > least).count() > most:
+        least *= 4
+    return least
+
+
+def _with_least(edges: DataFrame, label: str) -> DataFrame:
+    """edges (u, v) with m, the smallest v of their u.
+
+    Hot keys are few, and their minima are broadcast, so their edges stay where they lie; the shuffle
+    deals out the rest, of which no key has more than the bound. AQE would not split the hot ones: one side is an aggregate, not a shuffle.
+    """
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), f"{label}-least")
+    limit = hot_limit(low, "degree", HOT_DEGREE, HOT_KEYS)
+    hot = F.broadcast(low.where(F.col("degree") > limit).select("u", "m"))
+    rest = low.where(F.col("degree") <= limit).select("u", "m")
+    return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(rest, "u"))
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long) by alternating large-star and small-star steps.
 
     Returns (id, component) for every id on an edge, component the smallest id reachable. Each step
-    is a map-side combined minimum and an equi-join that AQE may split, so no group is gathered;
-    only a count and a sum of hashes come to the driver. Loops (a = b) and nulls are ignored.
+    is a map-side combined minimum and a join that shuffles no hot key, so no group is gathered;
+    only counts and a sum of hashes come to the driver. Loops (a = b) and nulls are ignored.
     """
     links = edges.where("a is not null and b is not null and a <> b")
     now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
@@ -127,11 +149,11 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
             break
         before = state
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        nearest = _with_least(both, label).where("v > u")
+        large = cut(nearest.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), f"{label}-large")
+        # the edge to the least neighbour stays, the others' ends go over to it
+        end = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        now = cut(_with_least(large, label).select(end.alias("u"), F.col("m").alias("v")).distinct(), label)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("id")).distinct()

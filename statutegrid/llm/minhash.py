@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.blocks import grouped, matrix, minor_blocks, represented_blocks
-from statutegrid.llm.common import bounded, components, cut, table
+from statutegrid.llm.common import bounded, components, cut, hot_limit, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -247,9 +247,7 @@ def bounded_hot(buckets: DataFrame) -> DataFrame:
 
     At least HOT_BUCKET rows; more where so many buckets have as many that their list would not be small.
     """
-    limit = HOT_BUCKET
-    while buckets.where(F.col("size") > limit).count() > HOT_BUCKETS:
-        limit *= 4
+    limit = hot_limit(buckets, "size", HOT_BUCKET, HOT_BUCKETS)
     return F.broadcast(buckets.where(F.col("size") > limit).select("bucket", F.ceil(F.col("size") / limit).cast("int").alias("parts")))
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statutegrid.llm import common, minhash
 from tests.llm.brute import shingles, smallest_reachable
@@ -79,6 +80,31 @@ def test_components_of_chains_stars_and_loops(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
 
 
+@pytest.mark.parametrize("degree, keys", [(1, 1000), (3, 1000), (1, 2), (1000, 1000)])
+def test_components_whatever_counts_as_hot(spark, monkeypatch, degree, keys):
+    """Random graphs with a hub of the smallest and one of the largest id, with all, some and no keys hot, against plain reachability."""
+    monkeypatch.setattr(common, "HOT_DEGREE", degree)
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    rng = random.Random(degree + keys)
+    edges = {(rng.randrange(20, 120), rng.randrange(20, 120)) for _ in range(70)}
+    edges |= {(0, i) for i in range(130, 170)} | {(999, i) for i in range(200, 240)} | {(i, i + 1) for i in range(300, 330)}
+    rows = common.components(spark.createDataFrame(sorted(edges), "a long, b long"), "hot").collect()
+    ids = sorted({i for e in edges if e[0] != e[1] for i in e})
+    assert {r["id"]: r["component"] for r in rows} == smallest_reachable(ids, lambda a, b: (a, b) in edges or (b, a) in edges)
+    assert len(rows) == len(ids)
+
+
+def test_edges_of_a_hot_key_are_not_shuffled(spark):
+    """Of a star of many edges and many pairs, the join deals out the pairs alone."""
+    star, pairs = 5 * common.HOT_DEGREE, 300
+    edges = spark.range(star).selectExpr("0L AS u", "id + 1 AS v").union(spark.range(pairs).selectExpr("id + 100000 AS u", "id AS v"))
+    found = common._with_least(edges, "star")
+    assert found.groupBy("u").agg(F.count("*").alias("n"), F.min("m").alias("m")).where("u = 0").first()[1:] == (star, 1)
+    assert found.where("u > 0 and m = v").count() == pairs
+    by_task = found.groupBy(F.spark_partition_id().alias("p"), "u").count().where("u = 0").collect()
+    assert len(by_task) > 1 and max(r["count"] for r in by_task) < star
+
+
 @pytest.mark.parametrize("text", ["", None, " \t\n"])
 def test_no_words_no_shingles(text):
     assert len(minhash.shingles(text)) == 0
