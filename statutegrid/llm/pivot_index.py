@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow, ship
 from statutegrid.llm.blocks import block_labels, grouped, matrix, paired_blocks
-from statutegrid.llm.common import components, cut, table
+from statutegrid.llm.common import bounded, components, cut, table
 
 COSINE = 0.9
 #: PREFIX is the shortest prefix; longer ones follow from the share of PROBES pairs at the threshold that must become candidates.
@@ -229,6 +229,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     described = cut(map_arrow(classes, describe, "vec_id long, times long, raw binary, dim int, prefix binary, pivots array<int>"), "vector-index")
     lists = described.select("vec_id", "times", "raw", "dim", "prefix", F.explode("pivots").alias("pivot"))
     sizes = described.select("dim", F.explode("pivots").alias("pivot")).groupBy("dim", "pivot").agg(F.count("*").alias("size")).where("size > 1")
+    # as many rows as pivots; known before the join, so that vectors are not shuffled for it
+    sizes = bounded(cut(sizes, "vector-list-sizes"))
     posted = lists.join(sizes, ["dim", "pivot"]).withColumn("list", F.xxhash64("dim", "pivot"))
     spread = paired_blocks(posted, "list", "size", "vec_id", BLOCK).drop("list", "size")
 
