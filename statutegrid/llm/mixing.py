@@ -2,8 +2,9 @@
 
 Each row gets a hash-random key. Keys are uniform, so ranges of equal width are balanced ranges of each
 source's order: a source of n rows has ceil(n / rows_per_range) of them. Sizes are summed by range before
-anything moves, prefix sums run over groups of ranges, the ranges of a group and the rows of a range, and every source is cut
-at its exact budget: whole epochs first, then the rows below the rest, the row on the cut in part.
+anything moves, prefix sums run over groups of ranges and the ranges of a group, and the rows of the one range in which a source's budget ends tell the
+row on its cut. Every source is cut at its exact budget: whole epochs first, then the rows below the rest, the row on the cut in part. The cuts, a row
+a source, are broadcast, so documents stay where they lie.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def mix(
         F.struct(*[column(c) for c in kept]).alias("row"), source.alias("source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"),
         key.alias("id"), random_key(key, seed).alias("key"),
     )
-    narrow = cut(drawn.select("source", "size", "key"), "mix-sizes")
+    narrow = cut(drawn.select("source", "size", "id", "key"), "mix-sizes")
     sizes = narrow.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_total"), F.count("*").alias("_rows"))
     budget = F.round("_target").cast("long")
     plan = targets(sizes, weights, max_epochs).select(
@@ -89,21 +90,38 @@ def mix(
         found = rows.join(plan, rows["source"].eqNullSafe(plan["of"]))
         return found.withColumn("range", F.shiftright(F.col("key") * F.col("ranges"), 31))
 
-    # prefix sums in three steps, so that no task goes through all ranges of a large source: groups of ranges, ranges, rows
+    # prefix sums in three steps, so that no task goes through all ranges of a large source: groups of ranges, ranges, rows of one range
     by_range = ranged(narrow).groupBy("source", "range").agg(F.sum("size").alias("sum"))
     by_range = cut(by_range.withColumn("group", F.floor(F.col("range") / RANGES_PER_GROUP)), "mix-ranges")
     below = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c, *keys: F.coalesce(F.sum(c).over(below(*keys)), F.lit(0))
     groups = by_range.groupBy("source", "group").agg(F.sum("sum").alias("sum"))
     groups = groups.select(F.col("source").alias("gs"), F.col("group").alias("gg"), before("sum", "source", "group").alias("lower"))
-    bases = by_range.select("source", "group", "range", before("sum", "source", "group", "range").alias("base"))
+    bases = by_range.select("source", "group", "range", "sum", before("sum", "source", "group", "range").alias("base"))
     bases = bases.join(groups, bases["source"].eqNullSafe(groups["gs"]) & (bases["group"] == groups["gg"])).select(
-        F.col("source").alias("bs"), F.col("range").alias("br"), (F.col("base") + F.col("lower")).alias("base")
+        F.col("source").alias("bs"), F.col("range").alias("br"), (F.col("base") + F.col("lower")).alias("base"), "sum"
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged(drawn).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(bases, rows["source"].eqNullSafe(bases["bs"]) & (rows["range"] == bases["br"]))
-    part = F.least(F.greatest(F.col("rest") - F.col("base") - F.col("inside"), F.lit(0)), F.col("size"))
+    ends = lambda lower, held: (F.col(lower) <= F.col("rest")) & (F.col("rest") < F.col(lower) + held)
+    last = bases.join(plan.select("of", "rest"), bases["bs"].eqNullSafe(plan["of"])).where(ends("base", F.col("sum"))).select("bs", "br", "base")
+    last = bounded(cut(last, "mix-last"))
+    inside = ranged(narrow).join(last, F.col("source").eqNullSafe(F.col("bs")) & (F.col("range") == F.col("br")))
+    # rows of equal key, id and size are one place in the order
+    places = inside.groupBy("source", "key", "id", "size").agg(F.count("*").alias("ties"), F.min("base").alias("base"), F.min("rest").alias("rest"))
+    held = places["size"] * places["ties"]
+    upto = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("lower", F.col("base") + F.coalesce(F.sum(held).over(upto), F.lit(0))).where(ends("lower", held))
+    place = F.struct("key", "id", "size")
+    places = places.select(F.col("source").alias("ps"), place.alias("edge"), "ties", (F.col("rest") - F.col("lower")).alias("left"))
+    cuts = cut(plan.join(places, plan["of"].eqNullSafe(places["ps"]), "left").select("of", "total", "goal", "epochs", "edge", "ties", "left"), "mix-cuts")
+    rows = drawn.join(bounded(cuts), drawn["source"].eqNullSafe(cuts["of"]))
+    if cuts.where("ties > 1").isEmpty():
+        rows = rows.withColumn("nth", F.lit(0))
+    else:
+        tied = F.coalesce((place == F.col("edge")) & (F.col("ties") > 1), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("of").orderBy("key")) - 1
+        rows = rows.where(~tied).withColumn("nth", F.lit(0)).unionByName(rows.where(tied).withColumn("nth", nth))
+    on_edge = F.least(F.greatest(F.col("left") - F.col("nth") * F.col("size"), F.lit(0)), F.col("size"))
+    part = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), on_edge).otherwise(0)
     return rows.select(
         *[F.col("row").getField(c).alias(c) for c in kept], F.col("total").alias("source_size"), F.col("goal").alias("target"),
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),

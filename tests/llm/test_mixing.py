@@ -64,3 +64,33 @@ def test_first_words(spark):
     df = spark.createDataFrame([("  a b\n\nc  d ", n) for n in range(6)], "text string, n int")
     got = [r[0] for r in df.orderBy("n").select(mixing.first_words(F.col("text"), F.col("n"))).collect()]
     assert got == ["", "  a", "  a b", "  a b\n\nc", "  a b\n\nc  d", "  a b\n\nc  d "]
+
+
+def plain_taken(rows, sources):
+    """What each row (id, source, size) takes, by one loop over a source's rows in their order; sorted."""
+    import hashlib
+
+    key = lambda i: int(hashlib.md5(":".join([str(mixing.SEED), *([] if i is None else [str(i)])]).encode()).hexdigest()[:8], 16) >> 1
+    out = []
+    for s, target in reshared({s: sum(r[2] for r in rows if r[1] == s) for s in sources}).items():
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (key(r[0]), r[0] is not None, r[0] or 0, r[2]))
+        total = sum(r[2] for r in own)
+        epochs, rest = divmod(round(target), total) if total else (0, 0)
+        for r in own:
+            out.append((str(r), epochs * r[2] + (part := min(rest, r[2]))))
+            rest -= part
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ids, rows_per_range", [(4000, 40), (4000, 10**6), (3, 40), (1, 40)])
+def test_documents_stay_where_they_lie_and_rows_take_what_a_loop_gives(spark, ids, rows_per_range):
+    """Ids that name rows, and so few ids that many rows share the place on the cut; null ids, sources without words."""
+    rows = [(None if ids < 4000 and i % 7 == 0 else i % ids, ["hot", "b", None, "none"][0 if i % 3 else i % 4], 0 if i % 12 == 3 else 5 + (i % 2 if ids > 1 else 0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size int").repartition(3)
+    got = mixing.mix(df, F.col("source"), F.col("size"), F.col("doc_id"), rows_per_range=rows_per_range)
+    found = sorted((str((r["doc_id"], r["source"], r["size"])), r["taken"]) for r in got.collect())
+    assert found == plain_taken(rows, {r[1] for r in rows})
+    if ids == 4000:
+        df.write.mode("overwrite").parquet(path := mixing.cut(df, "mix-test").inputFiles()[0].rsplit("/", 1)[0] + "-in")
+        plan = mixing.mix(spark.read.parquet(path), F.col("source"), F.col("size"), F.col("doc_id"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
