@@ -5,7 +5,8 @@ class. Band buckets of the same members are one bucket. Inside a bucket, block b
 batches of 32; a pair goes as soon as the posterior probability that its similarity reaches the threshold falls below MISS.
 Survivors are verified on full sets. First each block names a spanning forest of its likeliest pairs, among its own rows and with the
 block that represents the bucket; the links among them join most of a group, with two copies of a row whatever the bucket's size.
-The second round goes through every surviving pair between different components, the likeliest first, where the blocks' full sets lie, and
+The second round first tells by signatures alone which rows have a surviving pair with another component, and in which bucket: of those that both rows are in, the
+first in one order of all buckets. Only these rows' full sets move, and only there. It then goes through every such pair, the likeliest first, where the blocks' full sets lie, and
 passes over pairs that links found there have joined; only links leave a block, never pairs. Rows of a bucket's largest component meet only the
 other components' rows, so a large group of copies costs a copy of a row a block of outsiders. Buckets of many rows are salted where they are joined.
 """
@@ -18,12 +19,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutegrid.functions.ship import map_arrow
-from statutegrid.llm.blocks import grouped, matrix, minor_blocks, represented_blocks
+from statutegrid.llm.blocks import BLOCK, grouped, matrix, minor_blocks, represented_blocks
 from statutegrid.llm.common import bounded, components, cut, hot_limit, table
 
 SHINGLE = 5
@@ -181,6 +183,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sharing(lists: pa.ChunkedArray) -> np.ndarray:
+    """Which rows have a value in common, as a matrix."""
+    n = len(lists)
+    row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+    _, value, count = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True, return_counts=True)
+    several = count[value] > 1
+    row, (_, value) = row[several], np.unique(value[several], return_inverse=True)
+    out = np.zeros((n, n), bool)
+    for s in range(0, value.max(initial=-1) + 1, 1024):
+        here = (value >= s) & (value < s + 1024)
+        held = np.zeros((n, 1024), np.float32)
+        held[row[here], value[here] - s] = 1
+        out |= held @ held.T > 0
+    return out
+
+
+def _candidates(t: pa.Table, limits: tuple[int, ...], within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Surviving pairs of a pair of blocks, between different parts; within: pairs inside the second block count too.
+
+    With the buckets before this one that each row is in (earlier), pairs that meet in one of them are left to it.
+    """
+    part, at = (t.column(c).to_numpy() for c in ("part", "_at"))
+    sigs = matrix(t.column("sig"), np.uint16)
+    allowed = np.triu(part[:, None] != part[None, :], 1)
+    if t.column("_i")[0].as_py() != (second := t.column("_j")[0].as_py()):
+        apart = at[:, None] != at[None, :]
+        allowed &= apart | (at == second)[:, None] if within else apart
+    if "earlier" in t.column_names and allowed.any():
+        allowed &= ~_sharing(t.column("earlier"))
+    return surviving(sigs, sigs, allowed, limits)
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each pair of blocks that have a surviving pair in it, by bucket."""
+    for t in grouped(batches, ["bucket", "_i", "_j"]):
+        if t.num_rows < 2:
+            continue
+        i, j, _ = _candidates(t, limits, False)
+        if len(i):
+            rows = pa.array(np.union1d(i, j))
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(rows) for c in ("bucket", "doc_id")], ["bucket", "doc_id"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], percent: int, within: bool = False) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks of a bucket: its likeliest pairs (a spanning forest of parts), or with full sets, its links (likewise).
 
@@ -196,13 +241,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], limits: tuple[int, ...], percent:
     for t in grouped(batches, ["bucket", "_i", "_j"]):
         if t.num_rows < 2:
             continue
-        ids, part, at = (t.column(c).to_numpy() for c in ("doc_id", "part", "_at"))
-        sigs = matrix(t.column("sig"), np.uint16)
-        allowed = np.triu(part[:, None] != part[None, :], 1)
-        if t.column("_i")[0].as_py() != (second := t.column("_j")[0].as_py()):
-            apart = at[:, None] != at[None, :]
-            allowed &= apart | (at == second)[:, None] if within else apart
-        i, j, equal = surviving(sigs, sigs, allowed, limits)
+        ids, part = (t.column(c).to_numpy() for c in ("doc_id", "part"))
+        i, j, equal = _candidates(t, limits, within)
         if not len(i):
             continue
         names, place = np.unique(part, return_inverse=True)
@@ -286,9 +326,10 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
         texts = rows.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi")
         return cut(map_arrow(texts, _full_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), f"{label}-texts")
 
+    needed = lambda spread: spread.select("bucket", "_i", "_j", "_at", "doc_id", "part", "sig", *[c for c in spread.columns if c in ("earlier", "set")])
+
     def judged(spread: DataFrame, within: bool) -> DataFrame:
-        spread = spread.select("bucket", "_i", "_j", "_at", "doc_id", "part", "sig", *[c for c in spread.columns if c == "set"])
-        return map_arrow(spread, lambda it: _pairs(it, limits, percent, within), "a long, b long").distinct()
+        return map_arrow(needed(spread), lambda it: _pairs(it, limits, percent, within), "a long, b long").distinct()
 
     first_round = members.join(signatures, "doc_id").withColumn("part", F.col("doc_id"))
     likely = cut(judged(represented_blocks(first_round, "bucket", "size", "doc_id"), True), "minhash-likely")
@@ -304,9 +345,20 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     largest = by_part.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.max("size").alias("size")).where("top.n < size")
     mixed = cut(largest.select("bucket", F.col("top.part").alias("main_part"), F.col("top.n").alias("n_main"), (F.col("size") - F.col("top.n")).alias("n_minor")), "minhash-mixed")
     rest = labelled.drop("size").join(every(mixed), ["bucket", "salt"]).withColumn("main", F.col("part") == F.col("main_part"))
-    rest = cut(rest.drop("salt", "main_part"), "minhash-rest")
-    held = rest.join(signatures, "doc_id").join(full_sets(rest.select(F.col("doc_id").alias("_id")), "minhash-rest"), "doc_id")
-    more = cut(judged(minor_blocks(held, "bucket", "main", "n_minor", "n_main", "doc_id"), False), "minhash-more")
+    # each row's buckets in one order, largest first (those of several blocks last), and with each of them the ones before it
+    n = F.col("n_minor") + F.col("n_main")
+    rank = F.when(n <= BLOCK, BLOCK - n).otherwise(n).alias("rank")
+    own = rest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(rank, "bucket", "salt", "part", "main", "n_minor", "n_main"))).alias("own"))
+    rest = own.select("doc_id", F.posexplode("own").alias("n", "at"), F.col("own.bucket").alias("order"))
+    rest = cut(rest.select("doc_id", "at.*", F.slice("order", F.lit(1), F.col("n")).alias("earlier")).drop("rank"), "minhash-rest")
+    across = lambda rows: minor_blocks(rows, "bucket", "main", "n_minor", "n_main", "doc_id")
+    signed = rest.drop("salt").join(signatures, "doc_id")
+    suspects = cut(map_arrow(needed(across(signed)), lambda it: _suspects(it, limits), "bucket long, doc_id long").distinct(), "minhash-suspects")
+    few = cut(rest.drop("n_minor", "n_main").join(suspects, ["bucket", "doc_id"], "left_semi"), "minhash-few")
+    sizes = cut(few.groupBy("bucket").agg(F.count_if(~F.col("main")).alias("n_minor"), F.count_if("main").alias("n_main")), "minhash-sizes")
+    held = few.join(every(sizes), ["bucket", "salt"]).drop("salt").join(signatures, "doc_id")
+    held = held.join(full_sets(few.select(F.col("doc_id").alias("_id")), "minhash-rest"), "doc_id")
+    more = cut(judged(across(held), False), "minhash-more")
     joined = components(links.unionByName(more), "minhash-components")
     by_class = classes.join(joined, F.col("first") == F.col("id"), "left").select(
         F.col("set1").alias("_s1"), F.col("set2").alias("_s2"), F.coalesce("component", "first").alias("_component")

@@ -159,3 +159,35 @@ def test_represented_blocks_are_small_and_cost_two_copies(spark):
     first = {i for i, at in tasks[0] if at == 0}
     assert all({i for i, at in t if at == 0} == first for t in tasks.values())
     assert sorted(i for j, t in tasks.items() for i, at in t if at == j) == list(range(n))
+
+
+def test_rows_that_share_a_value():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for most in (1, 40, 5000):
+        lists = [rng.sample(range(most), min(most, rng.choice([0, 1, 30]))) for _ in range(150)]
+        got_ = minhash._sharing(pa.chunked_array([pa.array(lists[:60], pa.list_(pa.int64())), pa.array(lists[60:], pa.list_(pa.int64()))]))
+        want = np.array([[bool(set(x) & set(y)) for y in lists] for x in lists])
+        assert (got_ == want)[~np.eye(150, dtype=bool)].all()
+
+
+@pytest.mark.parametrize("changed, most", [(14, 0.6), (35, 0.3)])
+def test_full_sets_move_once_for_a_pair_and_not_for_pruned_ones(spark, monkeypatch, changed, most):
+    """Copies just below the threshold share many buckets, and their sets go to few of them; rows far below share some, and their signatures tell."""
+    moved = {}
+
+    def spy(rows, *a, **k):
+        moved["set" in rows.columns] = rows.count()
+        return from_blocks(rows, *a, **k)
+
+    from_blocks = minhash.minor_blocks
+    monkeypatch.setattr(minhash, "minor_blocks", spy)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for n in range(80):
+        at = rng.randrange(160 - changed)
+        rows.append((n, " ".join(base[:at] + [f"x{n}-{i}" for i in range(changed)] + base[at + changed :])))
+    assert got(spark, rows) == expected(rows)
+    assert 0 < moved[False] and moved[True] <= most * moved[False], moved
