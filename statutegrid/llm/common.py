@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statutegrid.functions.spread import balanced
@@ -113,6 +113,38 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def places(rows: DataFrame, within: list[str], order: list[Column], label: str) -> DataFrame:
+    """rows with _place (long, from 0), how many rows of the same `within` columns come before a row in the order, and _of, how many there are; for tables that `cut` wrote.
+
+    The order must begin with `within`, so that rows of one group lie in neighbouring ranges of it; no task holds a group. Rows are numbered inside their range, and what a range adds
+    is a sum over the ranges before it: one row a range and group. Rows alike in the whole order may change places.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), f"{label}-ranges")
+    range_ = F.shiftright("_at", 33)
+    runs = numbered.groupBy(*within, range_.alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    group = Window.partitionBy(*within)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_less", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn("_of", F.sum("_rows").over(group))
+    names = [F.col(c).alias(f"_in{n}") for n, c in enumerate(within)]
+    runs = bounded(cut(runs.select(*names, "_range", "_first", "_less", "_of"), f"{label}-runs"))
+    on = range_ == F.col("_range")
+    for n, c in enumerate(within):
+        on = on & F.col(c).eqNullSafe(F.col(f"_in{n}"))
+    found = numbered.join(runs, on)
+    return found.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_less")).alias("_place"), "_of")
+
+
+def crc_table() -> list[int]:
+    """CRC-32's table for bytes, from its polynomial, for SQL that has no such function."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
 def hot_limit(sizes: DataFrame, size: str, least: int, most: int) -> int:
     """The smallest of least, 4 least, 16 least and so on that no more than `most` rows exceed; for tables that `cut` wrote."""
     while sizes.where(F.col(size) > least).count() > most:

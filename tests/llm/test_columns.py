@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from statutegrid.llm import line_crf, minhash, mixing, pieces, sharding, surrogates
+from statutegrid.llm import importance, line_crf, merkle, minhash, mixing, pieces, secret_scan, sharding, surrogates
 
 GIVEN = ("doc_id", "text", "lang", "source", "n_chars")
 TINY = pieces.Pieces(["<unk>", "a", "b"] + [f"<0x{b:02X}>" for b in range(256)], [0.0, -1.0, -2.0] + [0.0] * 256, ["unknown", "normal", "normal"] + ["byte"] * 256)
@@ -24,6 +24,10 @@ OPERATORS = {
     "private_documents": (surrogates, lambda d: surrogates.private_documents(d, "k"), ()),
     "pseudonymised": (surrogates, lambda d: surrogates.pseudonymised(d, "k"), ("n_entities",)),
     "accepted": (line_crf, quality, ()),
+    "drawn": (importance, lambda d: importance.drawn(d, d.select("text"), percent=100, min_words=1), ()),
+    "manifest": (merkle, lambda d: merkle.manifest(d, F.col("doc_id"), F.col("source"), merkle.leaf(F.col("doc_id"), F.col("text"))), ("leaf", "subroot", "root", "path")),
+    "scan": (secret_scan, secret_scan.scan, ("secrets",)),
+    "without_secrets": (secret_scan, secret_scan.without_secrets, ()),
     "encode": (pieces, lambda d: pieces.encode(d, TINY), ("pieces", "n_pieces", "n_byte_pieces", "round_trip")),
 }
 
