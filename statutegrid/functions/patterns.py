@@ -114,31 +114,84 @@ DEONTIC_RE_ES = (
     r"\b(?:deben?|deberan?|podran?|pueden?|tendran?\s+que|habran?\s+de|corresponde(?:ra)?|quedan?\s+(?:obligado|prohibido|facultado))\b"
 )
 DEONTIC_RE_EN = r"\b(?:shall|must|should|may|will|can|have\s+to|required\s+to|obligated\s+to)\b"
-#: Words that say nothing about what a modal verb governs: adverbs and clitics, besides words in -ly and -mente.
-BETWEEN = {
-    "es": "nunca jamás siempre también tampoco sólo solo además se me te nos le les lo los la las".split(),
-    "en": "also always never ever only then further hereby thereafter thereby forthwith".split(),
-}
+#: Signs that words get for the claims of modal verbs, one sign a word; other signs come from the shapes below and from the lexicon.
+SIGNS = {
+    "en": {
+        "m": "must shall should may will can",
+        "n": "not also always never ever only then further hereby thereafter thereby forthwith so otherwise nevertheless again instead still already well",
+        "a": "a an the its their his her our my your",
+        "d": "this that these those any every no such another own same one two three four five six seven eight nine ten",
+        "q": "each all both",
+        "o": "of",
+        "p": "at in on by for with from upon within without under after before during until till through per into onto over between among against about since above below beyond towards via concerning regarding",
+        "t": "to",
+        "u": "if when where unless while whether whenever wherever",
+        "c": "and or but nor",
+        "b": "be been being",
+        "h": "have has had",
+        "s": "it he she they we you who whom whose which what than because although though as them him us there here is are was were do does did yes if",
+    },
+    "es": {
+        "m": "debe deben deberá deberán puede pueden podrá podrán",
+        "t": "tendrá tendrán",
+        "g": "habrá habrán",
+        "o": "corresponde corresponden corresponderá",
+        "n": "no nunca jamás siempre también tampoco sólo solo además se me te nos le les lo así ya aún todavía",
+        "k": "la los las",
+        "d": "el un una unos unas su sus este esta estos estas cada dicho dicha dichos dichas",
+        "Q": "que",
+        "Z": "de",
+        "p": "a al ante bajo con contra del desde durante en entre hacia hasta mediante para por según sin sobre tras",
+        "c": "y e o u ni pero",
+        "b": "ser estar",
+        "s": "haber lugar lugares hogar mujer taller alquiler titular particular auxiliar similar familiar regular popular ejemplar ayer cualquier tercer primer mar par azar lunar solar escolar militar",
+    },
+}
+#: What stands between words: an end, a comma or bracket, a number.
+GAPS = ((r"[.;:!?\n]", "."), (r"[,()\[\]–—]", ","), (r"[0-9]", "x"))
 MANNER = {"es": r"^\p{L}{2,}mente$", "en": r"^\p{L}{2,}ly$"}
 NO_MANNER = {"es": [""], "en": "apply supply reply rely comply multiply imply ally rally family assembly".split()}
-#: Words that no verb form can follow as a verb: determiners, and in English of.
-DETERMINERS = {
-    "es": "el la los las un una unos unas su sus este esta estos estas cada dicho dicha dichos dichas".split(),
-    "en": "the a an this that these those any each every no its their his her our of such".split(),
-}
-#: May behind one of these is the month.
-BEFORE_MONTH = "of in by until till before after from since during on and to".split()
-#: What may follow a modal verb without being its verb.
-NO_VERB = {
-    "es": "ser estar haber".split(),
-    "en": "not have been the any all each every for and but nor its their his her this that such with from upon within without under after before where when unless until per".split(),
-}
-INFINITIVE = {"es": r"^\p{L}+(?:ar|er|ir|arse|erse|irse|arlo|arla|arlos|arlas|erlo|erla|erlos|erlas)$", "en": r"^\p{L}{3,}$"}
+INFINITIVE_ES = r"^\p{L}+(?:ar|er|ir|arse|erse|irse|arlo|arla|arlos|arlas|erlo|erla|erlos|erlas)$"
 CLITIC_END = r"(?:se|los|las|lo|la)$"
-PARTICIPLE = {"es": r"^\p{L}+[ai]d[oa]s?$", "en": r"^\p{L}+(?:ed|en)$"}
-PASSIVE = {"es": "ser estar".split(), "en": "be been".split()}
-#: Particles between some Spanish modal verbs and their verbs, by the modal's lemma.
-PARTICLES = {"que": "tener", "de": "haber"}
+PARTICIPLE = {"es": r"^\p{L}+[aií]d[oa]s?$|^(?:hech|escrit|puest|vist|rot|abiert|cubiert|vuelt|resuelt|impres|elect)[oa]s?$", "en": r"^\p{L}+(?:ed|en)$"}
+#: English participles of other shapes.
+PARTICIPLES_EN = (
+    "sold held made built lost sent spent found left put set cut let read told bought brought caught taught sought thought led fed bred dug laid met shown drawn grown known thrown worn sworn torn born borne done gone "
+    "begun sunk struck stuck won understood withheld withdrawn heard shut spread leased"
+).split()
+NO_PARTICIPLE_EN = "proceed need exceed succeed feed heed seed weed open listen happen threaten strengthen widen deepen lengthen shorten".split()
+#: English words that no modal verb can govern: too short, nouns and adjectives by their endings, what ends in a single s.
+NO_BASE_EN = r"^.{1,2}$|(?:[^su]s|[^b]us)$|(?:tion|sion|ment|ness|ity|ance|ence|ship|ism|ing|ive|ous|able|ible|ary|ful|less|al)$"
+BASE_EN = (
+    "go mention question petition position condition commission provision supervision implement document supplement comment augment experiment advance finance influence reference experience balance enhance dance "
+    "sentence commence bring sing ring swing sling fling cling sting spring string wing give live receive arrive drive strive survive forgive deprive revive enable disable vary appeal reveal deal heal steal seal signal conceal repeal total equal withdrawal focus discus gas bias"
+).split()
+#: Passes over a sentence's signs, in order; each keeps the number of signs. V: a word that a modal verb governs. N: a form of the lexicon that a determiner or preposition makes a noun.
+_ASIDE = ",[^.,m]*(?:,[cpu][^.,m]*){0,8},n*"
+CLAIMS = {
+    "en": (
+        ("([ptocx])M", "{1}s"), ("M(x)", "s{1}"), ("M", "m"),  # the month of May
+        ("am", "as"),  # the will, a can
+        ("(tn*)[vew]", "{1}s"),  # an infinitive is no modal verb's
+        ("(mn*q)v", "{1}V"), ("(mn*q)[ew]([adputx.,]|$)", "{1}V{2}"),  # shall each pay
+        ("([adqop]n*)v", "{1}N"),
+        (f"(mn*(?:{_ASIDE})?)[vew]", "{1}V"),  # may not fish; may, at its own cost, inspect
+        ("(mn*,n*)[vew]([adpx]|$)", "{1}V{2}"),  # may not, and an agent shall not, dig a well
+        (f"(mn*(?:{_ASIDE})?(?:hn*)?bn*)[ve]", "{1}V"),  # shall have been paid
+        (f"(mn*(?:{_ASIDE})?hn*)[ve]", "{1}V"),  # shall have paid
+        (f"(mn*(?:{_ASIDE})?)h(n*(?:[^vebnV]|$))", "{1}V{2}"),  # shall have one vote
+        ("(mn*[adpuqx][^.,mV]*?[vewsxN])[vw]([acdputx.,]|$)", "{1}V{2}"),  # may at its own cost inspect it
+    ),
+    "es": (
+        ("([dkpZ]n*)v", "{1}N"),
+        ("(t[^.imtgobV]*Q[nk]*)i", "{1}V"), ("(g[^.imtgobVZ]*Z[nk]*)i", "{1}V"),  # tendrá, en todo caso, que pagar; habrá de pagar
+        ("([mtgo][nk]*)i", "{1}V"),  # no deberá nunca pescar
+        ("([mtgo][nk]*(?:,[^.,m]*,[nk]*)?b[nk]*)[rv]", "{1}V"),  # deberá ser aprobada
+        ("([pZ])i", "{1}j"),  # para pagar
+        ("(m[^.imtgoQbV]*b[nk]*)[rv]", "{1}V"), ("(m[^.imtgoQbV]*)i", "{1}V"),  # podrá, previa solicitud, inspeccionar
+    ),
+}
+MODAL_SIGNS = {"en": "m", "es": "mtgo"}
 #: Verbs that are no modals and in no lexicon, which open the last search for a verb.
 AUXILIARIES = {
     "es": "es son era eran fue fueron será serán sea sean está están estará estarán ha han hay había habían tiene tienen hace hacen".split(),
@@ -161,6 +214,14 @@ def re2(pattern: str, case: bool = False) -> str:
     return pattern if case else "(?i)" + pattern
 
 
+def java_replacement(text: str) -> str:
+    return text.replace("{", "$").replace("}", "")
+
+
+def re2_replacement(text: str) -> str:
+    return text.replace("{", "\\").replace("}", "")
+
+
 def start(alternatives: tuple[str, ...]) -> str:
     """Any of the alternatives at the start."""
     return "^(?:" + "|".join(alternatives) + ")"

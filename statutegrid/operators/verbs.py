@@ -13,61 +13,85 @@ HIT = "array<struct<verb:string,lemma:string,position:int,suggested_type:string>
 _TYPES = {lang: {lemma: c for c, lemmas in by.items() for lemma in lemmas} for lang, by in L.LEXICON.items()}
 
 
+#: Parts of a text whose lengths are added up together: a part's place is that of its chunk and what comes before it there.
+CHUNK = 256
+
+
+def _sign(word: Column, lower: Column, known: Column, language: str) -> Column:
+    """A word's sign: its own, or what its shape and the lexicon say."""
+    table = {w: sign for sign, listed in P.SIGNS[language].items() for w in listed.split()}
+    manner = lower.rlike(P.MANNER[language]) & ~lower.isin(*P.NO_MANNER[language])
+    if language == "es":
+        infinitive = lower.rlike(P.INFINITIVE_ES)
+        shape = F.when(infinitive, "i").when(known.isNotNull(), "v").when(lower.rlike(P.PARTICIPLE["es"]), "r").otherwise("w")
+        return F.coalesce(L.mapped(lower, table), F.when(manner, "n").otherwise(shape))
+    base = lower.isin(*P.BASE_EN) | ~lower.rlike(P.NO_BASE_EN)
+    shape = F.when(known.isNotNull(), "v").when(lower.isin(*P.PARTICIPLES_EN) | (lower.rlike(P.PARTICIPLE["en"]) & ~lower.isin(*P.NO_PARTICIPLE_EN)), "e").when(base, "w").otherwise("s")
+    return F.when(word == "May", "M").otherwise(F.coalesce(L.mapped(lower, table), F.when(manner, "n").otherwise(shape)))
+
+
+def _gap(part: Column) -> Column:
+    """The sign of what stands between two words; none of blanks and hyphens."""
+    sign = F.lit("")
+    for pattern, name in reversed(P.GAPS):
+        sign = F.when(part.rlike(pattern), name).otherwise(sign)
+    return sign
+
+
+def claims(signs: Column, language: str) -> Column:
+    """A text's signs, one a word, with V where a modal verb governs a word and N where a determiner makes one a noun.
+
+    A cascade of finite-state passes: each is one regular expression over signs, so it runs through the text once, and a modal verb keeps its claim
+    over negation, adverbs, phrases between commas and phrases that only the next determiner, preposition or end tells from the verb.
+    """
+    for pattern, into in P.CLAIMS[language]:
+        signs = F.regexp_replace(signs, pattern, P.java_replacement(into))
+    return signs
+
+
 def _hits(text: Column, language: str, auxiliaries: bool = False) -> Column:
     """Candidates in order: (verb, lemma, position, suggested_type), a lemma as often as it occurs. auxiliaries: they count too.
 
-    Words between a modal verb and its verb that say nothing about either are left out first; then a form of the lexicon counts unless a
-    determiner makes it a noun (a Spanish infinitive counts even so), and any word counts that stands where a modal verb's verb does.
+    A form of the lexicon counts unless a determiner makes it a noun (a Spanish infinitive counts even so), a modal verb unless it is a noun or a month, and any word
+    that a modal verb governs.
     """
     deontic, forms = L.deontic_forms(language), L.verb_forms(language)
     more = P.AUXILIARIES[language] if auxiliaries else []
 
-    def words_of(parts: Column) -> Column:
-        words = F.filter(F.transform(parts, lambda t, i: F.struct(t.alias("t"), F.lower(t).alias("w"), i.alias("i"))), lambda x: x["t"].rlike(r"^\p{L}"))
-        return F.filter(words, lambda x: ~(x["w"].isin(*P.BETWEEN[language]) & ~x["w"].isin(*P.DETERMINERS[language])) & ~(x["w"].rlike(P.MANNER[language]) & ~x["w"].isin(*P.NO_MANNER[language])))
-
-    def indexed(words: Column) -> Column:
-        back = lambda n, k: F.when(n >= k, F.get(words, n - k)["w"]).otherwise("")
-        return F.transform(words, lambda x, n: F.struct(
-            x["t"].alias("t"), x["w"].alias("w"), x["i"].alias("i"), back(n, 1).alias("one"), back(n, 2).alias("two"), back(n, 3).alias("three"),
-        ))
-
-    def governed(x: Column) -> Column:
-        """Whether the word stands where the verb of a modal verb does."""
-        modal = lambda w: w.isin(*deontic)
-        infinitive = x["w"].rlike(P.INFINITIVE[language]) & ~x["w"].isin(*P.NO_VERB[language])
-        participle = x["w"].rlike(P.PARTICIPLE[language]) | x["w"].isin(*forms)
-        direct = modal(x["one"]) & infinitive
-        if language == "es":
-            clitic = x["one"].isin("la", "los", "las") & modal(x["two"]) & infinitive
-            particle = F.lit(False)
-            for word, lemma in P.PARTICLES.items():
-                particle = particle | ((x["one"] == word) & x["two"].isin(*[f for f, of in deontic.items() if of == lemma]) & infinitive)
-            return direct | clitic | particle | (x["one"].isin(*P.PASSIVE["es"]) & modal(x["two"]) & participle)
-        passive = x["one"].isin(*P.PASSIVE["en"]) & (modal(x["two"]) | ((x["two"] == "have") & modal(x["three"])))
-        return (direct & ~x["w"].isin(*P.PASSIVE["en"])) | (passive & participle)
-
-    def is_verb(x: Column) -> Column:
-        free = ~x["one"].isin(*P.DETERMINERS[language])
-        if language == "es":
-            free = free | x["w"].rlike(P.INFINITIVE["es"])
-        modal = x["w"].isin(*deontic)
-        if language == "en":
-            modal = modal & ~((x["t"] == "May") & x["one"].isin(*P.BEFORE_MONTH))
-        return modal | x["w"].isin(more) | (x["w"].isin(*forms) & ~x["w"].isin(*deontic) & free) | governed(x)
-
-    def wanted(words: Column) -> Column:
-        return F.filter(indexed(words), is_verb)
-
-    def hit(x: Column, parts: Column) -> Column:
-        modal = x["w"].isin(*deontic)
-        lemma = F.when(modal, L.mapped(x["w"], deontic)).otherwise(F.coalesce(L.mapped(x["w"], forms), F.regexp_replace(x["w"], P.CLITIC_END, "") if language == "es" else x["w"]))
+    def token(part: Column, i: Column) -> Column:
+        def word(low: Column) -> Column:
+            known = F.when(~low.isin(*deontic), L.mapped(low, forms))
+            return let(known, lambda k: F.struct(part.alias("t"), low.alias("w"), i.alias("i"), k.alias("known"), _sign(part, low, k, language).alias("sign")))
+
+        gap = F.struct(part.alias("t"), F.lit("").alias("w"), i.alias("i"), F.lit(None).cast("string").alias("known"), _gap(part).alias("sign"))
+        return F.when(part.rlike(r"^\p{L}"), let(F.lower(part), word)).otherwise(gap)
+
+    def marked(tokens: Column) -> Column:
+        signs = F.split(claims(F.array_join(F.transform(tokens, lambda x: x["sign"]), ""), language), "")
+        put = lambda marks: F.transform(tokens, lambda x, n: F.struct(x["t"], x["w"], x["i"], x["known"], F.get(marks, n).alias("mark")))
+        return F.filter(let(signs, put), lambda x: x["mark"].isin(*P.MODAL_SIGNS[language], "V") | (x["known"].isNotNull() & (x["mark"] != "N")) | x["w"].isin(more))
+
+    def hit(x: Column, parts: Column, places: Column) -> Column:
+        modal = x["mark"].isin(*P.MODAL_SIGNS[language])
+        lemma = F.when(modal, L.mapped(x["w"], deontic)).otherwise(F.coalesce(x["known"], F.regexp_replace(x["w"], P.CLITIC_END, "") if language == "es" else x["w"]))
         kind = F.when(~modal, L.mapped(lemma, _TYPES[language]))
-        at = F.length(F.array_join(F.slice(parts, F.lit(1), x["i"]), ""))
+        chunk = F.floor(x["i"] / CHUNK).cast("int")
+        at = F.get(places, chunk) + F.length(F.array_join(F.slice(parts, chunk * CHUNK + 1, x["i"] - chunk * CHUNK), ""))
         return F.struct(x["t"].alias("verb"), lemma.alias("lemma"), at.cast("int").alias("position"), kind.alias("suggested_type"))
 
+    def found(parts: Column) -> Column:
+        tokens = F.filter(F.transform(parts, token), lambda x: x["sign"] != "")
+        return let(_chunk_places(parts), lambda places: F.transform(let(tokens, marked), lambda x: hit(x, parts, places)))
+
     boundaries = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
-    return let(F.split(text, boundaries), lambda parts: F.transform(let(words_of(parts), wanted), lambda x: hit(x, parts)))
+    return let(F.split(text, boundaries), found)
+
+
+def _chunk_places(parts: Column) -> Column:
+    """Where each chunk of parts begins in the text."""
+    chunks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int"))
+    sizes = F.transform(chunks, lambda c: F.length(F.array_join(F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)), "")))
+    return let(sizes, lambda all_: F.transform(all_, lambda _, n: F.aggregate(F.slice(all_, F.lit(1), n), F.lit(0), lambda a, b: a + b)))
 
 
 def extract_aims(text: Column, language: Column) -> Column:
@@ -76,7 +100,7 @@ def extract_aims(text: Column, language: Column) -> Column:
 
     def once(hits: Column) -> Column:
         lemmas = F.transform(hits, lambda h: h["lemma"])
-        return let(lemmas, lambda all_: F.filter(hits, lambda h, i: F.array_position(all_, h["lemma"]) == i + 1))
+        return let(lemmas, lambda all_: F.transform(F.array_distinct(all_), lambda x: F.get(hits, F.array_position(all_, x).cast("int") - 1)))
 
     return let(F.when(language == "en", _hits(text, "en")).otherwise(_hits(text, "es")), once)
 

@@ -160,38 +160,44 @@ def _either(make) -> str:
     return f"CASE WHEN language = 'en' THEN {make('en')} ELSE {make('es')} END"
 
 
-def _governed(lang: str) -> str:
-    """Whether the word stands where the verb of a modal verb does, from the three words before it."""
-    modal = lambda w: f"{w} IN {words(list(L.deontic_forms(lang)))}"
-    infinitive = f"(regexp_matches(w, {q(P.INFINITIVE[lang])}) AND w NOT IN {words(P.NO_VERB[lang])})"
-    participle = f"(regexp_matches(w, {q(P.PARTICIPLE[lang])}) OR known IS NOT NULL)"
-    direct = f"{modal('one')} AND {infinitive}"
-    if lang == "en":
-        passive = f"one IN {words(P.PASSIVE['en'])} AND ({modal('two')} OR (two = 'have' AND {modal('three')})) AND {participle}"
-        return f"(({direct} AND w NOT IN {words(P.PASSIVE['en'])}) OR ({passive}))"
-    of = lambda lemma: words([f for f, m_ in L.deontic_forms("es").items() if m_ == lemma])
-    particles = " OR ".join(f"(one = '{word}' AND two IN {of(lemma)})" for word, lemma in P.PARTICLES.items())
-    return f"(({direct}) OR (one IN ('la', 'los', 'las') AND {modal('two')} AND {infinitive}) OR (({particles}) AND {infinitive}) OR (one IN {words(P.PASSIVE['es'])} AND {modal('two')} AND {participle}))"
+def _sign(lang: str) -> str:
+    """A word's sign, from its own, its shape and the lexicon."""
+    own = " ".join(f"WHEN w IN {words(listed.split())} THEN '{sign}'" for sign, listed in P.SIGNS[lang].items())
+    shape = lambda p: f"regexp_matches(w, {q(p)})"
+    manner = f"WHEN {shape(P.MANNER[lang])} AND w NOT IN {words(P.NO_MANNER[lang])} THEN 'n'"
+    if lang == "es":
+        return f"CASE {own} {manner} WHEN {shape(P.INFINITIVE_ES)} THEN 'i' WHEN known IS NOT NULL THEN 'v' WHEN {shape(P.PARTICIPLE['es'])} THEN 'r' ELSE 'w' END"
+    return f"""CASE WHEN t = 'May' THEN 'M' {own} {manner} WHEN known IS NOT NULL THEN 'v' WHEN w IN {words(P.PARTICIPLES_EN)} OR ({shape(P.PARTICIPLE['en'])} AND w NOT IN {words(P.NO_PARTICIPLE_EN)}) THEN 'e'
+    WHEN w IN {words(P.BASE_EN)} OR NOT {shape(P.NO_BASE_EN)} THEN 'w' ELSE 's' END"""
+
+
+def _claims(lang: str) -> str:
+    signs = "signs"
+    for pattern, into in P.CLAIMS[lang]:
+        signs = f"regexp_replace({signs}, {q(pattern)}, {q(P.re2_replacement(into))}, 'g')"
+    return signs
 
 
 def aims(source: str, key: str) -> str:
     """CTEs up to aims (key, verb, lemma, position, suggested_type) of source (key, text, language)."""
-    keys = ", ".join(key.split())
-    silent = lambda lang: f"((w IN {words(P.BETWEEN[lang])} AND w NOT IN {words(P.DETERMINERS[lang])}) OR (regexp_matches(w, {q(P.MANNER[lang])}) AND w NOT IN {words(P.NO_MANNER[lang])}))"
-    free = lambda lang: f"(one NOT IN {words(P.DETERMINERS[lang])}" + (f" OR regexp_matches(w, {q(P.INFINITIVE['es'])}))" if lang == "es" else ")")
-    back = ", ".join(f"coalesce(lag(w, {n}) OVER (PARTITION BY {keys} ORDER BY n), '') AS {name}" for n, name in enumerate(("one", "two", "three"), 1))
+    keys, same = ", ".join(key.split()), " AND ".join(f"x.{k} = y.{k}" for k in key.split())
+    gap = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN '{sign}'" for p, sign in P.GAPS) + " ELSE '' END"
+    modal = _either(lambda lang: f"mark IN {words(list(P.MODAL_SIGNS[lang]))}")
     return f"""
 forms(language, form, lemma, category, modal) AS (VALUES {lexicon_values()}),
 tok0 AS (SELECT {keys}, language, string_split(regexp_replace(text, '(\\p{{L}}+)', {CUT} || '\\1' || {CUT}, 'g'), {CUT}) AS parts FROM {source}),
 tok1 AS (SELECT {keys}, language, n, parts[n] AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM tok0)),
-tok2 AS (SELECT *, lower(t) AS w, coalesce(sum(length(t)) OVER (PARTITION BY {keys} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM tok1),
-tok3 AS (SELECT *, {back} FROM tok2 WHERE regexp_matches(t, '^\\p{{L}}') AND NOT {_either(silent)}),
-tok4 AS (SELECT x.*, f.lemma AS known, f.category, coalesce(f.modal, false) AS modal FROM tok3 x LEFT JOIN forms f ON f.language = x.language AND f.form = x.w),
-tok5 AS (SELECT *, coalesce(known, CASE WHEN language = 'es' THEN regexp_replace(w, {q(P.CLITIC_END)}, '') ELSE w END) AS lemma FROM tok4
-  WHERE (modal AND NOT (language = 'en' AND t = 'May' AND one IN {words(P.BEFORE_MONTH)})) OR (known IS NOT NULL AND NOT modal AND {_either(free)}) OR {_either(_governed)}),
-tok6 AS (SELECT x.*, lex.category AS kind, row_number() OVER (PARTITION BY {', '.join('x.' + k for k in key.split())}, x.lemma ORDER BY n) AS turn FROM tok5 x
+tok2 AS (SELECT *, lower(t) AS w, regexp_matches(t, '^\\p{{L}}') AS word, coalesce(sum(length(t)) OVER (PARTITION BY {keys} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM tok1),
+tok3 AS (SELECT x.*, CASE WHEN NOT f.modal THEN f.lemma END AS known, f.lemma AS any_lemma FROM tok2 x LEFT JOIN forms f ON f.language = x.language AND f.form = x.w AND x.word),
+tok4 AS (SELECT * FROM (SELECT *, CASE WHEN word THEN {_either(_sign)} ELSE {gap} END AS sign FROM tok3) WHERE sign <> ''),
+tok5 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n) AS place FROM tok4),
+passes AS (SELECT {keys}, {_either(_claims)} AS marks FROM (SELECT {keys}, language, string_agg(sign, '' ORDER BY n) AS signs FROM tok4 GROUP BY {keys}, language)),
+tok6 AS (SELECT x.*, substr(marks, place, 1) AS mark FROM tok5 x JOIN passes y ON {same}),
+tok7 AS (SELECT *, {modal} AS modal FROM tok6 WHERE {modal} OR mark = 'V' OR (known IS NOT NULL AND mark <> 'N')),
+tok8 AS (SELECT *, CASE WHEN modal THEN any_lemma ELSE coalesce(known, CASE WHEN language = 'es' THEN regexp_replace(w, {q(P.CLITIC_END)}, '') ELSE w END) END AS lemma FROM tok7),
+tok9 AS (SELECT x.*, lex.category AS kind, row_number() OVER (PARTITION BY {', '.join('x.' + k for k in key.split())}, x.lemma ORDER BY n) AS turn FROM tok8 x
   LEFT JOIN (SELECT DISTINCT language, lemma, category FROM forms WHERE NOT modal) lex ON lex.language = x.language AND lex.lemma = x.lemma AND NOT x.modal),
-aims AS (SELECT {keys}, t AS verb, lemma, position::INT AS position, kind AS suggested_type, n FROM tok6 WHERE turn = 1)"""
+aims AS (SELECT {keys}, t AS verb, lemma, position::INT AS position, kind AS suggested_type, n FROM tok9 WHERE turn = 1)"""
 
 
 TABLE = f"""

@@ -35,7 +35,7 @@ def aims(spark, text, language):
 
 def test_verbs(spark):
     assert aims(spark, "Los usuarios deben mantener limpias las acequias.", "es") == [("deben", "deber", 13, None), ("mantener", "mantener", 19, "CHO")]
-    assert aims(spark, "Members shall not fish; members shall approve it and approve again.", "en")[:2] == [("shall", "shall", 8, None), ("approve", "approve", 38, "AGG")]
+    assert aims(spark, "Members shall not fish; members shall approve it and approve again.", "en")== [("shall", "shall", 8, None), ("fish", "fish", 18, None), ("approve", "approve", 38, "AGG")]
     assert aims(spark, "The board may inspect nets.", "en") == [("may", "may", 10, None), ("inspect", "inspect", 14, None)]
     assert aims(spark, "", "es") == [] and aims(spark, "Nada.", "es") == []
     assert tuple(one(spark, V.first_verb(F.lit("Nada"), F.lit("es")))) == ("", "")
