@@ -16,16 +16,19 @@ from statutegrid.operators.segments import segment
 from statutegrid.operators.sentences import raw_sentences
 
 
-def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | Scorer | None = None, load_analyzer: Callable[[], object] | None = None) -> DataFrame:
+def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | Scorer | None = None, load_analyzer: Callable[[], object] | None = None,
+    boundaries: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """blocks (doc_id, source_base, block_no, page, text) as reviewed segments with triggers. language: es, en or auto.
 
     load_model: makes a model, or a Scorer whose raw scores are decoded in Spark. load_analyzer: makes a parser (`operators/analyzer.py`).
+    boundaries: where sentences end, such as `boundaries.learnt_sentences` learns it from a collection; an analyzer's own come first.
     """
     if language not in ("es", "en", "auto"):
         raise ValueError(f"language must be es, en or auto, not {language!r}")
     if load_analyzer is not None:
         ship(blocks.sparkSession)
-    raw = raw_sentences if load_analyzer is None else sentences_by(load_analyzer, language)
+    raw = (boundaries or raw_sentences) if load_analyzer is None else sentences_by(load_analyzer, language)
     found = segment(blocks, raw)
     if language == "auto":
         found = found.join(document_language(blocks), "doc_id")
@@ -42,13 +45,13 @@ def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], o
 
 def run(
     blocks: DataFrame, language: str = "es", load_model: Callable[[], object] | Scorer | None = None, case: int | None = None, system: str | None = None,
-    model_version: str | None = None, load_analyzer: Callable[[], object] | None = None,
+    model_version: str | None = None, load_analyzer: Callable[[], object] | None = None, boundaries: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(table, analysed rows): the 21 columns by document, and the rows that the sidecar is made from.
 
     Both are plans: each action on either goes through model and analyzer again. To write both, see sources/sinks.py: write_analysis.
     """
-    rows = analysed(blocks, language, load_model, load_analyzer)
+    rows = analysed(blocks, language, load_model, load_analyzer, boundaries)
     return table(rows, system, case, model_version), rows
 
 

@@ -12,6 +12,7 @@ from statutegrid.functions import lexicon as L
 from statutegrid.functions import patterns as P
 from statutegrid.functions.language import detect_language, document_language, word_hits
 from statutegrid.operators import blocks as B
+from statutegrid.operators import boundaries as BD
 from statutegrid.operators import model as M
 from statutegrid.operators import review as R
 from statutegrid.operators import segments as G
@@ -150,6 +151,21 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", raw_sentences(F.col("text")).alias("raw"), split_sentences(F.col("text")).alias("sentences"))
 
 
+@query(f"WITH {BD.sql()} SELECT word, n, pointed, round(score, 4) AS score FROM short")
+def learnt_abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    found = BD.abbreviations(BD.word_counts(table(spark, sf, "documents")))
+    return found.select("word", "n", "pointed", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {BD.sql(P.ABBREVIATIONS)}, whole AS (SELECT doc_id, string_split(string_agg(piece || CASE WHEN goes_on THEN '' ELSE {O.UNIT} END, '' ORDER BY n), {O.UNIT}) AS l FROM judged GROUP BY doc_id)
+SELECT doc_id, list_filter(list_transform(l, lambda x: {O.strip("x")}), lambda x: x <> '') AS raw FROM whole""")
+def learnt_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences cut by abbreviations that the same documents show, besides the listed ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pairs = BD.going_on(docs, BD.word_counts(docs), prior=P.ABBREVIATIONS)
+    return BD.with_sentences(docs, pairs, "doc_id").select("doc_id", "raw")
+
+
 @query(O.of("SELECT doc_id, block_no, sub_no, piece_no, emit_no, kind, type, text, family FROM events"))
 def events(spark: SparkSession, sf: str) -> DataFrame:
     rows = _events(spark, sf).select("doc_id", "block_no", "sub_no", "piece_no", "emit_no", "kind", "type", "text", "family")
