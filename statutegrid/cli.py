@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from statutegrid.operators.model import Scorer
 from statutegrid.operators.pipeline import analysed
 from statutegrid.operators.review import table, technical
+from statutegrid.sources.datasources import read_reported, write_workbooks
 from statutegrid.sources.models import scorer
 from statutegrid.sources.readers import read_blocks
 from statutegrid.sources.sinks import write_analysis, write_workbook
@@ -64,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--runner", help="module:function(name, settings) that loads what --model names, a folder of weights or an identifier, and gives raw scores")
     p.add_argument("--analyzer", help="module:function that makes a parser; without, rules find sentences and verbs")
     p.add_argument("-l", "--language", choices=("auto", "es", "en"), default="auto")
+    p.add_argument("--workbooks", action="store_true", help="for a folder: a workbook a document, built on the executors, and a list of files that cannot be read; not tables")
     p.add_argument("--no-technical", action="store_true", help="write no technical sidecar")
     return p
 
@@ -73,7 +75,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("statutegrid").getOrCreate()
     load = model_loader(args.model, args.runner)
     analyzer = model_loader(args.analyzer)
-    if Path(args.input).is_dir():
+    if Path(args.input).is_dir() and args.workbooks:
+        out = args.output or f"{args.input.rstrip('/')}_workbooks"
+        blocks, unreadable = read_reported(spark, args.input)
+        write_workbooks(analysed(blocks, args.language, load, analyzer), out, not args.no_technical)
+        unreadable.write.mode("overwrite").json(f"{out}/unreadable")
+    elif Path(args.input).is_dir():
         out = args.output or f"{args.input.rstrip('/')}_tables"
         write_analysis(analysed(read_blocks(spark, args.input), args.language, load, analyzer), out, not args.no_technical)
     else:

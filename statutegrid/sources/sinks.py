@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
+from collections import Counter
+from collections.abc import Callable
 from pathlib import Path
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 
 from statutegrid.operators.review import COLUMNS, technical
 from statutegrid.operators.review import table as table_of
-from statutegrid.operators.summary import summary
+from statutegrid.operators.summary import SECTIONS, summary
 
 #: What each column means, for the schema sheet, in this project's words.
 DESCRIPTIONS = {
@@ -103,23 +107,27 @@ def _cell(row: int, column: int, value: object, style: int) -> str:
     return f'<c {at} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def _sheet(header: list[str], rows: list[tuple], widths: list[float], style=lambda row, column: 0, freeze: str = "", filter_: bool = False) -> str:
+def _row(n: int, values: tuple, style: Callable[[int], int]) -> str:
+    return f'<row r="{n}">' + "".join(_cell(n, i, v, style(i)) for i, v in enumerate(values, 1)) + "</row>"
+
+
+def _head(header: list[str], widths: list[float], freeze: str = "") -> str:
+    """A sheet up to its first row."""
     cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
     pane = ""
     if freeze:
         x, y = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(freeze.rstrip("0123456789")))) - 1, int("".join(c for c in freeze if c.isdigit())) - 1
         pane = f'<pane xSplit="{x}" ySplit="{y}" topLeftCell="{freeze}" activePane="bottomRight" state="frozen"/>'
-    lines = ["<row r=\"1\">" + "".join(_cell(1, i, h, 1) for i, h in enumerate(header, 1)) + "</row>"]
-    for n, row in enumerate(rows, 2):
-        lines.append(f'<row r="{n}">' + "".join(_cell(n, i, v, style(row, i)) for i, v in enumerate(row, 1)) + "</row>")
-    last = f"A1:{_column(len(header))}{len(rows) + 1}"
     return (
         '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-        f'<sheetViews><sheetView workbookViewId="0">{pane}</sheetView></sheetViews><cols>{cols}</cols><sheetData>{"".join(lines)}</sheetData>'
-        + (f'<autoFilter ref="{last}"/>' if filter_ else "") + "</worksheet>"
+        f'<sheetViews><sheetView workbookViewId="0">{pane}</sheetView></sheetViews><cols>{cols}</cols><sheetData>{_row(1, tuple(header), lambda i: 1)}'
     )
 
 
+def _foot(columns: int, rows: int, filter_: bool = False) -> str:
+    return "</sheetData>" + (f'<autoFilter ref="A1:{_column(columns)}{rows + 1}"/>' if filter_ else "") + "</worksheet>"
+
+
 _STYLES = (
     '<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
     '<fonts count="2"><font><sz val="11"/></font><font><b/><sz val="11"/></font></fonts>'
@@ -130,35 +138,79 @@ _STYLES = (
 )
 
 
+class Workbook:
+    """One document's workbook, row by row: rows go into the archive as they come, in the order of their segments; what the summary counts is kept beside them."""
+
+    NAMES = ("segments", "schema", "summary")
+
+    def __init__(self) -> None:
+        self._buffer = io.BytesIO()
+        self._zip = zipfile.ZipFile(self._buffer, "w", zipfile.ZIP_DEFLATED)
+        self._rows = 0
+        self._facts: list[tuple] = []
+        self._counts: dict[int, Counter] = {n: Counter() for n in range(1, len(SECTIONS) + 1)}
+        self._sheet = self._zip.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
+        self._put(_head(list(COLUMNS), [WIDTHS.get(c, 9) for c in COLUMNS], f"{_column(COLUMNS.index('title') + 1)}2"))
+
+    def _put(self, text: str) -> None:
+        self._sheet.write(text.encode())
+
+    def add(self, row: tuple) -> None:
+        """A row of the 21 columns."""
+        value = dict(zip(COLUMNS, row, strict=True))
+        self._rows += 1
+        review, wrap = value["needs_review"], ("segment_text", "aim_text_candidate")
+        self._put(_row(self._rows + 1, row, lambda i: (3 if review else 0) + ((1 if review else 2) if COLUMNS[i - 1] in wrap else 0)))
+        if self._rows == 1:
+            self._facts = [("document", c, None if value[c] is None else str(value[c])) for c in ("case_id", "source_base", "model_version")]
+        for n, section in enumerate(SECTIONS, 1):
+            if section == "review_reason":
+                self._counts[n].update(x for x in (value[section] or "").split(";") if x)
+            elif section != "aim_n_suggested" or value["is_substantive"]:
+                self._counts[n]["nan" if value[section] is None else str(value[section])] += 1
+
+    def summary(self) -> list[tuple]:
+        """(section, key, value) in the order of `operators/summary.py: summary`."""
+        out = [*self._facts, ("document", "n_segments", str(self._rows))]
+        for n, section in enumerate(SECTIONS, 1):
+            order = sorted(self._counts[n].items(), key=lambda x: (0 if section == "aim_n_suggested" else -x[1], x[0]))
+            out += [(section, k, str(c)) for k, c in order]
+        return out
+
+    def finish(self, out: BinaryIO) -> None:
+        """Write the whole archive."""
+        self._put(_foot(len(COLUMNS), self._rows, True))
+        self._sheet.close()
+        others = ((["column", "description"], [(c, DESCRIPTIONS[c]) for c in COLUMNS], [26, 100]), (["section", "key", "value"], self.summary(), [18, 34, 40]))
+        for i, (header, rows, widths) in enumerate(others, 2):
+            lines = "".join(_row(n, r, lambda _: 0) for n, r in enumerate(rows, 2))
+            self._zip.writestr(f"xl/worksheets/sheet{i}.xml", _head(header, widths) + lines + _foot(len(header), len(rows)))
+        main, rel, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        z = self._zip
+        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, 4)) + "</Types>")
+        z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{rel}"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(self.NAMES, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{rel}">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 4)) + f'<Relationship Id="rId4" Type="{office}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", _STYLES)
+        z.close()
+        out.write(self._buffer.getvalue())
+
+
 def write_workbook(table: DataFrame, out_path: str | Path, technical: DataFrame | None = None) -> Path:
     """One document's table as a workbook of three sheets, and <stem>_technical.json beside it if technical is given.
 
-    A workbook is for a reader of one document: its rows come to the driver. For collections see write_tables.
+    Its rows come to the driver, one partition after another. For collections see `datasources.write_workbooks`, which builds workbooks on the executors, and write_tables.
     """
     out = Path(out_path)
     out.parent.mkdir(parents=True, exist_ok=True)
     if table.select("doc_id").distinct().limit(2).count() > 1:
-        raise ValueError("a workbook holds one document; use write_tables for collections")
-    rows = [tuple(r) for r in table.select(*COLUMNS).orderBy("segment_order").collect()]
-    counts = [tuple(r) for r in summary(table).orderBy("section_no", "rank").select("section", "key_text", "value").collect()]
-    review, wrap = COLUMNS.index("needs_review"), {COLUMNS.index(c) + 1 for c in ("segment_text", "aim_text_candidate")}
-    style = lambda row, column: (3 if row[review] else 0) + (1 if row[review] and column in wrap else 2 if column in wrap else 0)
-    freeze = f"{_column(COLUMNS.index('title') + 1)}2"
-    sheets = {
-        "segments": _sheet(list(COLUMNS), rows, [WIDTHS.get(c, 9) for c in COLUMNS], style, freeze, True),
-        "schema": _sheet(["column", "description"], [(c, DESCRIPTIONS[c]) for c in COLUMNS], [26, 100]),
-        "summary": _sheet(["section", "key", "value"], counts, [18, 34, 40]),
-    }
-    main, rel, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, 4)) + "</Types>")
-        z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{rel}"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{rel}">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 4)) + f'<Relationship Id="rId4" Type="{office}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", _STYLES)
-        for i, xml in enumerate(sheets.values(), 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", xml)
+        raise ValueError("a workbook holds one document; use write_workbooks or write_tables for collections")
+    book = Workbook()
+    for row in table.select(*COLUMNS).orderBy("segment_order").toLocalIterator():
+        book.add(tuple(row))
+    with out.open("wb") as f:
+        book.finish(f)
     if technical is not None:
         found = sidecar(technical.orderBy("segment_id").collect())
         out.with_name(f"{out.stem}_technical.json").write_text(json.dumps(found, ensure_ascii=False, indent=1, default=str), encoding="utf-8")
