@@ -20,13 +20,21 @@ def detect_language(text: Column) -> Column:
     return F.when(hits["en"] > hits["es"], "en").otherwise("es")
 
 
-def document_language(blocks: DataFrame) -> DataFrame:
-    """blocks (doc_id, block_no, text) as (doc_id, language), from the texts in order.
+def with_language(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, block_no, text, others) with the language of their document, told by its first SAMPLE_CHARS characters.
 
-    Only blocks that begin among a document's first SAMPLE_CHARS characters are put together, so no document's text is gathered.
+    Blocks are joined by blanks, which no word goes over, so a document's hits are the sums of its blocks' hits, the last one's up to where the sample ends: two
+    windows over the document's blocks, in the order and partitioning that whatever follows needs, and no second look at the input.
     """
-    before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    heads = blocks.select("doc_id", "block_no", F.substring("text", 1, P.SAMPLE_CHARS).alias("text"))
-    heads = heads.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("_before") < P.SAMPLE_CHARS)
-    joined = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("b"))
-    return joined.select("doc_id", detect_language(F.array_join(F.transform("b", lambda x: x["text"]), " ")).alias("language"))
+    whole = Window.partitionBy("doc_id")
+    before = whole.orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    head = F.when(F.col("_before") < P.SAMPLE_CHARS, F.substring("text", F.lit(1), (P.SAMPLE_CHARS - F.col("_before")).cast("int")))
+    counted = placed.withColumn("_hits", word_hits(F.coalesce(head, F.lit(""))))
+    spanish, english = F.sum("_hits.es").over(whole), F.sum("_hits.en").over(whole)
+    return counted.withColumn("language", F.when(english > spanish, "en").otherwise("es")).drop("_before", "_hits")
+
+
+def document_language(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, block_no, text) as (doc_id, language)."""
+    return with_language(blocks.select("doc_id", "block_no", "text")).groupBy("doc_id").agg(F.first("language").alias("language"))

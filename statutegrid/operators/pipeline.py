@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statutegrid.functions.language import document_language
+from statutegrid.functions.language import with_language
 from statutegrid.functions.ship import ship
 from statutegrid.operators.analyzer import sentences_by, with_tokens
 from statutegrid.operators.model import Scorer, with_predictions, with_scores
@@ -29,11 +29,8 @@ def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], o
     if load_analyzer is not None:
         ship(blocks.sparkSession)
     raw = (boundaries or raw_sentences) if load_analyzer is None else sentences_by(load_analyzer, language)
-    found = segment(blocks, raw)
-    if language == "auto":
-        found = found.join(document_language(blocks), "doc_id")
-    else:
-        found = found.withColumn("language", F.lit(language))
+    # the language is found while a document's blocks lie together, before they become segments
+    found = segment(with_language(blocks) if language == "auto" else blocks.withColumn("language", F.lit(language)), raw)
     if load_analyzer is not None:
         found = with_tokens(found, load_analyzer)
     if isinstance(load_model, Scorer):

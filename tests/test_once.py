@@ -70,6 +70,27 @@ def test_one_scan_and_one_exchange_by_document(spark, name):
     assert plan.count("Exchange") == (2 if name == "smoke_metrics" else 1)  # one row of all has an exchange of partial counts
 
 
+def test_a_language_of_each_document_takes_no_second_look(spark, tmp_path):
+    from statutegrid.functions.language import detect_language, with_language
+    from statutegrid.operators.pipeline import run
+
+    plan = run(catalog._blocks(spark, SF, True), "auto")[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    (tmp_path / "1. R.md").write_text(MD, encoding="utf-8")
+    rows = statutegrid.analysed(statutegrid.read_blocks(spark, f"{tmp_path}/*.md"), "auto")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rng = random.Random(7)
+    docs = [(d, n, rng.choice(["the members of the ditch ", "los socios de la acequia ", "nada "]) * rng.choice([1, 40, 900])) for d in range(40) for n in range(rng.randrange(1, 6))]
+    docs += [(90, 0, "x" * (P.SAMPLE_CHARS - 8)), (90, 1, "el la the the the"), (91, 0, None), (91, 1, "the of")]
+    blocks = spark.createDataFrame(docs, "doc_id int, block_no int, text string")
+    got = {r["doc_id"]: r["language"] for r in with_language(blocks).collect()}
+    texts = {}
+    for d, _, t in docs:
+        texts[d] = (texts[d] + " " if d in texts else "") + (t or "")
+    want = spark.createDataFrame(list(texts.items()), "doc_id int, text string").select("doc_id", detect_language(F.col("text")).alias("l")).collect()
+    assert got == {r["doc_id"]: r["l"] for r in want} and got[90] == "es"
+
+
 def test_parents_by_window_are_those_of_the_join(spark):
     from statutegrid.operators.segments import parent_text
 
