@@ -12,12 +12,14 @@ from statutegrid.functions import lexicon as L
 from statutegrid.functions import patterns as P
 from statutegrid.functions.language import detect_language, document_language, word_hits
 from statutegrid.operators import blocks as B
+from statutegrid.operators import intervals as I
 from statutegrid.operators import boundaries as BD
 from statutegrid.operators import model as M
 from statutegrid.operators import review as R
 from statutegrid.operators import segments as G
 from statutegrid.operators import structure as S
 from statutegrid.operators import verbs as V
+from statutegrid.operators.loss import losses
 from statutegrid.operators.pipeline import analysed, run
 from statutegrid.operators.sentences import raw_sentences, split_sentences
 from statutegrid.operators.summary import reason_counts, summary
@@ -237,11 +239,21 @@ def verb_features(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_SPOKEN}, {O.aims('spoken', 'doc_id')}, spans AS (SELECT doc_id, s::INT AS start, (s + 200)::INT AS "end" FROM (SELECT doc_id, unnest(range(0, length(text), 200)) AS s FROM spoken))
 SELECT doc_id, start, verb, position FROM (SELECT s.doc_id, s.start, a.verb, a.position, row_number() OVER (PARTITION BY s.doc_id, s.start ORDER BY a.position) AS k FROM spans s JOIN aims a ON a.doc_id = s.doc_id AND a.position >= s.start AND a.position < s."end") WHERE k = 1""")
 def trigger_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """First verb inside each span of 200 characters, array against array: both sides lie in one row, so nothing is joined or moved."""
-    spans = F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(200)), lambda s: F.struct(s.alias("start"), (s + 200).alias("end")))
-    rows = _spoken(spark, sf).where(F.length("text") > 0).select("doc_id", spans.alias("spans"), V.extract_aims(F.col("text"), F.col("language")).alias("aims"))
-    first = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.get(F.filter("aims", lambda a: (a["position"] >= s["start"]) & (a["position"] < s["end"])), F.lit(0)).alias("a")))
-    return rows.select("doc_id", F.inline(first)).where("a IS NOT NULL").select("doc_id", "start", "a.verb", "a.position")
+    """First verb inside each span of 200 characters: two tables, one sweep."""
+    spans, verbs = _spans(spark, sf, 200, 200), extract_aims(spark, sf)
+    return I.first_inside(spans, verbs, "doc_id").where("point IS NOT NULL").select("doc_id", "start", "point.verb", "point.position")
+
+
+def _spans(spark: SparkSession, sf: str, step: int, width: int) -> DataFrame:
+    starts = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(step)))
+    return _spoken(spark, sf).where(F.length("text") > 0).select("doc_id", starts.alias("start")).withColumn("end", F.col("start") + width)
+
+
+@query(f"""WITH {_SPOKEN}, {O.aims('spoken', 'doc_id')}, spans AS (SELECT doc_id, s::INT AS start, (s + 300)::INT AS "end" FROM (SELECT doc_id, unnest(range(0, length(text), 100)) AS s FROM spoken))
+SELECT s.doc_id, s.start, a.verb, a.position FROM spans s JOIN aims a ON a.doc_id = s.doc_id AND a.position >= s.start AND a.position < s."end\"""")
+def verbs_inside(spark: SparkSession, sf: str) -> DataFrame:
+    """All verbs inside each of the spans of 300 characters, one every 100."""
+    return I.all_inside(_spans(spark, sf, 100, 300), extract_aims(spark, sf).select("doc_id", "verb", "position"), "doc_id").select("doc_id", "start", "verb", "position")
 
 
 # ---- review -------------------------------------------------------------------------------------
@@ -338,6 +350,16 @@ def mean_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", F.round(M.mean_confidence(F.col("logits"), F.col("tags"), special), 6).alias("confidence"))
 
 
+@query(O.losses())
+def training_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """The loss of the vectors' scores, in five batches, against labels that follow from their numbers; the first token has none."""
+    rows = logits(spark, sf).withColumn("aim_n", (F.col("vec_id") % 4).cast("int")).withColumn("batch", F.col("vec_id") % 5)
+    labels = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.when(i == 0, -100).otherwise((F.col("vec_id") + i) % 3).cast("int"))
+    rows = rows.withColumn("labels", labels).withColumn("ordinal_labels", F.array(*[(F.col("aim_n") >= k).cast("int") for k in (1, 2, 3)])).withColumnRenamed("ordinals", "ordinal_logits")
+    found = losses(rows, "batch", TRANSITIONS)
+    return found.select("batch", "n", *[F.round(c, 6).alias(c) for c in ("span_loss", "ordinal_loss", "penalty", "loss")])
+
+
 def stub_model() -> object:
     """A model that marks the first 20 characters of any text."""
 
@@ -349,8 +371,17 @@ def stub_model() -> object:
     return Stub()
 
 
-@query(O.of("""SELECT doc_id, segment_id, 1 AS aim_n_suggested, substr(segment_text, 1, 20) AS aim_text_candidate, 0.88::DOUBLE AS aim_candidate_confidence, true AS has_own_aim_candidate, 'model-1.0' AS model_version FROM segments"""))
+_OWN = "owned AS (SELECT doc_id, segment_order, substr(segment_text, 1, 20) AS text, 'es' AS language FROM segments), whole AS (SELECT doc_id, segment_order, segment_text AS text, 'es' AS language FROM segments)"
+_KEY = "doc_id segment_order"
+
+
+@query(O.of(f"""SELECT s.doc_id, segment_id, 1 AS aim_n_suggested, substr(segment_text, 1, 20) AS aim_text_candidate, coalesce(o.verb, i.verb, a.verb, '') AS aim_trigger_candidate,
+  0.88::DOUBLE AS aim_candidate_confidence, true AS has_own_aim_candidate, 'model-1.0' AS model_version
+FROM segments s LEFT JOIN (SELECT doc_id, segment_order, min_by(verb, n) AS verb FROM owns GROUP BY ALL) o USING (doc_id, segment_order)
+  LEFT JOIN (SELECT doc_id, segment_order, min_by(verb, n) AS verb FROM wholes WHERE position < 20 GROUP BY ALL) i USING (doc_id, segment_order)
+  LEFT JOIN (SELECT doc_id, segment_order, min_by(verb, n) AS verb FROM anys GROUP BY ALL) a USING (doc_id, segment_order)""",
+    more=f"{_OWN}, {O.aims('owned', _KEY, 'owns')}, {O.aims('whole', _KEY, 'wholes')}, {O.aims('owned', _KEY, 'anys', True)}"))
 def model_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """The same table with a model plugged in."""
+    """The same table with a model plugged in; a span's verb is its own text's, else the segment's first inside it, else any verb of its text."""
     found, _ = run(_blocks(spark, sf, True), load_model=stub_model)
-    return found.select("doc_id", "segment_id", "aim_n_suggested", "aim_text_candidate", "aim_candidate_confidence", "has_own_aim_candidate", "model_version")
+    return found.select("doc_id", "segment_id", "aim_n_suggested", "aim_text_candidate", "aim_trigger_candidate", "aim_candidate_confidence", "has_own_aim_candidate", "model_version")

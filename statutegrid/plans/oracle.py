@@ -178,26 +178,27 @@ def _claims(lang: str) -> str:
     return signs
 
 
-def aims(source: str, key: str) -> str:
-    """CTEs up to aims (key, verb, lemma, position, suggested_type) of source (key, text, language)."""
+def aims(source: str, key: str, name: str = "aims", auxiliaries: bool = False) -> str:
+    """CTEs up to <name> (key, verb, lemma, position, suggested_type) of source (key, text, language). auxiliaries: they count too."""
     keys, same = ", ".join(key.split()), " AND ".join(f"x.{k} = y.{k}" for k in key.split())
     gap = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN '{sign}'" for p, sign in P.GAPS) + " ELSE '' END"
     modal = _either(lambda lang: f"mark IN {words(list(P.MODAL_SIGNS[lang]))}")
+    more = " OR " + _either(lambda lang: f"w IN {words(P.AUXILIARIES[lang])}") if auxiliaries else ""
     return f"""
-forms(language, form, lemma, category, modal) AS (VALUES {lexicon_values()}),
-tok0 AS (SELECT {keys}, language, string_split(regexp_replace(text, '(\\p{{L}}+)', {CUT} || '\\1' || {CUT}, 'g'), {CUT}) AS parts FROM {source}),
-tok1 AS (SELECT {keys}, language, n, parts[n] AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM tok0)),
-tok2 AS (SELECT *, lower(t) AS w, regexp_matches(t, '^\\p{{L}}') AS word, coalesce(sum(length(t)) OVER (PARTITION BY {keys} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM tok1),
-tok3 AS (SELECT x.*, CASE WHEN NOT f.modal THEN f.lemma END AS known, f.lemma AS any_lemma FROM tok2 x LEFT JOIN forms f ON f.language = x.language AND f.form = x.w AND x.word),
-tok4 AS (SELECT * FROM (SELECT *, CASE WHEN word THEN {_either(_sign)} ELSE {gap} END AS sign FROM tok3) WHERE sign <> ''),
-tok5 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n) AS place FROM tok4),
-passes AS (SELECT {keys}, {_either(_claims)} AS marks FROM (SELECT {keys}, language, string_agg(sign, '' ORDER BY n) AS signs FROM tok4 GROUP BY {keys}, language)),
-tok6 AS (SELECT x.*, substr(marks, place, 1) AS mark FROM tok5 x JOIN passes y ON {same}),
-tok7 AS (SELECT *, {modal} AS modal FROM tok6 WHERE {modal} OR mark = 'V' OR (known IS NOT NULL AND mark <> 'N')),
-tok8 AS (SELECT *, CASE WHEN modal THEN any_lemma ELSE coalesce(known, CASE WHEN language = 'es' THEN regexp_replace(w, {q(P.CLITIC_END)}, '') ELSE w END) END AS lemma FROM tok7),
-tok9 AS (SELECT x.*, lex.category AS kind, row_number() OVER (PARTITION BY {', '.join('x.' + k for k in key.split())}, x.lemma ORDER BY n) AS turn FROM tok8 x
-  LEFT JOIN (SELECT DISTINCT language, lemma, category FROM forms WHERE NOT modal) lex ON lex.language = x.language AND lex.lemma = x.lemma AND NOT x.modal),
-aims AS (SELECT {keys}, t AS verb, lemma, position::INT AS position, kind AS suggested_type, n FROM tok9 WHERE turn = 1)"""
+{name}_forms(language, form, lemma, category, modal) AS (VALUES {lexicon_values()}),
+{name}_tok0 AS (SELECT {keys}, language, string_split(regexp_replace(text, '(\\p{{L}}+)', {CUT} || '\\1' || {CUT}, 'g'), {CUT}) AS parts FROM {source}),
+{name}_tok1 AS (SELECT {keys}, language, n, parts[n] AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM {name}_tok0)),
+{name}_tok2 AS (SELECT *, lower(t) AS w, regexp_matches(t, '^\\p{{L}}') AS word, coalesce(sum(length(t)) OVER (PARTITION BY {keys} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM {name}_tok1),
+{name}_tok3 AS (SELECT x.*, CASE WHEN NOT f.modal THEN f.lemma END AS known, f.lemma AS any_lemma FROM {name}_tok2 x LEFT JOIN {name}_forms f ON f.language = x.language AND f.form = x.w AND x.word),
+{name}_tok4 AS (SELECT * FROM (SELECT *, CASE WHEN word THEN {_either(_sign)} ELSE {gap} END AS sign FROM {name}_tok3) WHERE sign <> ''),
+{name}_tok5 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n) AS place FROM {name}_tok4),
+{name}_passes AS (SELECT {keys}, {_either(_claims)} AS marks FROM (SELECT {keys}, language, string_agg(sign, '' ORDER BY n) AS signs FROM {name}_tok4 GROUP BY {keys}, language)),
+{name}_tok6 AS (SELECT x.*, substr(marks, place, 1) AS mark FROM {name}_tok5 x JOIN {name}_passes y ON {same}),
+{name}_tok7 AS (SELECT *, {modal} AS modal FROM {name}_tok6 WHERE {modal} OR mark = 'V' OR (known IS NOT NULL AND mark <> 'N'){more}),
+{name}_tok8 AS (SELECT *, CASE WHEN modal THEN any_lemma ELSE coalesce(known, CASE WHEN language = 'es' THEN regexp_replace(w, {q(P.CLITIC_END)}, '') ELSE w END) END AS lemma FROM {name}_tok7),
+{name}_tok9 AS (SELECT x.*, lex.category AS kind, row_number() OVER (PARTITION BY {', '.join('x.' + k for k in key.split())}, x.lemma ORDER BY n) AS turn FROM {name}_tok8 x
+  LEFT JOIN (SELECT DISTINCT language, lemma, category FROM {name}_forms WHERE NOT modal) lex ON lex.language = x.language AND lex.lemma = x.lemma AND NOT x.modal),
+{name} AS (SELECT {keys}, t AS verb, lemma, position::INT AS position, kind AS suggested_type, n FROM {name}_tok9 WHERE turn = 1)"""
 
 
 TABLE = f"""
@@ -217,8 +218,8 @@ final AS (SELECT doc_id, doc_id::INT AS case_id, NULL::VARCHAR AS system, segmen
     doc_id || '. Reglamento.md' AS source_base FROM flagged)"""
 
 
-def of(select: str, table: bool = False) -> str:
-    return f"WITH {CHAIN.strip()}{',' + TABLE if table else ''}\n{select}"
+def of(select: str, table: bool = False, more: str = "") -> str:
+    return f"WITH {CHAIN.strip()}{',' + TABLE if table else ''}{',' + more if more else ''}\n{select}"
 
 
 LOGITS = f"""
@@ -252,3 +253,19 @@ def viterbi() -> str:
     token = "{" + ", ".join(f"'s{j}': l[{j + 1}]" for j in range(3)) + ", " + ", ".join(f"'p{j}': '{j}'" for j in range(3)) + "}"
     last = best([(f"v.s{j}", f"v.p{j}") for j in range(3)], "path")
     return f"WITH {LOGITS}, vit AS (SELECT vec_id, list_reduce(list_transform(logits, lambda l: {token}), lambda a, x: {fold}) AS v FROM tok) SELECT vec_id, {last} AS tags FROM vit"
+
+
+def losses() -> str:
+    total = lambda values: f"(list_max({values}) + ln(list_sum(list_transform({values}, lambda v: exp(v - list_max({values}))))))"
+    step = "[" + ", ".join(f"{total('[' + ', '.join(f'(a[{i + 1}] + {TRANSITIONS[i][j]})' for i in range(3)) + ']')} + x[{j + 1}]" for j in range(3)) + "]"
+    soft = lambda x: f"(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
+    part = lambda k: f"sum(y[{k}] * {soft(f'-ordinals[{k}]')}) AS p{k}, sum((1 - y[{k}]) * {soft(f'ordinals[{k}]')}) AS n{k}, sum(y[{k}])::DOUBLE AS y{k}"
+    weight = lambda k: f"least(greatest(n - greatest(y{k}, 1), 1) / greatest(y{k}, 1), 50)"
+    return f"""WITH {LOGITS},
+lab AS (SELECT vec_id, vec_id % 5 AS batch, vec_id % 4 AS aim_n, logits, ordinals, logits[2:] AS x, list_transform(range(1, 21), lambda i: (vec_id + i) % 3) AS l, list_transform([1, 2, 3], lambda k: (vec_id % 4 >= k)::INT) AS y FROM tok),
+fwd AS (SELECT *, list_reduce(x, lambda a, x: {step}) AS z,
+  list_sum(list_transform(range(1, 21), lambda i: x[i][l[i] + 1])) + list_sum(list_transform(range(1, 20), lambda i: ({TRANSITIONS}::DOUBLE[][])[l[i] + 1][l[i + 1] + 1])) AS path FROM lab),
+sums AS (SELECT batch, count(*) AS n, avg({total('z')} - path) AS span_loss, {', '.join(map(part, (1, 2, 3)))},
+  sum(list_sum(list_transform(logits, lambda t: t[2] + t[3]))) FILTER (aim_n = 0) / greatest(sum(len(logits)) FILTER (aim_n = 0), 1) AS penalty FROM fwd GROUP BY batch),
+made AS (SELECT batch, n, span_loss, ({' + '.join(f'{weight(k)} * p{k} + n{k}' for k in (1, 2, 3))}) / (3 * n) AS ordinal_loss, penalty FROM sums)
+SELECT batch, n, round(span_loss, 6) AS span_loss, round(ordinal_loss, 6) AS ordinal_loss, round(penalty, 6) AS penalty, round(span_loss + 0.3 * ordinal_loss + 0.5 * coalesce(penalty, 0), 6) AS loss FROM made"""
