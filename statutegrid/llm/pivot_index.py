@@ -5,7 +5,7 @@ that nearly repeat another pivot; the mean of the drawn rows is taken off first,
 the pivots nor fills a few lists. A vector is described by its nearest pivots in order, as many as pairs at the threshold need: probes on
 the drawn rows tell (`prefix_length`). An inverted list a pivot holds the
 vectors that name it; two vectors become candidates if their prefixes share at least MIN_SHARED pivots, and are judged in the list of
-the first one that they share. Where that would take more work than all pairs, one list holds all vectors, and nothing is missed. Lists are cut into blocks, so each task holds two bounded blocks and counts links by matrix products; what
+the first one that they share. Tables of any size go this way; where prefixes of two shared pivots would be too long, one is enough. Lists are cut into blocks, so each task holds two bounded blocks and counts links by matrix products; what
 leaves it are counts by vector and an edge from each linked vector to the smallest id of its part of the block.
 Every vector is indexed; equal vectors are one, with their number.
 """
@@ -28,6 +28,8 @@ COSINE = 0.9
 #: PREFIX is the shortest prefix; longer ones follow from the share of PROBES pairs at the threshold that must become candidates.
 PREFIX, MIN_SHARED = 12, 2
 PROBES, TARGET = 512, 0.995
+#: Longest prefix, in roots of the number of pivots.
+REACH = 2.5
 BLOCK = 1024
 MIN_PIVOTS, MAX_PIVOTS, PIVOT_GAP = 64, 65_536, 0.8
 #: What pivots may take in the precision that vectors came in; twice as much is drawn.
@@ -83,22 +85,21 @@ def centred(units: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return v[far] / length[far]
 
 
-def prefix_length(units: np.ndarray, centre: np.ndarray, pivots: np.ndarray, cosine: float, shared: int, least: int) -> int:
-    """Shortest prefix, `least` at least, with which TARGET of the probes become candidates; 0 if all pairs are less work.
+def prefix_length(units: np.ndarray, centre: np.ndarray, pivots: np.ndarray, cosine: float, shared: int, least: int) -> tuple[int, int]:
+    """Shortest prefix, `least` at least, with which TARGET of the probes share `shared` pivots, and that number; where no prefix of REACH * sqrt(pivots) is enough, one shared pivot must do.
 
     A probe is a row and what lies at the threshold from it, in the direction of the row before it: pairs as hard as the table's own can be.
-    A row that is a pivot itself is probed without that pivot.
-    Lists of prefixes longer than the root of the number of pivots hold more pairs than there are.
+    A row that is a pivot itself is probed without that pivot. Prefixes of REACH * sqrt(pivots) share a pivot with probability 1 - exp(-REACH ** 2), 0.998, even if
+    they are drawn at random, so recall holds where permutations say nothing; such a table's vectors mostly link with each other.
     """
-    most = math.isqrt(len(pivots))
-    if most < least:
-        return 0
+    most = min(len(pivots), max(least, math.ceil(REACH * math.sqrt(len(pivots)))))
+    least = min(least, most)
     other = np.roll(units, 1, axis=0)
     side = other - (units * other).sum(1, keepdims=True) * units
     size = np.linalg.norm(side, axis=1, keepdims=True)
     usable = np.flatnonzero(size[:, 0] > 1e-6)[-PROBES:]
     if not len(usable):
-        return 0
+        return most, 1
     one = units[usable]
     two = cosine * one + math.sqrt(max(0.0, 1 - cosine * cosine)) * side[usable] / size[usable]
     place = np.arange(1, most + 1)
@@ -110,9 +111,12 @@ def prefix_length(units: np.ndarray, centre: np.ndarray, pivots: np.ndarray, cos
         own = (seen * pivots[a[:, 0]]).sum(1) > (1 - 1e-9) * np.linalg.norm(seen, axis=1)
         a[own, 0] = -1
         met = np.where(a[:, :, None] == b[:, None, :], later, most + 1).reshape(len(a), -1)
-        needed.append(np.partition(met, shared - 1, axis=1)[:, shared - 1])
-    length = int(np.quantile(np.concatenate(needed), TARGET, method="higher"))
-    return max(least, length) if length <= most else 0
+        needed.append(np.partition(met, shared - 1, axis=1)[:, :shared] if met.shape[1] >= shared else np.full((len(a), shared), most + 1))
+    for n in dict.fromkeys((shared, 1)):
+        length = int(np.quantile(np.concatenate(needed).max(1) if n == shared else np.concatenate(needed).min(1), TARGET, method="higher"))
+        if length <= most:
+            return max(least, length), n
+    return most, 1
 
 
 def _units(raw: list[bytes], dtype: str) -> np.ndarray:
@@ -122,7 +126,7 @@ def _units(raw: list[bytes], dtype: str) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _links(batches: Iterator[pa.RecordBatch], cosine: float, shared: int, dtype: str) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], cosine: float, shared: dict[int, int], dtype: str) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks of a list: links by vector, and its edge to the smallest id of its part."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -144,7 +148,7 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float, shared: int, dtype:
         common = marks @ marks.T
         before = marks * (names < pivot)
         own_list = (before @ before.T) == 0  # lists of smaller pivots have seen the other pairs
-        near = (common >= min(shared, prefix.shape[1])) & own_list
+        near = (common >= min(shared.get(t.column("dim")[0].as_py(), 1), prefix.shape[1])) & own_list
         np.fill_diagonal(near, False)
         if not one_block:
             near &= at[:, None] != at[None, :]
@@ -192,11 +196,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     for r in classes.select("vec_id", "raw").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * wanted).collect():
         drawn.setdefault(len(r["raw"]) // size, []).append(bytes(r["raw"]))
     ranking: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    enough: dict[int, int] = {}
     for dim, raw in drawn.items():
         sample = _units(raw, dtype)
         centre = sample.mean(0)
         pivots = choose_pivots(centred(sample, centre), wanted)
-        if length := prefix_length(sample, centre, pivots, cosine, shared, prefix):
+        if len(pivots):
+            length, enough[dim] = prefix_length(sample, centre, pivots, cosine, shared, prefix)
             ranking[dim] = (centre, pivots.astype(dtype), length)
     spark = vectors.sparkSession
     ship(spark)
@@ -212,7 +218,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
                 marks: list[bytes | None] = [None] * len(data)
                 for dim in set(dims.tolist()):
                     at = np.flatnonzero(dims == dim)
-                    # one list of all vectors where that is less work, and for a length that the draw missed
+                    # a length that the draw missed, or of a single vector, has one list
                     if dim in ranking:
                         centre, pivots, length = ranking[dim]
                         found = prefixes(_units([data[i] for i in at], dtype) - centre, pivots, length)
@@ -235,7 +241,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     spread = paired_blocks(posted, "list", "size", "vec_id", BLOCK).drop("list", "size")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _links(batches, cosine, shared, dtype)
+        return _links(batches, cosine, enough, dtype)
 
     found = cut(map_arrow(spread, links, "a long, b long, n long"), "vector-links")
     joined = components(found.select("a", "b"), "vector-components")

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from statutegrid.llm import pivot_index
 from statutegrid.llm.blocks import block_labels
@@ -35,7 +36,7 @@ def test_odd_vectors_link_with_nothing(spark):
     assert pivot_index.near_vectors(df).count() == 0
 
 
-def test_recall_against_brute_force_near_the_threshold_and_a_hot_group(spark):
+def test_recall_against_brute_force_near_the_threshold_and_a_hot_group(spark, lengths):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(500, 64))
     rows = [(i, v) for i, v in enumerate(base)]
@@ -47,6 +48,7 @@ def test_recall_against_brute_force_near_the_threshold_and_a_hot_group(spark):
     rows += [(2000 + i, base[499] + rng.normal(size=64) * 0.05) for i in range(700)]  # more than a block, a third of all
     rows = [(int(i), [float(x) for x in np.float32(v)]) for i, v in rows]
     want, got = expected(rows), found(spark, [(i, v, 1, "u") for i, v in rows])
+    assert 0 < lengths[0][1] < lengths[0][0]
     pairs = [i for i in want if i < 2000 and i != 499]
     print('recall of pairs', sum(got[i][0] for i in pairs) / sum(want[i][0] for i in pairs))
     assert sum(got[i][0] for i in pairs) >= 0.9 * sum(want[i][0] for i in pairs)
@@ -72,17 +74,59 @@ def test_recall_at_the_threshold_where_vectors_share_a_direction(spark):
     assert got[n:].sum() >= 0.97 * want[n:].sum() and (want[n:] > 0).mean() > 0.9
 
 
+@pytest.fixture
+def lengths(monkeypatch):
+    """What prefix_length gave, call by call: (pivots, length, shared)."""
+    seen, real = [], pivot_index.prefix_length
+
+    def noted(units, centre, pivots, *more):
+        out = real(units, centre, pivots, *more)
+        seen.append((len(pivots), *out))
+        return out
+
+    monkeypatch.setattr(pivot_index, "prefix_length", noted)
+    return seen
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_small_tables_go_through_the_index(spark, lengths, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(lengths) == 1 and 0 < lengths[0][1] < lengths[0][0] / 2  # lists, none of all vectors
+    units = np.array([pivot_index.unit(v) for _, v in rows])
+    want = dict(zip([i for i, _ in rows], (units @ units.T >= 0.9).sum(1) - 1, strict=True))
+    assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[i] <= want[i] for i in got)
+
+
+def test_a_table_whose_vectors_nearly_all_link_is_indexed_too(spark, lengths):
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    v = np.float32(unit(np.sqrt(0.93) * np.eye(64)[0] + np.sqrt(0.07) * unit(rng.normal(size=(1500, 64)))))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.array(list(v), pa.list_(pa.float32()))}))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivot_index.near_vectors(df).collect()}
+    units = unit(v.astype(np.float64))
+    want = (units @ units.T >= 0.9).sum(1) - 1
+    assert lengths[0][1] < lengths[0][0] and sum(n for n, _ in got.values()) >= 0.95 * want.sum() > 0
+    assert {c for _, c in got.values()} == {0}
+
+
 def test_prefixes_are_as_long_as_the_table_needs():
     rng = np.random.default_rng(6)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     lengths = []
+    shared = []
     for share in (0.0, 0.7, 0.97):
         v = unit(np.sqrt(share) * np.eye(64)[0] + np.sqrt(1 - share) * unit(rng.normal(size=(3000, 64))))
         centre = v.mean(0)
         pivots = pivot_index.choose_pivots(pivot_index.centred(v, centre), 1500)
         assert len(pivots) == 1500
-        lengths.append(pivot_index.prefix_length(v, centre, pivots, 0.9, 2, pivot_index.PREFIX))
-    assert pivot_index.PREFIX <= lengths[0] < lengths[1] and lengths[2] == 0  # 0: all pairs
+        length, n = pivot_index.prefix_length(v, centre, pivots, 0.9, 2, pivot_index.PREFIX)
+        lengths.append(length)
+        shared.append(n)
+    assert pivot_index.PREFIX <= lengths[0] < lengths[1] <= lengths[2] <= 2.5 * 1500**0.5 + 1
+    assert shared == [2, 2, 1]  # where nearly all vectors link, one shared pivot must do
+    few = pivot_index.choose_pivots(pivot_index.centred(v, centre), 5)
+    assert pivot_index.prefix_length(v, centre, few, 0.9, 2, pivot_index.PREFIX)[0] == 5
 
 
 def test_prefixes_and_labels():
