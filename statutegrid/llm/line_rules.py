@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from statutegrid.functions.ship import map_arrow
 from statutegrid.llm.common import bounded, cut, table
 
-#: A line is common on a host if more than this share of the host's documents, and more than this many, hold it.
-MAX_SHARE, MIN_DOCS = 0.02, 5
+#: A line is common on a host if more than this share of the host's documents hold it, counted as if the host had so many more documents without the line: one law for hosts
+#: of any size, under which few documents are little evidence.
+MAX_SHARE, MORE_DOCS = 0.02, 150
 #: Share of words that a document may lose.
 MAX_LOST = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -100,11 +101,11 @@ def _same_row(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, max_lost: float = MAX_LOST
+    docs: DataFrame, host: Column, max_share: float = MAX_SHARE, more_docs: int = MORE_DOCS, max_lost: float = MAX_LOST
 ) -> DataFrame:
     """docs (doc_id, text) as one row a row: the counts, base_failed, lines_removed, words_removed, kept, and `removed`, the hashes of lines that go.
 
-    Null hosts are one host; null and blank texts have no words and fail the base rules; repeated rows get equal verdicts;
+    A line goes if n / (docs + more_docs) > max_share, n being the host's documents that hold it. Null hosts are one host; null and blank texts have no words and fail the base rules; repeated rows get equal verdicts;
     ids may repeat (rows go by id and text); no rows, no result; other columns are ignored.
     """
     rows = docs.select("doc_id", F.xxhash64(host).alias("host"), F.xxhash64("text").alias("content"), "text")
@@ -113,7 +114,7 @@ def judge(
     by_line = held.groupBy("host", "line").agg(F.count("*").alias("n"))
     hosts = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     common = (
-        by_line.where(F.col("n") > min_docs).join(hosts, "host").where(F.col("n") > F.col("docs") * max_share).select("host", "line")
+        by_line.where(F.col("n") > more_docs * max_share).join(hosts, "host").where(F.col("n") > (F.col("docs") + more_docs) * max_share).select("host", "line")
     )
     common = bounded(cut(common, "line-common"))
     pairs = stats.select("doc_id", "host", "content", F.explode(F.arrays_zip("lines", "counts")).alias("x"))
@@ -169,7 +170,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROU
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source),
 common AS (
   SELECT l.source, norm FROM full_lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, norm, docs HAVING count(DISTINCT text) > {MIN_DOCS} AND count(DISTINCT text) > docs * {MAX_SHARE}),
+  GROUP BY l.source, norm, docs HAVING count(DISTINCT text) > (docs + {MORE_DOCS}) * {MAX_SHARE}::DOUBLE),
 lost AS (
   SELECT doc_id, count(*) AS l, sum(len(lw)) AS w FROM full_lines f
   JOIN common c ON f.norm = c.norm AND f.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),

@@ -29,16 +29,27 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     shared = "the same footer line 2024 on every page of this very host here"
     rows = [(i, f"{body(i)}\n{shared.upper() if i % 2 else shared}", "h", i) for i in range(60)]
     rows += [(100, f"{shared}\n{shared}\n{shared} ", "h", 0)]  # nothing else in it
-    rows += [(200 + i, f"{shared}\n{body(400 + i)}", "other", 0) for i in range(5)]  # rare on its host
+    rows += [(200 + i, f"{shared}\n{body(400 + i)}", "other", 0) for i in range(5)]  # on every page of a small host
+    rows += [(500 + i, f"{shared}\n{body(i)}" if i < 5 else body(i), "large", 0) for i in range(200)]  # rare on its host
     rows += [(300 + i, body(600), "h", 0) for i in range(50)]  # copies of one document are one document
     got = {r["doc_id"]: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int"), F.col("source")).collect()}
     assert all(got[i]["kept"] and got[i]["lines_removed"] == 1 and got[i]["words_removed"] == 13 for i in range(60))
     assert not got[100]["kept"] and got[100]["lines_removed"] == 3
-    assert all(got[200 + i]["lines_removed"] == 0 for i in range(5))
+    assert all(got[200 + i]["lines_removed"] == 1 for i in range(5)) and all(got[500 + i]["lines_removed"] == 0 for i in range(200))
     assert all(got[300 + i]["kept"] for i in range(50))
     assert line_rules.clean(rows[1][1], got[1]["removed"]) == body(1)
 
 
+def test_one_law_at_all_host_sizes(spark):
+    """The least number of documents that makes a line common grows by one for each 50 documents of the host, from the smallest host on."""
+    made = lambda host, docs, n: [(0, f"{host} own text {i}" + ("\nthe line" if i < n else ""), host) for i in range(docs)]
+    for docs in (4, 5, 49, 50, 51, 400):
+        least = int((docs + line_rules.MORE_DOCS) * line_rules.MAX_SHARE) + 1
+        rows = made("in", docs, min(least, docs)) + made("out", docs, min(least - 1, docs))
+        got = line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"))
+        assert got.where("lines_removed > 0").count() == min(least, docs)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = line_rules.judge(odd_docs, F.col("source")).collect()
     assert len(got) == 10
