@@ -5,8 +5,8 @@ country's length and check digits. What an entity is called by (`norm`) is its t
 everywhere. Its surrogate is derived from a secret key, its type and that form: letters for letters of the same script and case, digits for
 digits, right check digits for cards and IBANs, names of the same gender and script; the spelling that the text uses is laid over it.
 
-Persons are found by a title. Titles of either gender take the gender that the document gives the name elsewhere, else names of their
-own. A name that a title has shown is replaced wherever it stands in the same document as a word of the same case, with or without a title.
+Persons are found by a title. Titles of either gender take the gender that the document gives the name elsewhere, else the one that most texts give it, else names of their
+own. A name that a title has shown is replaced wherever it stands in the same document as a word of the same case or in capitals, with or without a title.
 
 Distinctness is checked over all entities of all documents: where two would get one surrogate, or one would get another's real
 form, all but the smallest draw again with a higher attempt, until none is left; a kind whose forms are too few for that gets longer ones.
@@ -351,7 +351,8 @@ def found_in(text: Column) -> Column:
 def rewritten(text: Column, draw) -> Column:
     """struct(text, n): the text with all that was found replaced by what draw gives for its mentions, and the number of entities."""
     def between(piece: Column, names: Column) -> Column:
-        word = lambda w, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(names, w), w)).otherwise(w)
+        capitals = lambda w: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(F.try_element_at(names, F.lower(w))))
+        word = lambda w, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(names, w), capitals(w), w)).otherwise(w)
         return F.array_join(F.transform(F.split(F.regexp_replace(piece, rf"(?<!\p{{L}}){_NAME}", f"{_NEXT}$0{_NEXT}"), _NEXT), word), "")
 
     def joined(pieces: Column, found: Column, names: Column) -> Column:
@@ -363,8 +364,11 @@ def rewritten(text: Column, draw) -> Column:
         return F.struct(F.replace(whole, F.lit(_ESCAPED), F.lit(_MARK)).alias("text"), n.cast("long").alias("n"))
 
     def named(found: Column) -> Column:
+        # by the word itself, which begins with a capital, and by its lower case, for the same name in capitals
         entry = lambda m: let(draw(m), lambda drawn: F.struct(m["word"].alias("key"), _cased(m["word"], drawn).alias("value")))
-        return F.map_from_entries(F.transform(_names(found), entry))
+        low = lambda m: F.struct(m["norm"].alias("key"), draw(m).alias("value"))
+        first = lambda all_: F.filter(all_, lambda m, i: F.array_position(F.transform(all_, lambda x: x["norm"]), m["norm"]) == i + 1)
+        return F.map_from_entries(let(_names(found), lambda all_: F.concat(F.transform(all_, entry), F.transform(first(all_), low))))
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     made = let(_pieces(text), lambda p: let(
@@ -392,6 +396,16 @@ def redraws(entities: DataFrame, key: str) -> DataFrame:
         settled = cut(kept.unionByName(redrawn), "surrogate-draws")
 
 
+def settled_genders(seen: DataFrame) -> DataFrame:
+    """(norm, gender) of the given names that stand behind titles of either gender in some texts of seen (kind, norm; a row a text) and behind others elsewhere.
+
+    The gender that more texts give the name, given_f where as many do either. Sums a name, added up before they are shuffled; as many rows as names.
+    """
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    told = seen.where(F.col("kind").startswith("given_")).groupBy("norm").agg(count("given_m").alias("m"), count("given_f").alias("f"), count("given_n").alias("n"))
+    return told.where("n > 0 AND m + f > 0").select("norm", F.when(F.col("m") > F.col("f"), "given_m").otherwise("given_f").alias("gender"))
+
+
 def pseudonymised(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """docs with the entities of its text column replaced, and n_entities (long; a column of that name gives way): what the detectors found.
 
@@ -406,7 +420,13 @@ def pseudonymised(docs: DataFrame, key: str | None = None, text: str = "text") -
     both = lambda m: F.struct(m["kind"].alias("kind"), m["norm"].alias("norm"))
     named = F.array_distinct(F.flatten(F.transform(found_in(F.col("text")), lambda x: F.transform(x["mentions"], both))))
     seen = cut(rows.select(of_text.alias("h"), named.alias("m")).where(F.size("m") > 0), "surrogate-mentions").select("h", F.inline("m"))
-    other = cut(redraws(cut(seen.select("kind", "norm").distinct(), "surrogate-entities"), key), "surrogate-redraws")
+    # a name of either gender is the same entity as that of the gender that it has elsewhere, and draws nothing of its own
+    genders = cut(settled_genders(seen).select(F.lit("given_n").alias("kind"), "norm", "gender"), "surrogate-genders")
+    entities = seen.select("kind", "norm").distinct().join(bounded(genders.select("kind", "norm")), ["kind", "norm"], "left_anti")
+    drawn_again = cut(redraws(cut(entities, "surrogate-entities"), key), "surrogate-redraws")
+    as_of = genders.join(drawn_again.select(F.col("kind").alias("gender"), "norm", "core"), ["gender", "norm"], "left")
+    as_of = as_of.select("kind", "norm", F.coalesce("core", core(F.col("gender"), F.col("norm"), F.lit(0), key)).alias("core"))
+    other = cut(drawn_again.unionByName(as_of), "surrogate-others")
     first = lambda m: core(m["kind"], m["norm"], F.lit(0), key)
     if other.isEmpty():
         draw = first

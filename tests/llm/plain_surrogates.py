@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+from collections import Counter
 
 import regex
 import xxhash
@@ -176,7 +177,13 @@ def settled(all_, key):
 def pseudonymised(texts, key):
     """(text, number of entities) of each text."""
     found = [entities(t) for t in texts]
-    cores = settled({(k, n) for es in found for *_, ms in es for k, n, _ in ms}, key)
+    told = {}
+    for es in found:
+        for k, n in {(k, n) for *_, ms in es for k, n, _ in ms}:
+            told.setdefault(n, Counter())[k] += 1
+    same = {("given_n", n): ("given_m" if c["given_m"] > c["given_f"] else "given_f", n) for n, c in told.items() if c["given_n"] and c["given_m"] + c["given_f"]}
+    cores = settled({(k, n) for es in found for *_, ms in es for k, n, _ in ms} - set(same), key)
+    cores |= {e: cores[of] for e, of in same.items()}
     out = []
     for text, es in zip(texts, found, strict=True):
         names = {}
@@ -184,7 +191,16 @@ def pseudonymised(texts, key):
             for kind, norm, word in sorted(ms, key=lambda m: m[0] == "surname"):
                 if word and (kind == "surname" or names.get(word, ("", ""))[0] != "surname"):
                     names[word] = min(names[word], (kind, norm)) if word in names and names[word][0] != "surname" else (kind, norm)
-        swap = lambda part, names=names: NAME.sub(lambda m: cased(m[0], cores[names[m[0]]]) if m[0] in names else m[0], part)
+        low = {}
+        for word in sorted(names):
+            low.setdefault(word.lower(), names[word])
+
+        def one(m, names=names, low=low):
+            if m[0] in names:
+                return cased(m[0], cores[names[m[0]]])
+            return cores[low[m[0].lower()]].upper() if capitals(m[0]) and len(m[0]) > 1 and m[0].lower() in low else m[0]
+
+        swap = lambda part, one=one: NAME.sub(one, part)
         new, at = "", 0
         for a, b, kind, ms in es:
             new += swap(text[at:a]) + written(kind, text[a:b], [cores[k, n] for k, n, _ in ms])

@@ -42,7 +42,7 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
 
 def test_one_law_at_all_host_sizes(spark):
     """The least number of documents that makes a line common grows by one for each 50 documents of the host, from the smallest host on."""
-    made = lambda host, docs, n: [(0, f"{host} own text {i}" + ("\nthe line" if i < n else ""), host) for i in range(docs)]
+    made = lambda host, docs, n: [(0, f"{host} own text {chr(97 + i // 26)}{chr(97 + i % 26)}" + ("\nthe line" if i < n else ""), host) for i in range(docs)]
     for docs in (4, 5, 49, 50, 51, 400):
         least = int((docs + line_rules.MORE_DOCS) * line_rules.MAX_SHARE) + 1
         rows = made("in", docs, min(least, docs)) + made("out", docs, min(least - 1, docs))

@@ -52,7 +52,7 @@ def test_the_private_stage_is_the_plain_version_s(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     given = {r["doc_id"]: r["text"] for r in docs.collect()}
-    want = dict(zip(given, plain_surrogates.pseudonymised(list(given.values()), surrogates.QUERY_KEY), strict=True))
+    want = dict(zip(given, plain_surrogates.pseudonymised(list(given.values()), surrogates.secret_key(spark)), strict=True))
     got = {r["doc_id"]: r for r in corpus_pipeline.private(spark, docs, "").collect()}
     assert {i: r["text"] for i, r in got.items()} == {i: t for i, (t, _) in want.items()}
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values()) and any(got[i]["text"] != t for i, t in given.items())
