@@ -59,18 +59,18 @@ CHAPTER_REF_ES = r"Cap[ií]tulo\s+([IVX\d]+(?:[.-]\s*[^\n]{1,80})?)"
 CHAPTER_REF_EN = r"Chapter\s+([IVX\d]+(?:[.:]\s*[^\n]{1,80})?)"
 ARTICLE_REF = ARTICLE_PREFIX + r"\s*(" + NUMERAL + ")"
 SECTION_REF = r"(?:Section|Sec\.)\s*(" + NUMERAL + ")"
-INLINE_ARTICLE = "^" + ARTICLE_PREFIX + r"\s*" + NUMERAL + r"[º°]?\s*[.–º°:-]?"
+INLINE_ARTICLE = "^" + ARTICLE_PREFIX + r"\s*" + NUMERAL + r"[º°]?\s*[.\-–º°:]?"
 CUT_POINT = (
-    "(?:" + ARTICLE_PREFIX + r"\s*" + NUMERAL + r"[º°]?\s*[.–º°:-]?"
+    "(?:" + ARTICLE_PREFIX + r"\s*" + NUMERAL + r"[º°]?\s*[.\-–º°:]?"
     r"|Cap[ií]tulo\s+[IVX\d]+|Chapter\s+[IVX\d]+|(?:Section|Sec\.)\s+" + NUMERAL + ")"
 )
 
-LINE_ITEM = r"^\s*(?:[–—•*-]\s+|\(?[a-záéíóúñ]\)\s+|\(?\d{1,2}[.)]\s+|\(?[ivxlcdm]{1,6}[.)]\s+)"
+LINE_ITEM = r"^\s*(?:[-–—•*]\s+|\(?[a-záéíóúñ]\)\s+|\(?\d{1,2}[.)]\s+|\(?[ivxlcdm]{1,6}[.)]\s+)"
 #: In this order; what none tells is a bullet.
 FAMILIES = (
-    ("letter", r"^\s*(?:[–—•*-]\s+)?\(?[a-záéíóúñ]\)"),
-    ("roman", r"^\s*(?:[–—•*-]\s+)?\(?[ivxlcdm]{1,6}[.)]"),
-    ("number", r"^\s*(?:[–—•*-]\s+)?\(?\d{1,2}[.)]"),
+    ("letter", r"^\s*(?:[-–—•*]\s+)?\(?[a-záéíóúñ]\)"),
+    ("roman", r"^\s*(?:[-–—•*]\s+)?\(?[ivxlcdm]{1,6}[.)]"),
+    ("number", r"^\s*(?:[-–—•*]\s+)?\(?\d{1,2}[.)]"),
 )
 #: Upper case matters here: only lower-case letters mark items inside a line.
 INLINE_ITEM = r"(\(?[a-z]\)|\d{1,2}[.)])\s+"
@@ -111,7 +111,8 @@ STOPWORDS_EN = (
     "the of and to is are be that this for with by on from shall may must will not it as any all who have has or at members meeting"
 ).split()
 DEONTIC_RE_ES = (
-    r"\b(?:deben?|deberan?|podran?|pueden?|tendran?\s+que|habran?\s+de|corresponde(?:ra)?|quedan?\s+(?:obligado|prohibido|facultado))\b"
+    r"\b(?:debe(?:n)?|debera(?:n)?|deberan|podra(?:n)?|podran|puede(?:n)?|tendra(?:n)?\s+que|tendran\s+que|habra(?:n)?\s+de|habran\s+de"
+    r"|corresponde(?:ra)?|correspondera|queda(?:n)?\s+(?:obligado|prohibido|facultado))\b"
 )
 DEONTIC_RE_EN = r"\b(?:shall|must|should|may|will|can|have\s+to|required\s+to|obligated\s+to)\b"
 #: Signs that words get for the claims of modal verbs, one sign a word; other signs come from the shapes below and from the lexicon.
