@@ -33,6 +33,11 @@ def analysed(blocks: DataFrame, language: str = "es", load_model: Callable[[], o
     found = segment(with_language(blocks) if language == "auto" else blocks.withColumn("language", F.lit(language)), raw)
     if load_analyzer is not None:
         found = with_tokens(found, load_analyzer)
+    return judged(found, load_model)
+
+
+def judged(found: DataFrame, load_model: Callable[[], object] | Scorer | None = None) -> DataFrame:
+    """Segments with a model's predictions, if there is one, candidates and review flags; each row by itself, so for streams as well."""
     if isinstance(load_model, Scorer):
         found = with_scores(found, load_model.load, load_model.transitions)
     elif load_model is not None:

@@ -48,11 +48,15 @@ def _text_events(piece: Column, inline: Column, raw: Boundaries) -> Column:
     return F.when(inline.isNotNull(), listed).otherwise(_sentence_events(piece, raw))
 
 
-def sub_blocks(blocks: DataFrame) -> DataFrame:
-    """blocks without comments, large ones cut at references: a row a sub-block with its class."""
+def sub_blocks(blocks: DataFrame, ends: bool = False) -> DataFrame:
+    """blocks without comments, large ones cut at references: a row a sub-block with its class. ends: and an empty one behind each block, even an empty block."""
     keep = [c for c in blocks.columns if c not in ("text", "page")]
-    bare = blocks.withColumn("text", S.strip_comments(F.col("text"))).where(F.col("text") != "")
-    subs = bare.select(*keep, F.posexplode(S.page_blocks(F.col("text"))).alias("sub_no", "text"))
+    bare, cut = blocks.withColumn("text", S.strip_comments(F.col("text"))), S.page_blocks(F.col("text"))
+    if ends:
+        cut = F.concat(F.when(F.col("text") != "", cut).otherwise(F.array()), F.array(F.lit("")))
+    else:
+        bare = bare.where(F.col("text") != "")
+    subs = bare.select(*keep, F.posexplode(cut).alias("sub_no", "text"))
     return subs.withColumn("class", S.classify_block(F.col("text")))
 
 
