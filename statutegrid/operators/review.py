@@ -65,13 +65,13 @@ def candidates(segments: DataFrame) -> DataFrame:
     )
 
 
-def review_reason(notes: Column | None = None) -> Column:
-    """Six reasons in order, then the notes, joined by semicolons; empty without any."""
+def review_reason(notes: Column | None = None, limit: Column | None = None) -> Column:
+    """Six reasons in order, then the notes, joined by semicolons; empty without any. limit: what a low confidence lies below, LOW_CONFIDENCE by default."""
     c = F.col
     own, substantive = c("has_own_aim_candidate"), c("is_substantive")
     reasons = [
         F.when(substantive & (F.length("segment_text") < P.SHORT_SEGMENT_CHARS), "short_segment"),
-        F.when(substantive & own & (c("aim_candidate_confidence") < P.LOW_CONFIDENCE), "low_confidence"),
+        F.when(substantive & own & (c("aim_candidate_confidence") < (P.LOW_CONFIDENCE if limit is None else limit)), "low_confidence"),
         F.when((c("segment_type") == "body_sentence") & starts_lower(c("segment_text")), "possible_bad_split"),
         F.when(c("is_list_item") & c("parent_segment_id").isNull(), "list_item_no_parent"),
         F.when(c("aim_n_suggested") >= P.HIGH_COUNT, "high_aim_count"),
@@ -81,8 +81,10 @@ def review_reason(notes: Column | None = None) -> Column:
 
 
 def reviewed(rows: DataFrame) -> DataFrame:
+    """rows with review_reason and needs_review; columns notes and low_confidence are heeded where they come with the rows."""
     notes = F.col("notes") if "notes" in rows.columns else None
-    flagged = rows.withColumn("review_reason", review_reason(notes))
+    limit = F.col("low_confidence") if "low_confidence" in rows.columns else None
+    flagged = rows.withColumn("review_reason", review_reason(notes, limit))
     return flagged.withColumn("needs_review", F.col("review_reason") != "")
 
 

@@ -19,6 +19,8 @@ from statutegrid.operators import review as R
 from statutegrid.operators import segments as G
 from statutegrid.operators import structure as S
 from statutegrid.operators import verbs as V
+from statutegrid.operators.calibration import RANK_ERROR, confidence_limits, confidence_sketches, rank_of
+from statutegrid.operators.evaluation import scores
 from statutegrid.operators.loss import losses
 from statutegrid.operators.pipeline import analysed, run
 from statutegrid.operators.sentences import raw_sentences, split_sentences
@@ -360,6 +362,33 @@ def training_losses(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("batch", "n", *[F.round(c, 6).alias(c) for c in ("span_loss", "ordinal_loss", "penalty", "loss")])
 
 
+@query(O.evaluation())
+def prediction_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors' predictions by four versions against spans of two tokens, 5 to 27 tokens apart; one vector in seven has no count, another a negative one."""
+    rows = logits(spark, sf).withColumn("p", M.prediction(F.col("logits"), F.col("offsets"), F.col("ordinals"), F.col("text")))
+    apart = F.col("vec_id") % 23 + 5
+    tags = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.when((F.col("vec_id") + i) % apart == 0, 1).when((F.col("vec_id") + i) % apart == 1, 2).otherwise(0))
+    held = rows.withColumn("gold_spans", M.bio_spans(tags, F.col("offsets"), F.col("text")))
+    count = F.when(F.col("vec_id") % 7 == 0, None).when(F.col("vec_id") % 7 == 1, -1).otherwise(F.size("gold_spans"))
+    found = scores(held.select((F.col("vec_id") % 4).alias("version"), "p.count", "p.spans", count.alias("gold_count"), "gold_spans"), "version")
+    return found.select("version", "n", "n_excluded", *[F.round(c, 6).alias(c) for c in found.columns[3:]])
+
+
+@query(f"""WITH {O.LOGITS}, p AS (SELECT vec_id, i, list_transform(logits[i], lambda x: exp(x - list_max(logits[i]))) AS e, tags[i] AS tag FROM (SELECT *, unnest(range(2, 22)) AS i FROM tags)),
+c AS (SELECT vec_id, avg(e[tag + 1] / list_sum(e)) AS confidence FROM p GROUP BY vec_id)
+SELECT vec_id % 3 AS version, count(*) AS n, true AS within_bound FROM c WHERE confidence IS NOT NULL GROUP BY ALL""")
+def confidence_fifths(spark: SparkSession, sf: str) -> DataFrame:
+    """By version the limit from the sketches of four runs, merged, and whether its rank is within the sketch's bound of the exact fifth."""
+    special = F.transform("offsets", lambda o: (o["start"] == 0) & (o["end"] == 0))
+    tagged = logits(spark, sf).withColumn("tags", M.argmax_tags(F.col("logits")))
+    rows = tagged.select((F.col("vec_id") % 3).alias("version"), (F.col("vec_id") % 4).alias("run"), M.mean_confidence(F.col("logits"), F.col("tags"), special).alias("confidence"))
+    runs = confidence_sketches(rows.withColumn("of", F.struct("version", "run")), "of").select("of.version", "n", "sketch")
+    limits = confidence_limits(runs, 0.2, 1, "version")
+    ranked = rows.join(F.broadcast(limits.drop("n")), "version").groupBy("version").agg(F.count("confidence").alias("n"), rank_of(F.col("low_confidence"), F.col("confidence")).alias("r"))
+    # twice the bound, which holds with probability 0.99 only; a sketch of n rows gives one of them, so ranks are off by up to a row besides
+    return ranked.select("version", "n", (F.abs(F.col("r") - 0.2) <= RANK_ERROR * 2 + 1 / F.col("n")).alias("within_bound"))
+
+
 def stub_model() -> object:
     """A model that marks the first 20 characters of any text."""
 

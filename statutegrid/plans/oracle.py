@@ -269,3 +269,18 @@ sums AS (SELECT batch, count(*) AS n, avg({total('z')} - path) AS span_loss, {',
   sum(list_sum(list_transform(logits, lambda t: t[2] + t[3]))) FILTER (aim_n = 0) / greatest(sum(len(logits)) FILTER (aim_n = 0), 1) AS penalty FROM fwd GROUP BY batch),
 made AS (SELECT batch, n, span_loss, ({' + '.join(f'{weight(k)} * p{k} + n{k}' for k in (1, 2, 3))}) / (3 * n) AS ordinal_loss, penalty FROM sums)
 SELECT batch, n, round(span_loss, 6) AS span_loss, round(ordinal_loss, 6) AS ordinal_loss, round(penalty, 6) AS penalty, round(span_loss + 0.3 * ordinal_loss + 0.5 * coalesce(penalty, 0), 6) AS loss FROM made"""
+
+
+def evaluation() -> str:
+    kinds = range(P.BUCKET_CAP + 1)
+    pair = lambda k: f"2.0 * count(*) FILTER (g = {k} AND c = {k}) / nullif(count(*) FILTER (g = {k}) + count(*) FILTER (c = {k}), 0)"
+    touch = lambda a, b: f"list_sum(list_transform({a}, lambda s: (len(list_filter({b}, lambda o: o.s < s.e AND s.s < o.e)) > 0)::INT))"
+    each = lambda name, source: f"{name} AS (WITH {spans(source)} SELECT vec_id, list({{'s': s, 'e': e}}) AS l FROM spans WHERE t <> '' GROUP BY vec_id)"
+    return f"""WITH {LOGITS}, held AS (SELECT vec_id, text, list_transform(range(0, 21), lambda i: CASE (vec_id + i) % (vec_id % 23 + 5) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS tags FROM tok),
+{each('p', 'tags')}, {each('h', 'held')},
+b AS (SELECT vec_id % 4 AS version, vec_id % 7 IN (0, 1) AS bad, coalesce(p.l, []) AS p, coalesce(h.l, []) AS h FROM tok LEFT JOIN p USING (vec_id) LEFT JOIN h USING (vec_id)),
+x AS (SELECT *, least(len(h), {P.BUCKET_CAP}) AS g, least(len(p), {P.BUCKET_CAP}) AS c FROM b WHERE NOT bad),
+f AS (SELECT version, count(*) AS n, [{', '.join(map(pair, kinds))}] AS f, count(*) FILTER (g = 0 AND c = 0) / nullif(count(*) FILTER (g = 0), 0) AS r0, count(*) FILTER (g > 0 AND c > 0) / nullif(count(*) FILTER (g > 0), 0) AS r1,
+  sum({touch('p', 'h')}) / nullif(sum(len(p)), 0) AS sp, sum({touch('h', 'p')}) / nullif(sum(len(h)), 0) AS sr FROM x GROUP BY version)
+SELECT version, n, (SELECT count(*) FROM b WHERE bad AND b.version = f.version) AS n_excluded, round(list_avg(list_filter(f, lambda v: v IS NOT NULL)), 6) AS count_macro_f1, round(r0, 6) AS recall_aim0,
+  round(r1, 6) AS recall_aim_ge1, round(sp, 6) AS span_precision, round(sr, 6) AS span_recall, round(2 * sp * sr / (sp + sr), 6) AS span_f1_partial FROM f"""

@@ -1,0 +1,76 @@
+"""Scores of predictions against plain Python, and limits from sketches."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from statutegrid.operators import calibration as C
+from statutegrid.operators.evaluation import scores
+from statutegrid.operators.review import reviewed
+
+SCHEMA = "model_version string, count int, spans array<struct<start:int,end:int,text:string>>, gold_count string, gold_spans array<struct<start:int,end:int>>"
+
+
+def plain(rows, cap):
+    """The measures of rows of one version, straight from their definitions."""
+    valid = [r for r in rows if r[3] is not None and r[3].isdigit()]
+    gold, found = [min(int(r[3]), cap) for r in valid], [None if r[1] is None else min(r[1], cap) for r in valid]
+    of_class = []
+    for k in range(cap + 1):
+        hits, all_ = sum(g == f == k for g, f in zip(gold, found)), gold.count(k) + found.count(k)
+        if all_:
+            of_class.append(2 * hits / all_)
+    touches = lambda s, others: any(set(range(s[0], s[1])) & set(range(o[0], o[1])) for o in others or [])
+    predicted, annotated = sum(len(r[2] or []) for r in valid), sum(len(r[4] or []) for r in valid)
+    right, seen = sum(touches(s, r[4]) for r in valid for s in r[2] or []), sum(touches(s, r[2]) for r in valid for s in r[4] or [])
+    p, r = right / predicted, seen / annotated
+    zero, some = [f for g, f in zip(gold, found) if g == 0], [f for g, f in zip(gold, found) if g > 0]
+    return [len(valid), len(rows) - len(valid), sum(of_class) / len(of_class), zero.count(0) / len(zero), sum(bool(f) for f in some) / len(some), p, r, 2 * p * r / (p + r)]
+
+
+def test_scores_equal_plain_ones(spark):
+    dice = random.Random(3)
+    spans = lambda width: [(a, a + dice.randint(1, 9), "x")[:width] for a in (dice.randint(0, 60) for _ in range(dice.randint(0, 4)))]
+    rows = [(f"v{n % 2}", dice.choice([None, 0, 1, 2, 3, 7]), dice.choice([None, spans(3), spans(3)]), dice.choice([None, "x", "-1", "1.5", "NaN", "0", "1", "2", "5"]), spans(2)) for n in range(600)]
+    got = {r[0]: list(r[1:]) for r in scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for version in ("v0", "v1"):
+        assert got[version] == pytest.approx(plain([r for r in rows if r[0] == version], 3))
+
+
+def test_measures_over_nothing_are_null(spark):
+    rows = [("a", 0, [], "0", []), (None, 2, [(0, 4, "x")], "2", [(4, 8)]), ("c", 1, None, None, None)]
+    got = {r[0]: tuple(r[1:]) for r in scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["a"] == (1, 0, 1.0, 1.0, None, None, None, None)  # classes that neither side has do not lower the mean
+    assert got[None] == (1, 0, 1.0, None, 1.0, 0.0, 0.0, 0.0)  # adjoining spans have no character in common
+    assert got["c"] == (0, 1, None, None, None, None, None, None)
+    assert scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_limits_of_merged_runs_are_near_the_exact_fifth(spark, tmp_path):
+    rows = spark.range(60_000).select(F.concat(F.lit("v"), F.col("id") % 2).alias("model_version"), (F.col("id") % 5).alias("run"), F.pow(F.rand(7), F.lit(0.3) + F.col("id") % 2).alias("confidence")).cache()
+    for run in range(5):
+        C.confidence_sketches(rows.where(F.col("run") == run)).write.mode("append").parquet(str(tmp_path / "sketches"))
+    stored = spark.read.parquet(str(tmp_path / "sketches"))
+    assert stored.count() == 10 and stored.select(F.max(F.length("sketch"))).first()[0] < 10_000
+    limits = C.confidence_limits(stored)
+    joined = rows.join(limits.drop("n"), "model_version").groupBy("model_version").agg(C.rank_of(F.col("low_confidence"), F.col("confidence")).alias("rank"))
+    assert all(abs(r["rank"] - 0.2) < 2 * C.RANK_ERROR for r in joined.collect()) and {r["n"] for r in limits.collect()} == {30_000}
+
+
+def test_odd_confidences_and_small_versions_keep_the_default(spark):
+    rows = spark.createDataFrame([("a", None), ("a", float("nan")), ("b", 0.5), (None, 0.4)], "model_version string, confidence double")
+    limits = {r[0]: tuple(r[1:]) for r in C.confidence_limits(C.confidence_sketches(rows)).collect()}
+    assert limits == {"b": (1, 0.85), None: (1, 0.85)}
+    assert C.confidence_limits(C.confidence_sketches(rows.limit(0))).count() == 0
+    with pytest.raises(ValueError, match="between"):
+        C.confidence_limits(C.confidence_sketches(rows), 1.0)
+
+
+def test_review_takes_a_versions_limit(spark):
+    segment = "'body_sentence' AS segment_type, true AS is_substantive, false AS is_list_item, 'Los socios deben pagar la cuota anual.' AS segment_text, NULL AS parent_segment_id, 1 AS aim_n_suggested, true AS has_own_aim_candidate"
+    rows = spark.sql(f"SELECT *, {segment} FROM VALUES ('a', 0.80D), ('a', 0.70D), ('b', 0.80D), (NULL, 0.90D) AS t(model_version, aim_candidate_confidence)")
+    limits = spark.createDataFrame([("a", 0.75)], "model_version string, low_confidence double")
+    got = sorted((r["aim_candidate_confidence"], str(r["model_version"]), r["review_reason"]) for r in reviewed(C.with_limits(rows, limits)).collect())
+    assert got == [(0.7, "a", "low_confidence"), (0.8, "a", ""), (0.8, "b", "low_confidence"), (0.9, "None", "")]
+    assert [r["review_reason"] for r in reviewed(rows).orderBy("aim_candidate_confidence").collect()] == ["low_confidence"] * 3 + [""]
