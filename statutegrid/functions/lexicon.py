@@ -51,6 +51,10 @@ def lookup_verb_type(lemma: str, language: str) -> str | None:
     return next((c for c, lemmas in LEXICON.get(language, {}).items() if lemma.lower() in lemmas), None)
 
 
+#: Spanish order without accents: é is e, ñ is not n.
+FOLDED = "es_AI"
+
+
 @cache
 def verb_forms(language: str) -> dict[str, str]:
     """Form to lemma; the lemma that comes first keeps a form."""
@@ -78,10 +82,10 @@ def frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "language string, category_no int, category string, lemma string")
 
 
-def lookup(df: DataFrame, language: str = "language", lemma: str = "lemma") -> DataFrame:
-    """Left equi-join to the lexicon: df with category, null for unknown lemmas."""
+def lookup(df: DataFrame, language: str = "language", lemma: str = "lemma", folded: bool = False) -> DataFrame:
+    """Left equi-join to the lexicon: df with category, null for unknown lemmas. folded: accents do not count, by a collation in which ñ stays a letter."""
     lex = frame(df.sparkSession).select(F.col("language").alias("_language"), F.col("lemma").alias("_lemma"), "category")
-    on = (F.col(language) == F.col("_language")) & (F.lower(lemma) == F.col("_lemma"))
+    on = (F.col(language) == F.col("_language")) & (F.collate(F.lower(lemma), FOLDED) == F.collate("_lemma", FOLDED) if folded else F.lower(lemma) == F.col("_lemma"))
     return df.join(F.broadcast(lex), on, "left").drop("_language", "_lemma")
 
 

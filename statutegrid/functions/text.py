@@ -44,5 +44,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, java(pattern), group), F.lit(""))
 
 
+def without_accents(text: Column) -> Column:
+    """Vowels without acute accents, graves and diaereses, composed or not; ñ stays a letter of its own."""
+    accented, plain = "áéíóúàèìòùäëïöüÁÉÍÓÚÀÈÌÒÙÄËÏÖÜ", "aeiou" * 3 + "AEIOU" * 3
+    return F.translate(F.regexp_replace(text, "[\u0300\u0301\u0308]", ""), accented, plain)
+
+
 def blank(text: Column) -> Column:
     return text.isNull() | (strip(text) == "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statutegrid.functions import lexicon as L
 from statutegrid.functions import patterns as P
-from statutegrid.functions.text import let
+from statutegrid.functions.text import let, without_accents
 
 HIT = "array<struct<verb:string,lemma:string,position:int,suggested_type:string>>"
 _TYPES = {lang: {lemma: c for c, lemmas in by.items() for lemma in lemmas} for lang, by in L.LEXICON.items()}
@@ -112,23 +112,24 @@ def first_verb(text: Column, language: Column) -> Column:
     return let(found, lambda hit: F.struct(F.coalesce(hit["verb"], F.lit("")).alias("verb"), F.coalesce(hit["lemma"], F.lit("")).alias("lemma")))
 
 
-def has_deontic(text: Column, language: Column) -> Column:
-    """Whether a deontic pattern occurs; Spanish stems stand without accents."""
+def has_deontic(text: Column, language: Column, folded: bool = False) -> Column:
+    """Whether a deontic pattern occurs; Spanish stems stand without accents, so "deberá" is none unless the text is folded."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(language == "en", text.rlike(P.java(P.DEONTIC_RE_EN))).otherwise(text.rlike(P.java(P.DEONTIC_RE_ES)))
+    spanish = without_accents(text) if folded else text
+    return F.when(language == "en", text.rlike(P.java(P.DEONTIC_RE_EN))).otherwise(spanish.rlike(P.java(P.DEONTIC_RE_ES)))
 
 
-def verb_features(text: Column, language: Column) -> Column:
-    """struct of counts, flags, distinct lemmas and categories, with both lists also joined by semicolons."""
-    return let(extract_aims(text, language), lambda aims: _features(aims, text, language))
+def verb_features(text: Column, language: Column, folded: bool = False) -> Column:
+    """struct of counts, flags, distinct lemmas and categories, with both lists also joined by semicolons. folded: see `has_deontic`."""
+    return let(extract_aims(text, language), lambda aims: _features(aims, text, language, folded))
 
 
-def _features(aims: Column, text: Column, language: Column) -> Column:
+def _features(aims: Column, text: Column, language: Column, folded: bool) -> Column:
     lemmas = F.transform(aims, lambda a: a["lemma"])
     types = F.array_distinct(F.filter(F.transform(aims, lambda a: a["suggested_type"]), lambda c: c.isNotNull()))
     return F.struct(
         F.size(lemmas).alias("n_institutional_verbs"), (F.size(lemmas) > 0).alias("has_institutional_verb"), lemmas.alias("verb_lemmas"),
-        types.alias("verb_categories"), has_deontic(text, language).alias("has_deontic_aux"),
+        types.alias("verb_categories"), has_deontic(text, language, folded).alias("has_deontic_aux"),
         F.array_join(lemmas, ";").alias("verb_lemmas_text"), F.array_join(types, ";").alias("verb_categories_text"),
     )
 

@@ -209,6 +209,12 @@ def deontic_flags(spark: SparkSession, sf: str) -> DataFrame:
     return _spoken(spark, sf).select("doc_id", V.has_deontic(F.col("text"), F.col("language")).alias("has_deontic_aux"))
 
 
+@query(f"WITH {_SPOKEN} SELECT doc_id, CASE WHEN language = 'en' THEN {O.m('text', P.DEONTIC_RE_EN)} ELSE {O.m(O.FOLDED.format('text'), P.DEONTIC_RE_ES)} END AS has_deontic_aux FROM spoken")
+def deontic_flags_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where accents do not count."""
+    return _spoken(spark, sf).select("doc_id", V.has_deontic(F.col("text"), F.col("language"), True).alias("has_deontic_aux"))
+
+
 @query(f"WITH {_SPOKEN}, {O.aims('spoken', 'doc_id')} SELECT doc_id, verb, lemma, position, suggested_type FROM aims")
 def extract_aims(spark: SparkSession, sf: str) -> DataFrame:
     return _spoken(spark, sf).select("doc_id", F.inline(V.extract_aims(F.col("text"), F.col("language"))))
@@ -223,6 +229,17 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return L.lookup(rows.distinct())
 
 
+@query(f"""WITH lex(language, category_no, category, lemma) AS (VALUES {O.lexicon_rows()}), w AS (SELECT DISTINCT CASE WHEN lang = 'en' THEN 'en' ELSE 'es' END AS language, unnest(regexp_extract_all(lower(text), '[a-záéíóúñü]+')) AS lemma FROM documents),
+a AS (SELECT language, replace(lemma, 'i', 'í') AS lemma FROM w)
+SELECT a.language, a.lemma, lex.category FROM a LEFT JOIN lex ON lex.language = a.language AND lex.lemma = {O.FOLDED.format('a.lemma')}""")
+def lexicon_lookup_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """All words, each i with an accent that it should not have, looked up where accents do not count."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-záéíóúñü]+"), F.lit(0))
+    language = F.when(F.col("lang") == "en", "en").otherwise("es")
+    rows = table(spark, sf, "documents").select(language.alias("language"), F.explode(words).alias("lemma")).distinct()
+    return L.lookup(rows.withColumn("lemma", F.replace("lemma", F.lit("i"), F.lit("í"))), folded=True)
+
+
 @query(f"""WITH {_SPOKEN}, lex(language, category_no, category, lemma) AS (VALUES {O.lexicon_rows()}),
 w AS (SELECT DISTINCT doc_id, language, unnest(regexp_extract_all(lower(text), '[\\p{{L}}0-9_]+')) AS word FROM spoken)
 SELECT DISTINCT doc_id, category_no, category, lex.lemma FROM w JOIN lex ON lex.language = w.language AND starts_with(word, lex.lemma)""")

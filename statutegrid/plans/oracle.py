@@ -13,6 +13,10 @@ from statutegrid.plans.derived import LINE, TRANSITIONS
 NL, CUT, UNIT, POINT, RECORD = "chr(10)", "chr(64976)", "chr(64977)", "chr(64978)", "chr(30)"
 
 
+#: A text whose vowels have no accents.
+FOLDED = "translate({}, 'áéíóúàèìòùäëïöüÁÉÍÓÚÀÈÌÒÙÄËÏÖÜ', 'aeiouaeiouaeiouAEIOUAEIOUAEIOU')"
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
