@@ -137,12 +137,13 @@ def _features(aims: Column, text: Column, language: Column, folded: bool) -> Col
 def lexicon_prefixes(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """texts (key, language, text) as (key, category_no, category, lemma): lemmas that a word of the text begins with.
 
-    Words join the lexicon on their first letters, so this is an equi-join with a small, fixed table, not a nested loop.
+    Words join the lexicon on their first letters, as many as its shortest lemma has, so this is an equi-join with a small, fixed table, not a nested loop.
     """
     lex = L.frame(texts.sparkSession)
-    heads = lex.withColumn("_head", F.substring("lemma", 1, 3)).withColumnRenamed("language", "_language")
+    letters = min(3, *(len(lemma) for by in L.LEXICON.values() for lemmas in by.values() for lemma in lemmas))
+    heads = lex.withColumn("_head", F.substring("lemma", 1, letters)).withColumnRenamed("language", "_language")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)[\w]+"), F.lit(0)))
-    spread = texts.select(key, "language", F.explode(words).alias("_word")).withColumn("_head", F.substring("_word", 1, 3))
+    spread = texts.select(key, "language", F.explode(words).alias("_word")).withColumn("_head", F.substring("_word", 1, letters))
     joined = spread.join(F.broadcast(heads), ["_head"]).where((F.col("language") == F.col("_language")) & F.startswith("_word", "lemma"))
     return joined.select(key, "category_no", "category", "lemma").distinct()
 

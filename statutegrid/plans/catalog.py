@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statutegrid.functions import lexicon as L
 from statutegrid.functions import patterns as P
+from statutegrid.functions.folders import working_folder
 from statutegrid.functions.language import detect_language, document_language, word_hits
 from statutegrid.operators import blocks as B
 from statutegrid.operators import intervals as I
@@ -27,7 +28,9 @@ from statutegrid.operators.sentences import raw_sentences, split_sentences
 from statutegrid.operators.summary import reason_counts, summary
 from statutegrid.operators.summary import smoke_metrics as metrics
 from statutegrid.plans import oracle as O
+from statutegrid.plans import functions_sql
 from statutegrid.plans.derived import TRANSITIONS, logits, regulations, table
+from statutegrid.streaming.pieces import start_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +121,14 @@ def classify_lines(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "p", "class", subtype.alias("subtype"), S.is_item(F.col("line")).alias("is_item"), S.marker_family(F.col("line")).alias("family"))
 
 
+@query(O.of(f"SELECT doc_id, p, {O.classify('line')} AS class, {O.family('line')} AS family, article FROM (SELECT *, {O.refs('line')} FROM ln)"))
+def sql_line_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines, their classes, families and references as a statement of SQL, by the session's functions."""
+    functions_sql.register(spark)
+    statement = "SELECT doc_id, p, classify_block(line) AS class, marker_family(line) AS family, article_ref(line).article AS article FROM {docs}, LATERAL line_rows(text)"
+    return spark.sql(statement, docs=regulations(spark, sf))
+
+
 @query(O.of(f"SELECT doc_id, block_no, sub_no, {O.refs('text')} FROM subs"))
 def article_refs(spark: SparkSession, sf: str) -> DataFrame:
     subs = G.sub_blocks(_blocks(spark, sf)).select("doc_id", "block_no", "sub_no", S.article_ref(F.col("text")).alias("r"))
@@ -188,6 +199,18 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     return run(_blocks(spark, sf, True))[0]
 
 
+@query(O.of(f"SELECT doc_id, {', '.join(R.COLUMNS)} FROM final", True))
+def arriving_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship's table from blocks that arrive in three parts, every third block first, those before it later; the stream ends and starts again between the parts."""
+    folder = working_folder(spark, "arriving")
+    blocks = _blocks(spark, sf).select("doc_id", "source_base", "block_no", "text", F.current_timestamp().alias("arrived"))
+    for part in (2, 0, 1):
+        blocks.where(F.col("block_no") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(blocks.schema).parquet(f"{folder}/in")
+        start_pieces(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query(O.of("SELECT s.doc_id, s.segment_id, s.segment_text, p.segment_text AS parent_text FROM segments s LEFT JOIN segments p ON p.doc_id = s.doc_id AND p.segment_id = s.parent_segment_id"))
 def parent_text(spark: SparkSession, sf: str) -> DataFrame:
     return G.segment(_blocks(spark, sf, True), parents=True).select("doc_id", "segment_id", "segment_text", "parent_text")

@@ -36,10 +36,15 @@ _SEGMENT = Row("doc_id", *(field.split()[0] for field in _OUT.split(", ")))
 
 @dataclass
 class Progress:
-    """What the rows of a document so far leave behind; run numbers and places count from 1, 0 or None: not yet."""
+    """What the rows of a document so far leave behind; run numbers and places count from 1, 0 or None: not yet.
+
+    waiting and timer tell how many blocks wait and when the document is looked at again, so that the state store is asked for neither in vain.
+    """
 
     expected: int = 0
     quiet: int = 0
+    waiting: int = 0
+    timer: int = 0
     run: int = 0
     placed: int = 0
     opener: str | None = None
@@ -88,7 +93,7 @@ class Progress:
             self.opener, self.opener_family, self.header = kind, family if kind == "L" else None, self.placed
 
 
-_STATE = ", ".join(f"{f.name} {'int' if 'int' in f.type else 'string'}" for f in fields(Progress))
+_STATE = ", ".join(f"{f.name} {'bigint' if 'int' in f.type else 'string'}" for f in fields(Progress))
 
 
 def _named(place: int | None) -> str | None:
@@ -118,12 +123,13 @@ class Pieces(StatefulProcessor):
             newest = max(newest, row["_arrived_ms"])
         for number in sorted(blocks, key=lambda n: (n is None, n or 0)):
             events = [blocks[number][at] for at in sorted(blocks[number])]
-            if number is None or self._given_up(number):
+            if number is None or (number < now.expected and self._given_up(number)):
                 yield from self._segments(key, now, events, LATE)
             elif number == now.expected:
                 yield from self._segments(key, now, events)
                 now.expected += 1
-            elif number > now.expected and not self.waiting.containsKey((number,)):
+            elif number > now.expected and not (now.waiting and self.waiting.containsKey((number,))):
+                now.waiting += 1
                 self.waiting.updateValue((number,), (json.dumps(events, ensure_ascii=False),))
             yield from self._next(key, now)
         now.quiet = 0
@@ -135,28 +141,32 @@ class Pieces(StatefulProcessor):
             for state in (self.progress, self.waiting, self.gaps):
                 state.clear()
             return
-        for (number,) in sorted(tuple(k) for k in self.waiting.keys()):
+        for (number,) in sorted(tuple(k) for k in self.waiting.keys()) if now.waiting else ():
             if number > now.expected:
                 self.gaps.updateValue((now.expected,), (number,))
                 now.expected = number
             yield from self._next(key, now)
-        now.quiet = 1
+        now.quiet, now.timer = 1, 0
         self._write(now, expiredTimerInfo.getExpiryTimeInMs())
 
     def _read(self) -> Progress:
         return Progress(*self.progress.get()) if self.progress.exists() else Progress()
 
     def _write(self, now: Progress, at: int) -> None:
+        """Keep the state, and be called again patience after `at`; a timer that has not rung yet is put off."""
+        if now.timer and now.timer != at + self.patience:
+            self.handle.deleteTimer(now.timer)
+        if now.timer != at + self.patience:
+            self.handle.registerTimer(at + self.patience)
+        now.timer = at + self.patience
         self.progress.update(astuple(now))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at + self.patience)
 
     def _next(self, key: tuple, now: Progress) -> Iterator[Row]:
         """Segments of the blocks that waited for the one just taken."""
-        while self.waiting.containsKey((now.expected,)):
+        while now.waiting and self.waiting.containsKey((now.expected,)):
             events = json.loads(self.waiting.getValue((now.expected,))[0])
             self.waiting.removeKey((now.expected,))
+            now.waiting -= 1
             yield from self._segments(key, now, events)
             now.expected += 1
 
