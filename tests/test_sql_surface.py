@@ -62,3 +62,9 @@ def test_lookups_without_accents(spark):
     df = spark.createDataFrame([("es", "Áprobar"), ("es", "pagár"), ("es", "definir"), ("es", "defiñir"), ("en", "apprové"), ("es", None)], "language string, lemma string")
     assert [r["category"] for r in L.lookup(df).collect()].count(None) == 5
     assert {r["lemma"]: r["category"] for r in L.lookup(df, folded=True).collect()} == {"Áprobar": "AGG", "pagár": "PAY", "definir": "SCO", "defiñir": None, "apprové": "AGG", None: None}
+
+
+def test_prefixes_of_lemmas_of_any_length(spark, monkeypatch):
+    monkeypatch.setitem(L.LEXICON["es"], "BOU", (*L.LEXICON["es"]["BOU"], "ir"))
+    texts = spark.createDataFrame([(1, "es", "Los socios irán y pagarán"), (2, "es", "i"), (3, "es", None)], "doc_id int, language string, text string")
+    assert sorted((r["doc_id"], r["lemma"]) for r in V.lexicon_prefixes(texts).collect()) == [(1, "ir"), (1, "pagar")]
