@@ -27,11 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates under the session's key (`surrogates.secret_key`); n_chars follows the text.
+    """Personal data replaced by surrogates under the session's key, where it names none under one drawn for this run (`surrogates.run_key`); n_chars follows the text.
 
     Every row stays; null and empty texts stay as they are; equal entities get equal surrogates in all rows; an empty table stays empty.
     """
-    return surrogates.private_documents(docs)
+    return surrogates.private_documents(docs, surrogates.run_key(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

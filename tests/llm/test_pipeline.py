@@ -56,3 +56,14 @@ def test_the_private_stage_is_the_plain_version_s(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.private(spark, docs, "").collect()}
     assert {i: r["text"] for i, r in got.items()} == {i: t for i, (t, _) in want.items()}
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values()) and any(got[i]["text"] != t for i, t in given.items())
+
+
+def test_the_private_stage_draws_a_key_on_a_cluster_that_names_none(spark, monkeypatch, tmp_path):
+    from statutegrid.llm import common, surrogates
+
+    docs = spark.createDataFrame([(1, "mail ann@web.org", 16)], "doc_id long, text string, n_chars long")
+    # what a cluster's session is to this stage: no local master, no key
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    (row,) = corpus_pipeline.private(spark, docs, "").collect()
+    assert "ann@web.org" not in row["text"] and surrogates.run_key(spark) == surrogates.run_key(spark) != surrogates.QUERY_KEY
