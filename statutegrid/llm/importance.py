@@ -16,6 +16,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from statutegrid.llm.common import crc_table, cut, places, table
 
 BUCKETS, MAX_RUN, SCALE = 10_000, 1, 1000
 MIN_WORDS, PERCENT, SEED = 20, 10, "2024"
-#: A block ends behind so many rows or entries; a single row has at most one entry a bucket.
-BLOCK_ROWS, BLOCK_ENTRIES = 4_096, 1 << 20
+#: A block ends behind so many rows or entries; a single row has at most one entry a bucket. Blocks are small, as readers, writers and Arrow batches hold thousands of table rows at once.
+BLOCK_ROWS, BLOCK_ENTRIES = 64, 1 << 10
+#: Blocks that are multiplied together.
+TOGETHER = 256
 #: Features that a worker keeps the buckets of.
 REMEMBERED = 1 << 18
 
@@ -141,14 +144,18 @@ def weigh(matrix: DataFrame, gain: np.ndarray, seed: str = SEED, scale: int = SC
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                ends, n = _flat(one, "row_at"), _flat(one, "n")
-                upto = lambda values: np.concatenate([[0], np.cumsum(values)])[ends]
-                weight, held = np.diff(upto(n * gain[_flat(one, "bucket")])), np.diff(upto(n))
-                ids = one.column("doc_id").flatten()
+            for i in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(i, TOGETHER)
+                size = lambda name: pc.list_value_length(some.column(name)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                pointers, n = size("row_at"), _flat(some, "n")
+                # row pointers of all blocks, each block's behind the entries of those before it
+                ends = _flat(some, "row_at") + np.repeat(np.cumsum(size("bucket")) - size("bucket"), pointers)
+                last = np.cumsum(pointers)[:-1] - 1
+                upto = lambda values: np.delete(np.diff(np.concatenate([[0], np.cumsum(values)])[ends]), last)  # noqa: B023, E731
+                weight, held = upto(n * gain[_flat(some, "bucket")]), upto(n)
+                ids = some.column("doc_id").flatten()
                 drawn = np.array([noise(k, seed, scale) for k in ids.to_pylist()], np.int64)
-                columns = [ids, one.column("n_words").flatten(), pa.array(held), pa.array(weight), pa.array(weight + drawn)]
+                columns = [ids, some.column("n_words").flatten(), pa.array(held), pa.array(weight), pa.array(weight + drawn)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "weight", "score"])
 
     return map_arrow(matrix, product, "doc_id long, n_words long, n_features long, weight long, score long")

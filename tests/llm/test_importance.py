@@ -74,6 +74,14 @@ def test_blocks_hold_the_whole_matrix(spark, monkeypatch):
     assert sums.tolist() == [sum(w.get(b, 0) for w in want.values()) for b in range(100)]
 
 
+def test_no_row_of_the_matrix_grows_with_the_table(spark):
+    docs = [(i, " ".join(f"w{i % 97}x{j}" for j in range(20))) for i in range(5000)]
+    matrix = importance.count_matrix(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "test-matrix")
+    # thousands of rows are in memory at once where the matrix is written and read
+    sizes = [(len(b["doc_id"]), len(b["bucket"])) for b in matrix.collect()]
+    assert sum(n for n, _ in sizes) == 5000 and max(n for _, n in sizes) < 2048 and max(n for n, _ in sizes) <= 64
+
+
 def test_sql_equals_the_operator(spark):
     docs, target = list(enumerate(texts(120, 4))), texts(9, 5)
     con = duckdb.connect()
