@@ -47,6 +47,21 @@ def test_verbs(spark):
     assert got == {1: (["aprobar", "pagar"], ["AGG", "PAY"]), 2: (["fine", "pay", "define"], ["PAY", "SCO"])}
 
 
+def test_lookups_do_not_search_word_lists_key_by_key(spark):
+    table = {f"w{n}": str(n) for n in range(2_000)}
+    words = spark.createDataFrame([("w0",), ("w1999",), ("w",), ("",), (None,)], "w string").select(L.mapped(F.col("w"), table)).collect()
+    assert [r[0] for r in words] == ["0", "1999", None, None, None]
+    plan = spark.range(1).select(L.mapped(F.col("id").cast("string"), table))._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32" in plan and "element_at([keys: [" in plan  # small maps in one literal, worked out before the query runs
+
+
+def test_a_span_s_and_a_text_s_first_verb_are_the_list_s_first(spark):
+    for text, language in (("The board may inspect nets, and may inspect more.", "en"), ("El comité podrá sancionar.", "es"), ("Nothing here.", "en"), ("", "es")):
+        every = aims(spark, text, language)
+        found = one(spark, V.first_aim(F.lit(text), F.lit(language)))
+        assert (None if found is None else tuple(found)) == (every[0] if every else None)
+
+
 def flags(spark, **given):
     row = {"segment_type": "body_sentence", "is_list_item": False, "is_substantive": True, "segment_text": "X" * 30, "parent_segment_id": "seg_0001", "aim_n_suggested": 1, "aim_candidate_confidence": 0.9, "has_own_aim_candidate": True} | given
     schema = "segment_type string, is_list_item boolean, is_substantive boolean, segment_text string, parent_segment_id string, aim_n_suggested int, aim_candidate_confidence double, has_own_aim_candidate boolean, notes array<string>"
