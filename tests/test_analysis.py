@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statutegrid.functions import lexicon as L
 from statutegrid.functions.language import detect_language
+from statutegrid.functions.text import rstrip, strip
 from statutegrid.operators import model as M
 from statutegrid.operators import review as R
 from statutegrid.operators import verbs as V
@@ -47,6 +48,17 @@ def test_verbs(spark):
     assert got == {1: (["aprobar", "pagar"], ["AGG", "PAY"]), 2: (["fine", "pay", "define"], ["PAY", "SCO"])}
 
 
+def test_strip_takes_what_the_pattern_takes(spark):
+    signs = [chr(n) for n in range(1, 0x10000) if not 0xD800 <= n < 0xE000]
+    ends = [(f"{c}a {c} b{c}",) for c in signs] + [(" ",), ("",), (None,), ("a b",), ("\u3000\x1c a \x85\u2028",)]
+    by_pattern = lambda pattern: F.regexp_replace("t", pattern, "")
+    rows = spark.createDataFrame(ends, "t string")
+    other = ~strip(F.col("t")).eqNullSafe(by_pattern(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")) | ~rstrip(F.col("t")).eqNullSafe(by_pattern(r"(?U)[\s\x1c-\x1f]+$"))
+    assert rows.where(other).count() == 0
+    # no pattern is tried at each blank of a text
+    assert "regexp_replace" not in rows.select(strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lookups_do_not_search_word_lists_key_by_key(spark):
     table = {f"w{n}": str(n) for n in range(2_000)}
     words = spark.createDataFrame([("w0",), ("w1999",), ("w",), ("",), (None,)], "w string").select(L.mapped(F.col("w"), table)).collect()
