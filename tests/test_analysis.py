@@ -74,6 +74,13 @@ def test_a_span_s_and_a_text_s_first_verb_are_the_list_s_first(spark):
         assert (None if found is None else tuple(found)) == (every[0] if every else None)
 
 
+def test_the_fallback_is_no_join(spark):
+    df = spark.createDataFrame([(1, "es", "aprobarán"), (2, "en", "payment of fines"), (3, "fr", "payment"), (4, "en", None)], "doc_id int, language string, text string")
+    found = V.with_fallback(df)
+    assert {r["doc_id"]: r["features"]["verb_lemmas_text"] for r in found.collect()} == {1: "aprobar", 2: "fine;pay", 3: "", 4: ""}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def flags(spark, **given):
     row = {"segment_type": "body_sentence", "is_list_item": False, "is_substantive": True, "segment_text": "X" * 30, "parent_segment_id": "seg_0001", "aim_n_suggested": 1, "aim_candidate_confidence": 0.9, "has_own_aim_candidate": True} | given
     schema = "segment_type string, is_list_item boolean, is_substantive boolean, segment_text string, parent_segment_id string, aim_n_suggested int, aim_candidate_confidence double, has_own_aim_candidate boolean, notes array<string>"

@@ -84,3 +84,11 @@ def test_each_way_to_a_span_s_verb_is_taken(spark, ):
     blocks = spark.createDataFrame([(f"d{n}", f"{n}. x.md", 0, None, t) for n, t in enumerate(texts)], "doc_id string, source_base string, block_no int, page int, text string")
     found = {r["doc_id"]: r["aim_trigger_candidate"] for r in statutegrid.run(blocks, "es", load)[0].collect()}
     assert found == {"d0": "Deben", "d1": "aprobarán", "d2": "es", "d3": ""}
+
+
+def test_dear_spans_and_points_are_worked_out_once(spark):
+    spans = spark.createDataFrame([(1, 0, 10)], "k int, start int, end int")
+    points = spark.createDataFrame([(1, "abc")], "k int, t string").select("k", F.length(F.md5(F.col("t").cast("binary"))).alias("position"))
+    found = I.first_inside(spans, points.withColumn("position", F.col("position") - 30), "k")
+    assert [r["point"]["position"] for r in found.collect()] == [2]
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
