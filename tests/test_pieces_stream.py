@@ -135,3 +135,97 @@ def test_running_state_equals_the_windows_on_random_events(spark):
         event = r.asDict() | refs | {"source_base": None, "language": "es"}
         got += [(r["doc_id"], s[3], s[4], s[7], s[8], s[9], s[12]) for s in Pieces._segments((r["doc_id"],), states.setdefault(r["doc_id"], Progress()), [event])]
     assert got == want and any(w[2] for w in want)
+
+
+class Store:
+    """A group's state as a processor sees it, and how often it was asked."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.calls = {}, {}, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        store = self
+
+        class Value:
+            def get(self):
+                store.calls += 1
+                return store.values.get(name)
+
+            def update(self, value):
+                store.calls += 1
+                store.values[name] = tuple(value)
+
+            def clear(self):
+                store.calls += 1
+                store.values.pop(name, None)
+
+            def exists(self):
+                store.calls += 1
+                return name in store.values
+
+        return Value()
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        held, store = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def __getattr__(self, call):
+                store.calls += 1
+                return {"containsKey": held.__contains__, "getValue": held.get, "removeKey": held.pop, "updateValue": held.__setitem__, "keys": lambda: iter(list(held)), "clear": held.clear, "iterator": lambda: iter(list(held.items()))}[call]
+
+        return Map()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def arriving(numbers, docs, at=1000):
+    import json
+
+    event = {"sub_no": 0, "piece_no": 0, "emit_no": 0, "kind": "T", "type": "body_sentence", "source_base": "x", "language": "es"}
+    return [{"doc_id": d, "block_no": n, "event": json.dumps(event | {"text": f"{d}: {n}"}), "_arrived_ms": at} for d in docs for n in numbers]
+
+
+def clock(watermark):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark, getExpiryTimeInMs=lambda: watermark - 1)
+
+
+def texts(rows):
+    return [(r["doc_id"], at, text) for r in rows for at, text in zip(r["segment_order"], r["segment_text"])]
+
+
+@pytest.mark.parametrize("room", [1 << 20, 100, 0])
+def test_the_store_is_asked_by_group_not_by_document_or_block(monkeypatch, room):
+    from statutegrid.streaming import pieces
+
+    monkeypatch.setattr(pieces, "HELD_CHARS", room)
+    store, docs, got = Store(), [f"d{n}" for n in range(40)], []
+    for part in ((2, 5, 8), (0, 3, 6), (1, 4, 7)):
+        processor = pieces.Pieces(500)  # each micro-batch has its own
+        processor.init(store)
+        before = store.calls
+        got += texts(processor.handleInputRows((7,), iter(arriving(part, docs)), clock(0)))
+        assert room <= 100 or store.calls - before <= 3
+    assert sorted(got) == sorted((d, n + 1, f"{d}: {n}") for d in docs for n in range(9))
+    assert not store.maps["waiting"] and len(store.timers) == 1
+
+
+def test_each_document_of_a_group_has_its_own_patience(monkeypatch):
+    from statutegrid.streaming import pieces
+
+    store = Store()
+    processor = pieces.Pieces(500)
+    processor.init(store)
+    assert texts(processor.handleInputRows((7,), iter(arriving([2], ["a"], 1000) + arriving([2], ["b"], 1300)), clock(0))) == [] and store.timers == {1500}
+    ring = lambda at: texts(processor.handleExpiredTimer((7,), clock(at + 1), clock(at + 1)))
+    assert ring(1500) == [("a", 1, "a: 2")] and 1800 in store.timers  # b's patience ends later
+    assert texts(processor.handleInputRows((7,), iter(arriving([0], ["b"], 1600)), clock(1501))) == [("b", 1, "b: 0")]
+    assert ring(1800) == [] and ring(2000) == [] and 2100 in store.timers  # a is forgotten, b waits for block 1 up to 2100
+    assert ring(2100) == [("b", 2, "b: 2")] and ring(2600) == [] and not store.values
