@@ -26,43 +26,48 @@ TRAIL = r"[^\p{L}0-9.]+$"
 WORD = r"(\p{L}(?:[\p{L}.']*\p{L})?)\.?$"
 POINTED = r"(\p{L}(?:[\p{L}.']*\p{L})?)\.$"
 NEXT = r"^[^\p{L}0-9]*(\p{L}(?:[\p{L}.']*\p{L})?)"
+STOP = r"[.!?:][^\p{L}0-9]*$"
 CUT = r"([.!?])([ \t\n\r\f]+)"
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """One row a word of texts (text): word in lower case, whether a point follows, in lower case, in upper case inside a sentence."""
+def _spellings(texts: DataFrame) -> DataFrame:
+    """What stands between blanks in texts (text), as it is spelt: (t, stop, times), stop: whether a sentence may end before it."""
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda x: x != "")
-    rows = let(tokens, lambda all_: F.transform(all_, lambda x, n: F.struct(x.alias("t"), F.when(n > 0, F.get(all_, n - 1)).alias("before"))))
-    bare = F.regexp_replace("t", TRAIL, "")
-    found = texts.select(F.inline(rows)).select(F.regexp_extract(bare, WORD, 1).alias("w"), bare.endswith(".").alias("pointed"), "before")
-    upper = F.col("w").rlike(r"^\p{Lu}")
-    return found.select(
-        F.lower("w").alias("word"), F.col("pointed").cast("long").alias("pointed"), F.col("w").rlike(r"^\p{Ll}").cast("long").alias("low"),
-        (upper & F.coalesce(~F.col("before").rlike(r"[.!?:][^\p{L}0-9]*$"), F.lit(False))).cast("long").alias("inside"),
-    )
+    # nothing stands before a text's first word: neither a stop nor the inside of a sentence
+    rows = let(tokens, lambda all_: F.transform(all_, lambda x, n: F.struct(x.alias("t"), F.when(n > 0, F.get(all_, n - 1).rlike(STOP)).otherwise(True).alias("stop"))))
+    return texts.select(F.inline(rows)).groupBy("t", "stop").agg(F.count("*").alias("times"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, pointed, low, inside) over all texts (text); null and blank texts have no words. The empty word stands for what holds no letter."""
-    sums = [F.sum(c).alias(c) for c in ("pointed", "low", "inside")]
-    return _occurrences(texts).groupBy("word").agg(F.count("*").alias("n"), *sums)
+    """(word, n, pointed, low, inside) over all texts (text); null and blank texts have no words. The empty word stands for what holds no letter.
+
+    Counted by spelling first: what patterns tell of a word is worked out once a spelling, not once an occurrence.
+    """
+    bare = F.regexp_replace("t", TRAIL, "")
+    found = _spellings(texts).select(F.regexp_extract(bare, WORD, 1).alias("w"), bare.endswith(".").alias("pointed"), "stop", "times")
+    counted = {"n": F.lit(True), "pointed": F.col("pointed"), "low": F.col("w").rlike(r"^\p{Ll}"), "inside": F.col("w").rlike(r"^\p{Lu}") & ~F.col("stop")}
+    rows = found.select(F.lower("w").alias("word"), *[F.when(is_, F.col("times")).otherwise(0).alias(c) for c, is_ in counted.items()])
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in counted])
 
 
-def score(n: Column, pointed: Column, word: Column, all_n: float, all_pointed: float) -> Column:
+def score(n: Column, pointed: Column, word: Column, all_n: Column, all_pointed: Column) -> Column:
     """How much a word looks like an abbreviation. A word that never stands before a point scores nothing."""
-    usual = min(max(all_pointed / all_n, 1e-9), 1 - 1e-9) if all_n else 0.5
+    share = F.coalesce(all_pointed.cast("double") / F.nullif(all_n, F.lit(0)), F.lit(0.5))
+    usual = F.least(F.greatest(share, F.lit(1e-9)), F.lit(1 - 1e-9))
     rest = (n - pointed).cast("double")
-    fits = lambda p: pointed * F.log(F.lit(p)) + rest * F.log(F.lit(1 - p))
+    fits = lambda p: pointed * F.log(p) + rest * F.log(1 - p)
     points = F.length(word) - F.length(F.replace(word, F.lit("."), F.lit("")))
     letters = (F.length(word) - points).cast("double")
-    return 2 * (fits(NEARLY_ALWAYS) - fits(usual)) * F.exp(-letters) * (points + 1) * F.pow(letters, -rest)
+    return 2 * (fits(F.lit(NEARLY_ALWAYS)) - fits(usual)) * F.exp(-letters) * (points + 1) * F.pow(letters, -rest)
 
 
 def abbreviations(counts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The words of `word_counts` that are abbreviations: (word, n, pointed, score). Only two sums come to the driver."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pointed"), F.lit(0))).first()
-    scored = counts.where("word <> '' AND pointed > 0").withColumn("score", score(F.col("n"), F.col("pointed"), F.col("word"), float(total[0]), float(total[1])))
-    return scored.where(F.col("score") >= least).select("word", "n", "pointed", "score")
+    """The words of `word_counts` that are abbreviations: (word, n, pointed, score). The sums over all words are a row that is joined to them, from the same counts."""
+    total = counts.agg(F.sum("n").alias("_all_n"), F.sum("pointed").alias("_all_pointed"))
+    known = counts.select("word", "n", "pointed").crossJoin(F.broadcast(total))
+    # one condition: a test of the word alone would be made before the counts, which then were others than those of the sums
+    scores = F.when((F.col("word") != "") & (F.col("pointed") > 0), score(F.col("n"), F.col("pointed"), F.col("word"), F.col("_all_n"), F.col("_all_pointed")))
+    return known.withColumn("score", scores).where(F.col("score") >= least).select("word", "n", "pointed", "score")
 
 
 def _pieces(text: Column) -> Column:

@@ -94,3 +94,24 @@ def test_the_whole_way_takes_learnt_ends(spark):
     listed = [r["segment_text"] for r in statutegrid.run(blocks, "es")[0].orderBy("segment_order").collect()]
     assert learnt == ["El regl. Interno fija las cuotas de los socios cada año.", "La junta de socios lo aprueba en la asamblea."]
     assert listed[0] == "El regl."
+
+
+def test_texts_are_gone_through_once_and_patterns_once_a_spelling(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(n, t) for n, t, _ in marked(ES, 60, 4)]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(3).mapInArrow(through, "id int, text string")
+    B.abbreviations(B.word_counts(docs)).write.parquet(f"{tmp_path}/out")
+    assert seen.value == len(rows)
+    plan = B.word_counts(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = next(n for n, line in enumerate(plan) if "Aggregate [t#" in line) + 1
+    assert not any("regexp_extract" in line for line in plan[below:])
+
+
+def test_no_words_no_abbreviations(spark):
+    assert B.abbreviations(B.word_counts(spark.createDataFrame([(None,), ("",), (" \n",)], "text string"))).count() == 0
